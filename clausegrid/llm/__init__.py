@@ -1,6 +1,8 @@
 """Operators for training-data preparation; nothing else in the library imports them."""
 
 from clausegrid.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from clausegrid.llm.media import op3_media_columns
+from clausegrid.llm.sharding import op2_sharding
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns}
 ORACLES = {"op1_exact_dedup": OP1_SQL}

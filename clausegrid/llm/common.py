@@ -23,8 +23,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path for one use below the shared folder."""
-    return f"{shared_root(spark)}/clausegrid/{name}-{uuid.uuid4().hex}"
+    """A path for one use below the shared folder, with its scheme, so that it means the same to every reader."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/clausegrid/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
