@@ -46,3 +46,31 @@ def whole(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _word(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits + 6)
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 64 - bits).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def repeated_keys(keys: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of the 64-bit hashes in `key` that at least two rows have.
+
+    It has at most 2**(bits-6) rows of two longs, whatever the input holds, so it may
+    be broadcast. A set bit can be shared by other keys: those are looked at once more
+    than needed, but no repeated key is missed.
+    """
+    return (
+        keys.groupBy("key").count().filter("count > 1")
+        .groupBy(_word(F.col("key"), bits).alias("word")).agg(F.bit_or(_bit(F.col("key"), bits)).alias("set_bits"))
+    )
+
+
+def may_repeat(df: DataFrame, bitmap: DataFrame, key: str, flag: str, bits: int) -> DataFrame:
+    """Adds `flag`: whether the hash in column `key` may be one of the repeated ones."""
+    joined = df.join(F.broadcast(bitmap), _word(F.col(key), bits) == F.col("word"), "left")
+    hit = F.col("set_bits").bitwiseAND(_bit(F.col(key), bits)) != 0
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("word", "set_bits")

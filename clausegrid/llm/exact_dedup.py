@@ -2,38 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import table, whole, written
-
-
-def _word(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - bits + 6)
-
-
-def _bit(key: Column, bits: int) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 64 - bits).bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _repeated(keys: DataFrame, bits: int) -> DataFrame:
-    """A bitmap of the 64-bit hashes in `key` that at least two rows have.
-
-    It has at most 2**(bits-6) rows of two longs, whatever the input holds, so it may
-    be broadcast. A set bit can be shared by other keys: those are looked at once more
-    than needed, but no repeated key is missed.
-    """
-    return (
-        keys.groupBy("key").count().filter("count > 1")
-        .groupBy(_word(F.col("key"), bits).alias("word")).agg(F.bit_or(_bit(F.col("key"), bits)).alias("set_bits"))
-    )
-
-
-def _survives(df: DataFrame, bitmap: DataFrame, key: str, flag: str, bits: int) -> DataFrame:
-    """Adds `flag`: whether the hash in column `key` may be one of the repeated ones."""
-    joined = df.join(F.broadcast(bitmap), _word(F.col(key), bits) == F.col("word"), "left")
-    hit = F.col("set_bits").bitwiseAND(_bit(F.col(key), bits)) != 0
-    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("word", "set_bits")
+from clausegrid.llm.common import may_repeat, repeated_keys, table, whole, written
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = 256, bits: int = 23) -> DataFrame:
@@ -52,11 +24,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
     base = df.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     base = base.withColumn("_len", F.octet_length("_text")).withColumn("_len_key", F.xxhash64("_len"))
-    lengths = _repeated(base.select(F.col("_len_key").alias("key")), bits)
-    base = _survives(base, lengths, "_len_key", "_len_hit", bits)
+    lengths = repeated_keys(base.select(F.col("_len_key").alias("key")), bits)
+    base = may_repeat(base, lengths, "_len_key", "_len_hit", bits)
     base = base.withColumn("_prefix_key", F.when(F.col("_len_hit"), F.xxhash64("_len", F.substring("_text", 1, prefix_chars))))
-    prefixes = _repeated(base.filter("_len_hit").select(F.col("_prefix_key").alias("key")), bits)
-    base = _survives(base, prefixes, "_prefix_key", "_prefix_hit", bits)
+    prefixes = repeated_keys(base.filter("_len_hit").select(F.col("_prefix_key").alias("key")), bits)
+    base = may_repeat(base, prefixes, "_prefix_key", "_prefix_hit", bits)
     # A row that did not survive is alone with its length, or with its length and prefix.
     full = F.when(F.col("_prefix_hit"), F.sha2("_text", 256)).otherwise(F.concat_ws(":", "_len", "_prefix_key"))
     rows = written(base.select("_id", *[f"_carry_{c}" for c in carry], full.alias("_key"), F.monotonically_increasing_id().alias("_uid")), "exact-dedup")

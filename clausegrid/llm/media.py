@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import new_folder, table, whole, written
+from clausegrid.llm.common import may_repeat, new_folder, repeated_keys, table, whole, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -124,21 +124,25 @@ def _write_shards(folder: str, shard_bytes: int):
     return write
 
 
-def store_media(payloads: DataFrame, digest_col: str = "digest", payload_col: str = "payload", folder: str | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
+def store_media(payloads: DataFrame, digest_col: str = "digest", payload_col: str = "payload", folder: str | None = None, shard_bytes: int = 64 << 20, bits: int = 23) -> DataFrame:
     """Stores each distinct payload once in tar shards; returns digest, shard, offset, length.
 
     `payloads` holds a digest and its bytes (a positive multiple of 64; rows with a null
-    digest or payload are not stored), any number of times; other columns are left alone. A
-    task encodes a digest at most once before the shuffle, so a payload that fills a third of
-    the table costs one PNG per task; the task that owns the digest keeps one. Each attempt
-    of a task writes shards under names of its own and the index is written as a table, so
-    a lost executor leaves at most an unreferenced file.
+    digest or payload are not stored), any number of times; other columns are left alone.
+    Payloads that a bounded bitmap shows to be alone are written by the task that reads
+    them. The others are encoded at most once by each task, so that one that fills a
+    third of the table costs a PNG per task, and meet at the task that owns the digest,
+    which keeps one. Each attempt of a task writes shards under names of its own and the
+    index is written as a table, so a lost executor leaves at most an unreferenced file.
     """
     folder = folder or new_folder(payloads.sparkSession, "media")
     rows = payloads.select(F.col(digest_col).alias("digest"), F.col(payload_col).alias("payload")).dropna()
-    encoded = rows.mapInArrow(_encode_new, "digest string, media binary")
-    index = encoded.repartition("digest").mapInArrow(_write_shards(folder, shard_bytes), "digest string, shard string, offset long, length long")
-    return written(index, "media-index")
+    rows = rows.withColumn("key", F.xxhash64("digest"))
+    rows = may_repeat(rows, repeated_keys(rows.select("key"), bits), "key", "hit", bits)
+    encode, write = (_encode_new, "digest string, media binary"), (_write_shards(folder, shard_bytes), "digest string, shard string, offset long, length long")
+    alone = rows.filter("NOT hit").select("digest", "payload").mapInArrow(*encode).mapInArrow(*write)
+    shared = rows.filter("hit").select("digest", "payload").mapInArrow(*encode).repartition("digest").mapInArrow(*write)
+    return written(alone.unionByName(shared), "media-index")
 
 
 class _Ranges:
