@@ -3,6 +3,7 @@
 from clausegrid.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from clausegrid.llm.media import op3_media_columns
 from clausegrid.llm.sharding import op2_sharding
+from clausegrid.llm.toxicity import op9_toxicity
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns, "op9_toxicity": op9_toxicity}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
