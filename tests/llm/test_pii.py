@@ -1,0 +1,59 @@
+"""PII spans against Python's re, with the contract's own patterns."""
+
+import re
+
+from clausegrid.llm.pii import find_pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def holds(kind, v):
+    d = [int(c) for c in v if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in v.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum(sum(divmod(x * 2, 10)) if i % 2 else x for i, x in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        out += [(m.start(), m.end(), rank, kind) for m in re.finditer(pattern, text) if holds(kind, m[0])]
+    return sorted(out)
+
+
+TEXTS = [
+    None, "", "no data", "a.b+c@x-y.com, d@e.f%g@h.i.j", "1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.0255 256.1.1.1", "4111 1111 1111 1111 and 4111111111111112 5500-0000-0000-0004",
+    "+1 (543) 555-9258 and +49 30 1234567. +1-2-3", "é😀 x@y.z 😀 +1 (543) 555-9258 4111111111111111", "9" * 5000 + " a@b.c", "a" * 200_000, ("x@" * 3000) + "y.z", "1." * 3000 + "1", "1 2 3 4 " * 2000, "\n@a.b\n a@b a@b. a@.b",
+]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in find_pii(df).collect()}
+    assert got == {i: brute(t or "") for i, t in enumerate(TEXTS)}
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    seeds = [f"reach me at mail user{i}.q7@example{i}.org today friend" for i in range(40)]
+    new = ["reach me at mail user99.q7@intranet today friend", "reach me at mail user98.q7@localhost today friend"]
+    clean = ["version 12.34.567 of part abc123456 is out", "room 123456 is free"]
+    rows = list(enumerate(seeds + new + clean))
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[40:42]:
+        assert not got[i].base
+        assert [(text[s.start : s.end], s.kind) for s in got[i].spans] == [(text.split()[4], "email")]
+    assert all(not got[i].spans for i, _ in rows[42:])
+    assert all(got[i].spans == got[i].base for i in range(40))
+
+
+def test_empty_table_and_clashing_names(spark):
+    assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = spark.createDataFrame([(None, "a@b.c", "x", 1), (None, "a@b.c", "x", 1)], "doc_id long, text string, base string, kind int")
+    assert [len(r.spans) for r in find_pii(rows).collect()] == [1, 1]
