@@ -193,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 10_000, max_ordinar
 
     split = F.split(F.lower("_text"), r"\s+")
     size = Model.window
-    each = rows.filter("_y = 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(split), F.lit(size)), lambda i: F.array_join(F.slice(split, i, size), " "))).alias("window"))
+    # The words are bound by the outer lambda, so that a text is split once and not once a window.
+    runs = F.transform(F.array(split), lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(size)), lambda i: F.array_join(F.slice(w, i, size), " ")))
+    each = rows.filter("_y = 0").select(F.explode(F.flatten(runs)).alias("window"))
     ordinary = _ordinary_content([r["window"] for r in each.orderBy(F.xxhash64("window"), "window").limit(samples).collect()], content_bytes)
 
     def model_of(telling: bytes) -> Model:
