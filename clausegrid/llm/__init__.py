@@ -2,6 +2,7 @@
 
 from clausegrid.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from clausegrid.llm.html_text import op7_html_text
+from clausegrid.llm.line_dedup import op6_line_dedup
 from clausegrid.llm.media import op3_media_columns
 from clausegrid.llm.near_dedup import op8_near_dedup
 from clausegrid.llm.packing import op10_packing
@@ -9,5 +10,5 @@ from clausegrid.llm.pii import op5_pii
 from clausegrid.llm.sharding import op2_sharding
 from clausegrid.llm.toxicity import op9_toxicity
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns, "op5_pii": op5_pii, "op7_html_text": op7_html_text, "op8_near_dedup": op8_near_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op7_html_text": op7_html_text, "op8_near_dedup": op8_near_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 ORACLES = {"op1_exact_dedup": OP1_SQL}

@@ -63,9 +63,13 @@ def repeated_keys(keys: DataFrame, bits: int) -> DataFrame:
     be broadcast. A set bit can be shared by other keys: those are looked at once more
     than needed, but no repeated key is missed.
     """
+    return bitmap_of(keys.groupBy("key").count().filter("count > 1").select("key"), bits)
+
+
+def bitmap_of(keys: DataFrame, bits: int) -> DataFrame:
+    """The bitmap of all 64-bit hashes in `key`."""
     return (
-        keys.groupBy("key").count().filter("count > 1")
-        .groupBy(_word(F.col("key"), bits).alias("word")).agg(F.bit_or(_bit(F.col("key"), bits)).alias("set_bits"))
+        keys.groupBy(_word(F.col("key"), bits).alias("word")).agg(F.bit_or(_bit(F.col("key"), bits)).alias("set_bits"))
     )
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import may_repeat, repeated_keys, table, whole, written
+from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
 
 WORDS = 5
 SIZE = 128
@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = written(members.join(popular, "id").drop("n"), "near-buckets")
 
     wanted = members.select("id").distinct().join(texts.select("id", "_key"), "id")
-    marks = repeated_keys(wanted.select(F.xxhash64("_key").alias("key")).unionAll(wanted.select(F.xxhash64("_key").alias("key"))), BITS)
+    marks = bitmap_of(wanted.select(F.xxhash64("_key").alias("key")), BITS)
     again = base.select(F.md5("_text").alias("_key"), "_text").withColumn("_hash", F.xxhash64("_key"))
     again = may_repeat(again, marks, "_hash", "_hit", BITS).filter("_hit").select("_key", word_hashes(F.col("_text")).alias("_words"))
     items = again.mapInArrow(_items, "_key string, items array<long>").join(wanted, "_key").select("id", "items")
