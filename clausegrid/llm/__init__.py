@@ -7,8 +7,9 @@ from clausegrid.llm.media import op3_media_columns
 from clausegrid.llm.near_dedup import op8_near_dedup
 from clausegrid.llm.packing import op10_packing
 from clausegrid.llm.pii import op5_pii
+from clausegrid.llm.pieces import op4_sentencepiece
 from clausegrid.llm.sharding import op2_sharding
 from clausegrid.llm.toxicity import op9_toxicity
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op7_html_text": op7_html_text, "op8_near_dedup": op8_near_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sharding": op2_sharding, "op3_media_columns": op3_media_columns, "op4_sentencepiece": op4_sentencepiece, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op7_html_text": op7_html_text, "op8_near_dedup": op8_near_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
