@@ -228,5 +228,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return named.join(classes, "label").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_uid") == F.col("first._uid")).alias("kept"))
 
 
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of `df` of which near_duplicates keeps one a class, with all their columns.
+
+    Rows whose id is in no class of several pass by a bitmap of fixed size; only the
+    others are shuffled, to meet the ids that are kept.
+    """
+    found = written(near_duplicates(df, id_col, text_col, threshold).filter("class_size > 1").select(F.col(id_col).alias("_kept_id"), "kept"), "near-several")
+    marks = bitmap_of(found.select(F.xxhash64("_kept_id").alias("key")), BITS)
+    rows = may_repeat(df.withColumn("_near_key", F.xxhash64(id_col)), marks, "_near_key", "_near_hit", BITS).drop("_near_key")
+    several = rows.filter("_near_hit").drop("_near_hit")
+    ids = found.groupBy("_kept_id").agg(F.bool_or("kept").alias("_any"))
+    stay = several.join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left").filter("_any OR _any IS NULL").drop("_kept_id", "_any")
+    return rows.filter("NOT _near_hit").drop("_near_hit").unionByName(stay.dropDuplicates([id_col, text_col]))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import table, whole, written
+from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. They match what the plain forms match; a lookbehind or the end of the last match (\G) keeps a
@@ -20,6 +20,7 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"\S+"
+BITS = 23
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
 
@@ -146,11 +147,26 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     rank = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     extra = found.filter("seed IS NULL").join(more, "value").select("_row", F.struct("start", "end", rank.cast("int").alias("rank"), "kind").alias("s"))
     extra = extra.groupBy("_row").agg(F.collect_list("s").alias("_more"))  # a row's own tokens
-    out = kept.drop("_text").join(extra, "_row", "left")
+    # Only rows that gain spans are shuffled; the others pass by a bitmap of fixed size.
+    extra = written(extra, "pii-extra")
+    marks = bitmap_of(extra.select(F.xxhash64("_row").alias("key")), BITS)
+    out = may_repeat(kept.drop("_text").withColumn("_key", F.xxhash64("_row")), marks, "_key", "_hit", BITS).drop("_key")
+    out = out.filter("NOT _hit").withColumn("_more", F.expr(f"CAST(NULL AS {SPAN})")).unionByName(out.filter("_hit").join(extra, "_row", "left"))
     free = F.filter(F.coalesce("_more", F.expr(f"CAST(array() AS {SPAN})")), lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_base").alias("base"), F.array_sort(F.concat("_base", free)).alias("spans"))
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in angle brackets; overlapping spans give the first one's."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

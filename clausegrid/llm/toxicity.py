@@ -97,6 +97,21 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return df.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(_mapped(model, _scorer(model)), f"_id {kind}, value double").select(F.col("_id").alias(id_col), F.col("value").alias("score"))
 
 
+def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of `df`, and their score; a column called `score_col` is replaced."""
+    df = df.drop(score_col)
+    scorer = _scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(model)
+        for batch in batches:
+            scores = [scorer(distance, t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
+
+    schema = df.select("*", F.lit(0.0).alias(score_col)).schema
+    return df.mapInArrow(run, schema)
+
+
 def _ordinary_content(samples: list[str], size: int) -> bytes:
     data = [f" {s} ".encode() for s in samples]
     if sum(map(len, data)) > 20 * size:
