@@ -5,6 +5,556 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausegrid.functions import text as X
+from clausegrid.operators import chat, clauses as C, contracts as K, pairs as P, parties as N, review as R, verdicts as V
+from clausegrid.plans import inputs as I
+from clausegrid.sources import event_lines as L
+from clausegrid.sources.files import parser_of
+from clausegrid.streaming import folds as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Text
+
+
+@query(f"WITH {I.TEXTS}, {I.NORMAL} SELECT doc_id, md5(text) AS digest, length(text) AS n FROM normal")
+def normalize_text(spark, sf):
+    return I.contract_texts(spark, sf).select("doc_id", X.normalize(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+@query(f"WITH {I.TEXTS}, {I.NORMAL}, {I.CAPITAL} SELECT doc_id, md5(text) AS digest FROM capital")
+def capitalize_titles(spark, sf):
+    return I.contract_texts(spark, sf).select("doc_id", F.md5(X.capitalize_titles(X.normalize(F.col("text")))).alias("digest"))
+
+
+@query(r"""SELECT doc_id, n_words, greatest(1, n_words // 500)::INT AS n_pages, md5(array_to_string(w[1:4000], ' ')) AS snippet, md5(array_to_string(w, ' ')) AS collapsed
+FROM (SELECT doc_id, [x FOR x IN string_split_regex(text, '\s+') IF x <> ''] AS w, len([x FOR x IN string_split_regex(text, '\s+') IF x <> ''])::INT AS n_words FROM documents)""")
+def word_and_page_counts(spark, sf):
+    t = F.col("text")
+    d = I.table(spark, sf, "documents").select("doc_id", X.word_count(t).alias("n_words"), F.md5(X.snippet(t)).alias("snippet"), F.md5(X.collapse_whitespace(t)).alias("collapsed"))
+    return d.withColumn("n_pages", X.page_count(F.col("n_words")))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(t, '\[?Page\s*\d+\]?', '', 'gi')) AS digest FROM (SELECT doc_id, text || ' [Page ' || doc_id || '] page' || doc_id AS t FROM documents)""")
+def page_numbers_removed(spark, sf):
+    marked = F.concat("text", F.lit(" [Page "), F.col("doc_id").cast("string"), F.lit("] page"), F.col("doc_id").cast("string"))
+    return I.table(spark, sf, "documents").select("doc_id", F.md5(X.remove_page_numbers(marked)).alias("digest"))
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'), '^\s+', ''), '\s+$', '')) AS digest FROM pages""")
+def html_plain_text(spark, sf):
+    return I.table(spark, sf, "pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("digest"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(repeat('.', (doc_id % 4)::INT) || repeat(' ', (doc_id % 3)::INT) || source, '^[.\s]+', '') AS heading, upper(left(lang, 1)) || lower(lang[2:]) AS lang_name FROM documents""")
+def leading_dots_removed(spark, sf):
+    lead = F.concat(F.expr("repeat('.', cast(doc_id % 4 as int))"), F.expr("repeat(' ', cast(doc_id % 3 as int))"), F.col("source"))
+    return I.table(spark, sf, "documents").select("doc_id", X.leading_dots(lead).alias("heading"), X.capitalized(F.col("lang")).alias("lang_name"))
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents")
+def file_hash(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+
+
+# Clauses
+
+
+@query(f"{I.WITH} SELECT doc_id, pos, clause_number, md5(content) AS digest, len(subs)::INT AS n_subs FROM split")
+def split_into_clauses(spark, sf):
+    text = I.contract_texts(spark, sf).select("doc_id", X.capitalize_titles(X.normalize(F.col("text"))).alias("text"))
+    return C.split_clauses(text).select("doc_id", "pos", "clause_number", F.md5("content").alias("digest"), F.size("subs").alias("n_subs"))
+
+
+@query(f"{I.WITH} SELECT doc_id, pos, clause_number, md5(content) AS digest FROM clauses")
+def toc_filtered_clauses(spark, sf):
+    return I.extracted(spark, sf).select("doc_id", "pos", "clause_number", F.md5("content").alias("digest"))
+
+
+@query(f"{I.WITH}, {I.SUBS} SELECT doc_id, pos, sub_pos, clause_number, md5(content) AS digest FROM subs")
+def sub_clauses(spark, sf):
+    return C.sub_clauses(I.extracted(spark, sf)).select("doc_id", "pos", "sub_pos", "clause_number", F.md5("content").alias("digest"))
+
+
+@query(f"""{I.WITH} SELECT d.doc_id, count(c.pos) AS main_count, coalesce(sum(len(c.subs)), 0)::BIGINT AS sub_count, (count(c.pos) + coalesce(sum(len(c.subs)), 0))::BIGINT AS total_count
+FROM documents d LEFT JOIN clauses c USING (doc_id) GROUP BY 1""")
+def extraction_stats(spark, sf):
+    texts = I.contract_texts(spark, sf)
+    return C.extraction_stats(texts, C.extract_clauses(texts))
+
+
+@query(f"""{I.WITH}, {I.SUBS} SELECT sha256(doc_id || '~' || pos) AS id, doc_id AS contract_id, clause_number, md5(content) AS digest, NULL::VARCHAR AS parent_clause_id, pos AS order_index FROM clauses
+UNION ALL SELECT sha256(doc_id || '~' || pos || '~' || sub_pos), doc_id, clause_number, md5(content), sha256(doc_id || '~' || pos), sub_pos FROM subs""")
+def flat_clause_table(spark, sf):
+    return C.flat_clauses(I.extracted(spark, sf)).withColumn("digest", F.md5("content")).drop("content")
+
+
+@query(f"""{I.WITH} SELECT sha256(doc_id || '~' || pos) AS id, doc_id AS contract_id, clause_number, len(subs)::INT AS n_subs, array_to_string([x.clause_number FOR x IN subs], ',') AS numbers, md5(array_to_string([x.content FOR x IN subs], '|')) AS digest FROM clauses""")
+def clause_tree(spark, sf):
+    tree = C.clause_tree(C.flat_clauses(I.extracted(spark, sf)))
+    return tree.select("id", "contract_id", "clause_number", F.size("sub_clauses").alias("n_subs"), F.array_join("sub_clauses.clause_number", ",").alias("numbers"), F.md5(F.array_join("sub_clauses.content", "|")).alias("digest"))
+
+
+@query(f"{I.WITH} SELECT doc_id, pos, clause_number FROM clauses WHERE contains(lower(clause_number), 'tion a') OR contains(lower(content), 'tion a')")
+def clause_search(spark, sf):
+    return C.search(I.extracted(spark, sf), "Tion A").select("doc_id", "pos", "clause_number")
+
+
+@query(f"{I.WITH} SELECT doc_id, pos FROM clauses WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = clauses.doc_id AND l.quality = 1)")
+def selected_clauses(spark, sf):
+    chosen = I.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return I.extracted(spark, sf).join(chosen, "doc_id", "left_semi").select("doc_id", "pos")
+
+
+@query(f"""{I.WITH} SELECT doc_id, count(*) AS n, count(*) FILTER (length(content) > 50000) AS too_long, coalesce(array_to_string(list_sort(list(pos) FILTER (regexp_replace(content, '\\s', '', 'g') = '')), ','), '') AS blank,
+count(*) BETWEEN 2 AND 50 AND count(*) FILTER (regexp_replace(content, '\\s', '', 'g') = '') = 0 AND count(*) FILTER (length(content) > 50000) = 0 AS ok FROM clauses GROUP BY 1""")
+def comparison_validation(spark, sf):
+    return C.blank_or_large(I.extracted(spark, sf)).select("doc_id", "n", "too_long", F.array_join("blank_at", ",").alias("blank"), "ok")
+
+
+@query(f"{I.WITH} SELECT doc_id, clause_number, pos, length(content) AS n FROM clauses QUALIFY row_number() OVER (PARTITION BY doc_id, clause_number ORDER BY length(content) DESC, pos) = 1")
+def longest_clause_of_each_number(spark, sf):
+    return R.longest_of_each_number(I.extracted(spark, sf)).select("doc_id", "clause_number", "pos", F.length("content").cast("long").alias("n"))
+
+
+@query(f"""{I.WITH} SELECT doc_id, round(100.0 * sum(length(content)) / max(n), 4) AS coverage, max(n) AS n, CASE WHEN count(*) <= 50 THEN 'fast' WHEN count(*) <= 150 THEN 'medium' ELSE 'smart' END AS route
+FROM clauses JOIN (SELECT doc_id, length(text) AS n FROM texts) USING (doc_id) GROUP BY 1""")
+def coverage_and_route(spark, sf):
+    texts = I.contract_texts(spark, sf)
+    sizes = texts.select("doc_id", F.length("text").cast("long").alias("n"))
+    out = C.extract_clauses(texts).groupBy("doc_id").agg(F.sum(F.length("content")).alias("held"), F.count(F.lit(1)).alias("c")).join(sizes, "doc_id")
+    return out.select("doc_id", F.round(F.lit(100.0) * F.col("held") / F.col("n"), 4).alias("coverage"), "n", R.route(F.col("c")).alias("route"))
+
+
+# Contracts
+
+
+@query(f"WITH {I.CONTRACTS} SELECT id, filename, file_type, file_size, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM contracts ORDER BY created_at DESC, id LIMIT 100 OFFSET 20")
+def list_contracts(spark, sf):
+    return K.list_contracts(I.contracts(spark, sf), 20, 100)
+
+
+@query(f"""{I.WITH}, {I.CONTRACTS} SELECT k.id, k.status, count(c.pos) AS clause_count, ['Party ' || k.id || ' LLC', 'Firm ' || k.id || ' FZE'][2] || ';' || 'Party ' || k.id || ' LLC' AS parties
+FROM contracts k LEFT JOIN clauses c ON c.doc_id::VARCHAR = k.id GROUP BY k.id, k.status""")
+def contract_details(spark, sf):
+    contracts = I.contracts(spark, sf)
+    names = contracts.select(F.col("id").alias("contract_id"), F.explode(F.array(F.concat(F.lit("Party "), "id", F.lit(" LLC")), F.concat(F.lit("Firm "), "id", F.lit(" FZE")))).alias("name"))
+    flat = C.flat_clauses(I.extracted(spark, sf)).withColumn("contract_id", F.col("contract_id").cast("string"))
+    return K.details(contracts, names, flat).select("id", "status", "clause_count", F.array_join("parties", ";").alias("parties"))
+
+
+@query(f"""{I.WITH}, {I.SUBS}, {I.CONTRACTS}, keep AS (SELECT id FROM contracts WHERE status <> 'failed')
+SELECT 'contracts' AS name, count(*) AS n FROM keep UNION ALL SELECT 'clauses', (SELECT count(*) FROM clauses WHERE doc_id::VARCHAR IN (SELECT id FROM keep)) + (SELECT count(*) FROM subs WHERE doc_id::VARCHAR IN (SELECT id FROM keep))""")
+def delete_cascade_counts(spark, sf):
+    contracts = I.contracts(spark, sf)
+    tables = {"contracts": contracts, "clauses": C.flat_clauses(I.extracted(spark, sf)).withColumn("contract_id", F.col("contract_id").cast("string"))}
+    left = K.delete(tables, contracts.filter("status = 'failed'"))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query(f"""WITH {I.CONTRACTS} SELECT id, CASE WHEN status = 'parsing' THEN 'completed' ELSE status END AS status, file_type, CASE WHEN status = 'parsing' THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM contracts""")
+def update_contracts(spark, sf):
+    contracts = I.contracts(spark, sf)
+    patch = contracts.filter("status = 'parsing'").select("id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("file_type"))
+    return K.update(contracts, patch, F.lit("2025-01-01").cast("timestamp_ntz")).select("id", "status", "file_type", "updated_at")
+
+
+@query(f"""WITH {I.CONTRACTS} SELECT id, CASE WHEN file_type = 'md' THEN 'unsupported file type' END AS upload_error, CASE file_type WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'txt' ELSE file_type END AS parser, (SELECT CASE WHEN length(trim(text)) < 100 THEN 'too little text' END FROM documents WHERE doc_id::VARCHAR = id) AS text_error FROM contracts""")
+def upload_validation(spark, sf):
+    texts = I.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    joined = I.contracts(spark, sf).join(texts, "id")
+    return joined.select("id", K.upload_error(F.col("filename"), F.col("file_size")).alias("upload_error"), parser_of(F.col("filename")).alias("parser"), K.text_error(F.col("text")).alias("text_error"))
+
+
+@query("""SELECT user_id::VARCHAR AS contract_id, CASE arg_max(event_type, (ts, event_type)) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'parsing' END AS status,
+CASE WHEN arg_max(event_type, (ts, event_type)) = 'error' THEN 'stopped' END AS error_message FROM events GROUP BY user_id""")
+def status_machine(spark, sf):
+    stage = F.when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "ERROR").otherwise(F.col("event_type"))
+    e = I.table(spark, sf, "events")
+    order = F.struct("ts", "event_type")
+    last = e.groupBy("user_id").agg(F.max_by("event_type", order).alias("event_type"), F.max("ts").alias("at"))
+    return K.last_status(last.select(F.col("user_id").cast("string").alias("contract_id"), "at", stage.alias("stage"), F.lit("stopped").alias("message")))
+
+
+@query(f"""WITH {I.CONTRACTS} SELECT 'contracts' AS name, count(*) AS n FROM contracts UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels""")
+def table_counts(spark, sf):
+    each = [(n, df) for n, df in (("contracts", I.contracts(spark, sf)), ("pages", I.table(spark, sf, "pages")), ("labels", I.table(spark, sf, "labels")))]
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, df in each]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"WITH {I.CONTRACTS} SELECT status, count(*) AS n, count(DISTINCT file_type) AS kinds, count(*) FILTER (file_size > 1000) AS large FROM contracts GROUP BY 1")
+def status_counts(spark, sf):
+    return I.contracts(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_type").alias("kinds"), F.count_if(F.col("file_size") > 1000).alias("large"))
+
+
+# Parties
+
+_PARTY_TEXT = """party_texts AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'made BETWEEN Party ' || doc_id || ' LLC' || chr(10) || 'and Firm ' || doc_id || ', hereinafter' WHEN 1 THEN 'Agreement between Acme ' || doc_id || ' and Beta.' WHEN 2 THEN 'Parties: Acme and Beta ' || doc_id || '.'
+  WHEN 3 THEN 'between P.O. Box ' || doc_id || ' and Main Street, x' ELSE 'Nobody' END || chr(10) || source AS text FROM documents)"""
+
+
+def _party_texts(spark, sf):
+    text = F.expr(
+        """concat(case doc_id % 5 when 0 then concat('made BETWEEN Party ', doc_id, ' LLC', '\\n', 'and Firm ', doc_id, ', hereinafter') when 1 then concat('Agreement between Acme ', doc_id, ' and Beta.') when 2 then concat('Parties: Acme and Beta ', doc_id, '.')
+           when 3 then concat('between P.O. Box ', doc_id, ' and Main Street, x') else 'Nobody' end, '\\n', source)"""
+    )
+    return I.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+_NAMES = r"""named AS (SELECT doc_id, CASE
+  WHEN regexp_matches(t, '(?i)between\s+(.+?)\s+AND\s+(.+?)(?:hereinafter|,|\()') THEN [trim(regexp_extract(t, '(?i)between\s+(.+?)\s+AND\s+(.+?)(?:hereinafter|,|\()', 1)), trim(regexp_extract(t, '(?i)between\s+(.+?)\s+AND\s+(.+?)(?:hereinafter|,|\()', 2))]
+  WHEN regexp_matches(t, '(?i)(?:agreement|contract)\s+(?:is\s+)?(?:made\s+)?between\s+(.+?)\s+and\s+(.+?)(?:\.|,|\()') THEN [trim(regexp_extract(t, '(?i)(?:agreement|contract)\s+(?:is\s+)?(?:made\s+)?between\s+(.+?)\s+and\s+(.+?)(?:\.|,|\()', 1)), trim(regexp_extract(t, '(?i)(?:agreement|contract)\s+(?:is\s+)?(?:made\s+)?between\s+(.+?)\s+and\s+(.+?)(?:\.|,|\()', 2))]
+  WHEN regexp_matches(t, '(?i)parties:\s*(.+?)\s+and\s+(.+?)(?:\.|,|\n)') THEN [trim(regexp_extract(t, '(?i)parties:\s*(.+?)\s+and\s+(.+?)(?:\.|,|\n)', 1)), trim(regexp_extract(t, '(?i)parties:\s*(.+?)\s+and\s+(.+?)(?:\.|,|\n)', 2))]
+  ELSE ['UNKNOWN PARTY 1', 'UNKNOWN PARTY 2'] END AS names FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM party_texts))"""
+
+
+@query(f"WITH {_PARTY_TEXT}, {_NAMES} SELECT doc_id, names[1] AS first, names[2] AS second FROM named")
+def parties_by_pattern(spark, sf):
+    d = _party_texts(spark, sf).select("doc_id", N.by_pattern(F.col("text")).alias("names"))
+    return d.select("doc_id", F.element_at("names", 1).alias("first"), F.element_at("names", 2).alias("second"))
+
+
+@query(f"""WITH {_PARTY_TEXT}, {_NAMES}, good AS (SELECT doc_id, names, [n FOR n IN names IF NOT regexp_matches(n, 'P\\.?O\\.?\\s+Box|\\d{{5,}}|(?i:tower|building|floor|street|avenue|road|hereinafter|referred\\s+to\\s+as)')] AS g FROM named)
+SELECT doc_id, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE names END, '|') AS names FROM good""")
+def parties_without_addresses(spark, sf):
+    d = _party_texts(spark, sf).select("doc_id", N.without_addresses(N.by_pattern(F.col("text"))).alias("names"))
+    return d.select("doc_id", F.array_join("names", "|").alias("names"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A' || doc_id || '|B' WHEN 1 THEN source ELSE NULL END AS names FROM documents""")
+def parties_from_answers(spark, sf):
+    answer = F.expr("""case doc_id % 4 when 0 then concat('```json\\n["A', doc_id, '", " B ", " "]\\n```') when 1 then concat('["', source, '"]') when 2 then 'no list' else '[]' end""")
+    return I.table(spark, sf, "documents").select("doc_id", F.array_join(N.parse_list(answer), "|").alias("names"))
+
+
+# Pairs
+
+@query(f"""{I.WITH} SELECT doc_id, a.pos AS i, b.pos AS j, a.pos = b.pos AS is_self_check, row_number() OVER (PARTITION BY doc_id ORDER BY a.pos <> b.pos, a.pos, b.pos) - 1 AS pair_order,
+(row_number() OVER (PARTITION BY doc_id ORDER BY a.pos <> b.pos, a.pos, b.pos) - 1) // 10 AS block FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos <= b.pos""")
+def pairs_all_against_all(spark, sf):
+    return P.blocks(P.upper_triangular(I.extracted(spark, sf))).select("doc_id", "i", "j", "is_self_check", "pair_order", "block")
+
+
+@query(f"{I.WITH} SELECT doc_id, a.pos AS i, b.pos AS j FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos < b.pos")
+def pairs_strict(spark, sf):
+    return P.upper_triangular(I.extracted(spark, sf), self_checks=False).select("doc_id", "i", "j")
+
+
+@query(f"{I.WITH} SELECT doc_id, a.pos - 1 AS target_index, md5('Compare.' || chr(10)||chr(10) || '[Source clause]' || chr(10) || s.content || chr(10)||chr(10) || '[Target clause ' || a.pos || ']' || chr(10) || a.content || chr(10)||chr(10) || 'Answer with these lines:' || chr(10) || 'Conflict: Yes/No' || chr(10) || 'Explanation' || chr(10) || 'Severity: High/Medium/Low') AS digest FROM clauses a JOIN clauses s USING (doc_id) WHERE s.pos = 0 AND a.pos > 0")
+def prompts_one_to_many(spark, sf):
+    p = P.one_to_many(I.extracted(spark, sf))
+    return p.select("doc_id", "target_index", F.md5(V.target_prompt(F.lit("Compare."), F.col("source"), F.col("target_index"), F.col("target"))).alias("digest"))
+
+
+@query(f"""{I.WITH} SELECT doc_id, a.pos AS i, b.pos AS j, md5('Compare.' || chr(10)||chr(10) || '[Clause ' || (a.pos + 1) || ']' || chr(10) || a.content || CASE WHEN a.pos = b.pos THEN '' ELSE chr(10)||chr(10) || '[Clause ' || (b.pos + 1) || ']' || chr(10) || b.content END || chr(10)||chr(10) || 'Answer with these lines:' || chr(10) || 'Conflict: Yes/No' || chr(10) || 'Explanation' || chr(10) || 'Severity: High/Medium/Low') AS digest
+FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos <= b.pos""")
+def prompts_all_against_all(spark, sf):
+    p = P.upper_triangular(I.extracted(spark, sf))
+    return p.select("doc_id", "i", "j", F.md5(V.pair_prompt(F.lit("Compare."), F.col("i"), F.col("j"), F.col("text_i"), F.col("text_j"))).alias("digest"))
+
+
+@query("""SELECT a.item_id, md5('Compare.' || chr(10)||chr(10) || '[Clause A]' || chr(10) || a.text || chr(10)||chr(10) || '[Clause B]' || chr(10) || b.text || chr(10)||chr(10) || 'Compare the two clauses as asked above.') AS digest FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
+def prompts_one_to_one(spark, sf):
+    b = I.table(spark, sf, "benchmark").select("item_id", "text")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(other, "item_id").select("item_id", F.md5(V.single_prompt(F.lit("Compare."), F.col("text"), F.col("other"))).alias("digest"))
+
+
+@query(f"""{I.WITH}, sized AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n FROM clauses), numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, n FROM sized)
+SELECT doc_id, k, b AS block FROM (SELECT doc_id, k, n, unnest(range(0, greatest(0, ceil((n - 75) / 50.0))::BIGINT + 1)) AS b FROM numbered) WHERE k >= b * 50 AND k < b * 50 + 75""")
+def sliding_blocks(spark, sf):
+    from pyspark.sql.window import Window
+
+    k = I.extracted(spark, sf).select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("long").alias("k"))
+    return P.sliding_blocks(k, pos="k").select("doc_id", "k", F.col("block").cast("long").alias("block"))
+
+
+@query(f"""{I.WITH}, kept AS (SELECT doc_id, clause_number, pos FROM clauses QUALIFY row_number() OVER (PARTITION BY doc_id, clause_number ORDER BY pos) <= 50)
+SELECT doc_id, clause_number, a.pos AS i, b.pos AS j FROM kept a JOIN kept b USING (doc_id, clause_number) WHERE a.pos < b.pos""")
+def section_pairs(spark, sf):
+    return P.capped_pairs(I.extracted(spark, sf), ["doc_id", "clause_number"], 50)
+
+
+@query("""WITH p AS (SELECT doc_id, toxic AS i, quality AS j, doc_id AS by_id FROM labels) SELECT source, least(i, j) AS i, greatest(i, j) AS j, min(by_id) AS by_id FROM p JOIN documents USING (doc_id) GROUP BY 1, 2, 3""")
+def canonical_pairs(spark, sf):
+    p = I.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("i"), F.col("quality").alias("j"))
+    p = p.join(I.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").withColumnRenamed("doc_id", "by_id")
+    return P.canonical(p, "source", "by_id").select("source", "i", "j", "by_id")
+
+
+@query(f"""{I.WITH}, n AS (SELECT doc_id, count(*) AS n FROM clauses GROUP BY 1), c AS (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, a.pos, b.pos FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos < b.pos AND a.clause_number = b.clause_number) GROUP BY 1)
+SELECT doc_id, n, coalesce(c, 0) AS candidates, CASE WHEN n > 1 THEN round(100.0 * (1 - coalesce(c, 0) / (n * (n - 1) / 2.0)), 4) ELSE 0 END AS reduction FROM n LEFT JOIN c USING (doc_id)""")
+def reduction_ratio(spark, sf):
+    clauses = I.extracted(spark, sf).select("doc_id", "pos", "clause_number")
+    n = clauses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # Pairs with the same number, counted per number, so that no pair is made.
+    same = clauses.groupBy("doc_id", "clause_number").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id").agg(F.sum(F.expr("k * (k - 1) div 2")).alias("c"))
+    out = n.join(same, "doc_id", "left").withColumn("candidates", F.coalesce("c", F.lit(0)))
+    return out.select("doc_id", "n", "candidates", F.when(F.col("n") > 1, F.round(F.lit(100.0) * (1 - F.col("candidates") / (F.col("n") * (F.col("n") - 1) / 2)), 4)).otherwise(0.0).alias("reduction"))
+
+
+# Verdicts
+
+
+def _sql_any(column: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+
+
+_CONFLICT = f"CASE WHEN {_sql_any('a', V.STRUCTURED_YES)} OR {_sql_any('a', V.STRUCTURED_NO)} THEN {_sql_any('a', V.STRUCTURED_YES)} AND NOT {_sql_any('a', V.STRUCTURED_NO)} WHEN {_sql_any('a', V.EXPLICIT_YES)} OR {_sql_any('a', V.EXPLICIT_NO)} THEN {_sql_any('a', V.EXPLICIT_YES)} AND NOT {_sql_any('a', V.EXPLICIT_NO)} ELSE {_sql_any('a', V.GENERAL)} END"
+_SEVERITY = "CASE " + " ".join(f"WHEN contains(a, 'severity: {s.lower()}') OR contains(a, '{s.lower()} severity') THEN '{s}'" for s in V.SEVERITIES) + " ELSE 'Unknown' END"
+_JUDGED = f"judged AS (SELECT doc_id, toxic, quality, {_CONFLICT} AS conflict, {_SEVERITY} AS severity, {_sql_any('a', V.ONE_TO_MANY_YES)} AS conflict_one FROM (SELECT *, lower(answer) AS a FROM answers))"
+
+
+@query(f"WITH {I.ANSWERS}, {_JUDGED} SELECT doc_id, conflict, conflict_one, severity FROM judged")
+def verdicts(spark, sf):
+    a = I.answers(spark, sf)
+    return V.judged(a).select("doc_id", "conflict", V.conflict_one_to_many(F.col("answer")).alias("conflict_one"), "severity")
+
+
+@query(f"WITH {I.ANSWERS}, {_JUDGED} SELECT quality, count(*) AS results_sent, count(*) FILTER (conflict) AS conflicts_found, 0::BIGINT AS errors, count(*) FILTER (toxic = 1) AS self_checks, count(*) FILTER (toxic <> 1) AS pair_checks FROM judged GROUP BY 1")
+def run_counters(spark, sf):
+    judged = V.judged(I.answers(spark, sf)).withColumn("is_self_check", F.col("toxic") == 1)
+    return V.run_counters(judged, "quality")
+
+
+@query("""SELECT conv_id, turn, row_number() OVER o AS current, count(*) OVER c AS total, round(row_number() OVER o / count(*) OVER c * 100.0, 4) AS percent,
+round((count(*) OVER c - row_number() OVER o) * (sum(length(text)) OVER o) / row_number() OVER o, 4)::DOUBLE AS eta FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn), c AS (PARTITION BY conv_id)""")
+def progress_and_eta(spark, sf):
+    rows = I.table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("seconds"))
+    return V.progress(rows, "conv_id", "turn", "seconds").select("conv_id", "turn", "current", "total", "percent", F.col("eta").cast("double").alias("eta"))
+
+
+@query("SELECT source, lang, sum(toxic)::BIGINT AS votes, count(*) AS checks FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2 HAVING sum(toxic) >= (count(*) + 1) // 2")
+def majority_vote(spark, sf):
+    rows = I.table(spark, sf, "labels").join(I.table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return V.majority(rows, ["source", "lang"], "toxic")
+
+
+@query()
+def compare_all_against_all(spark, sf):
+    """Pairs of benchmark items through the offline provider; each distinct prompt is asked once."""
+    items = I.table(spark, sf, "benchmark").select(F.lit(0).alias("doc_id"), F.col("item_id").cast("int").alias("pos"), F.col("text").alias("content"))
+    p = P.upper_triangular(items)
+    prompts = p.select("i", "j", "is_self_check", V.pair_prompt(F.lit("Compare."), F.col("i"), F.col("j"), F.col("text_i"), F.col("text_j")).alias("prompt"))
+    return V.judged(V.answers(prompts)).select("i", "j", "is_self_check", "conflict", "severity")
+
+
+# Chat
+
+_CHAT = """SELECT conv_id, turn, md5(coalesce(array_to_string(list(upper(left(role, 1)) || lower(role[2:]) || ': ' || text || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), ''), '') || 'User: ' || text || chr(10) || 'Assistant:') AS digest FROM conversations"""
+
+
+@query(_CHAT.format(k=10))
+def chat_prompts(spark, sf):
+    return chat.prompts(I.table(spark, sf, "conversations")).select("conv_id", "turn", F.md5("prompt").alias("digest"))
+
+
+@query(_CHAT.format(k=3))
+def chat_prompts_last_3(spark, sf):
+    return chat.prompts(I.table(spark, sf, "conversations"), 3).select("conv_id", "turn", F.md5("prompt").alias("digest"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN event_type END AS token, epoch_us(ts) / 1000000.0 AS tick FROM events), m AS (
+SELECT user_id, coalesce(array_to_string(list(token ORDER BY event_id) FILTER (token IS NOT NULL), ''), '') AS response, count(token) AS total_tokens, min(tick) FILTER (token IS NOT NULL) AS f, max(tick) AS l, min(tick) AS s FROM c GROUP BY 1)
+SELECT user_id, response, total_tokens, round(coalesce(nullif(f - s, 0), l - s), 6) AS time_to_first_token, round(l - s, 6) AS total_time, round(CASE WHEN l - s > 0 THEN total_tokens / (l - s) ELSE 0 END, 6) AS tokens_per_second FROM m""")
+def token_metrics(spark, sf):
+    e = I.table(spark, sf, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
+    chunks = e.select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("token"), at.alias("at"))
+    return chat.token_metrics(chunks.withColumn("start", F.col("at")), "user_id", "event_id", "token", "at", "start")
+
+
+# Event lines and streams
+
+
+@query("SELECT event_id, event_type AS stage, (event_id % 101)::INT AS progress FROM events")
+def server_sent_events(spark, sf):
+    """Events written as server-sent lines and read again; lines of other kinds are skipped."""
+    e = I.table(spark, sf, "events")
+    record = F.struct(F.lit("status").alias("type"), F.col("event_type").alias("stage"), F.col("event_id").cast("string").alias("message"), (F.col("event_id") % 101).cast("int").alias("progress"))
+    lines = e.select(F.explode(F.array(F.split_part(L.to_sse(record), F.lit("\n"), F.lit(1)), F.lit(": ping"), F.lit("data: {broken"))).alias("value"))
+    return L.from_sse(lines).select(F.col("event.message").cast("long").alias("event_id"), F.col("event.stage").alias("stage"), F.col("event.progress").alias("progress"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS token, event_id % 7 = 0 AND event_id % 5 <> 0 AS done FROM events")
+def token_lines(spark, sf):
+    line = F.when(F.col("event_id") % 5 == 0, "{oops").otherwise(F.to_json(F.struct(F.col("event_type").alias("response"), (F.col("event_id") % 7 == 0).alias("done"))))
+    return L.from_ndjson(I.table(spark, sf, "events").select("event_id", line.alias("value"))).select("event_id", "token", "done")
+
+
+@query("""SELECT user_id AS run_id, arg_max(event_type, (ts, event_id)) AS stage, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 0 ELSE arg_max(event_id % 101, (ts, event_id)) END::INT AS progress, count(*) AS events FROM events GROUP BY 1""")
+def upload_progress(spark, sf):
+    e = I.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("stage"), (F.col("event_id") % 101).cast("int").alias("progress"))
+    out = S.latest_progress(e.withColumn("stage", F.when(F.col("stage") == "error", "ERROR").otherwise(F.col("stage"))))
+    return out.withColumn("stage", F.when(F.col("stage") == "ERROR", "error").otherwise(F.col("stage")))
+
+
+@query("""SELECT user_id::VARCHAR AS run_id, count(*) FILTER (event_type IN ('view', 'click')) AS results, count(*) FILTER (event_type = 'click') AS conflicts, count(*) FILTER (event_type = 'view' AND value > 90) AS errors,
+CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'purchase') THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY 1""")
+def run_totals(spark, sf):
+    return S.run_totals(run_events(I.table(spark, sf, "events")))
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """Run events made from events: views and clicks are results, a click is a conflict."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "result").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "complete").otherwise("status")
+    return events.select(F.col("user_id").cast("string").alias("run_id"), kind.alias("type"), (F.col("event_type") == "click").alias("conflict"), F.when((F.col("event_type") == "view") & (F.col("value") > 90), "Error").otherwise("Low").alias("severity"))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_by_day(spark, sf):
+    return S.windowed_counts(I.table(spark, sf, "events"))
+
+
+# Documented review rules
+
+
+@query(r"""SELECT doc_id, line, (regexp_matches(l, '^\d+(?:\.\d+)*\.?\s+\S.*\s\d{1,3}$') AND length(l) < 100) OR regexp_matches(l, '\.{5,}') OR regexp_matches(lower(l), '^\s*(table of )?contents\s*$') AS toc
+FROM (SELECT doc_id, unnest([{'i': (i - 1)::INT, 'l': x} FOR x, i IN string_split(t, chr(10))], recursive := true) FROM (SELECT doc_id, text || chr(10) || doc_id || '. Terms ' || doc_id || chr(10) || 'Contents' || chr(10) || 'Fees ..... 3' AS t FROM documents)) AS q(doc_id, line, l)""")
+def toc_lines(spark, sf):
+    t = F.concat("text", F.lit("\n"), F.col("doc_id").cast("string"), F.lit(". Terms "), F.col("doc_id").cast("string"), F.lit("\nContents\nFees ..... 3"))
+    lines = I.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(t, "\n")).alias("line", "l"))
+    return lines.select("doc_id", "line", R.toc_line(F.col("l")).alias("toc"))
+
+
+_REVIEWED = r"""reviewed AS (SELECT doc_id, pos, CASE pos % 6 WHEN 0 THEN 'The Supplier shall pay all invoices within ' || doc_id || ' days of notice.' WHEN 1 THEN 'It is hereby agreed that:' WHEN 2 THEN 'Fees' WHEN 3 THEN 'Notwithstanding clause ' || (doc_id % 5 + 1) || ' and section 2.1, courts of ' || left(md5(doc_id::VARCHAR), 4) || ' have jurisdiction.'
+  WHEN 4 THEN 'Any notice follows the mediation procedure in paragraph 3, see clause 3 and Article 7.' ELSE content END AS content, clause_number FROM clauses)"""
+
+
+def _reviewed(spark, sf):
+    text = F.expr(
+        """case pos % 6 when 0 then concat('The Supplier shall pay all invoices within ', doc_id, ' days of notice.') when 1 then 'It is hereby agreed that:' when 2 then 'Fees' when 3 then concat('Notwithstanding clause ', doc_id % 5 + 1, ' and section 2.1, courts of ', left(md5(cast(doc_id as string)), 4), ' have jurisdiction.')
+           when 4 then 'Any notice follows the mediation procedure in paragraph 3, see clause 3 and Article 7.' else content end"""
+    )
+    return I.extracted(spark, sf).select("doc_id", "pos", "clause_number", text.alias("content"))
+
+
+_LEGAL = r"(?i)\b(shall|must|will|may|agrees?|undertakes?|warrants?|liable)\b"
+_STUB = rf"(right(s, 1) = ':' OR regexp_matches(s, '(?is)it is (?:hereby )?agreed that:?.{{0,19}}$') OR (length(s) < 30 AND NOT regexp_matches(s, '{_LEGAL}')))"
+_WORDS = r"len([x FOR x IN string_split_regex(s, '\s+') IF x <> ''])"
+_SUBST = rf"""(({_WORDS} >= 10 AND length(s) >= 50) OR regexp_matches(s, '{_LEGAL}') OR regexp_matches(s, '(?i)"[^"]+"\s+(means|refers to)'))"""
+_STRIPPED = r"stripped AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS s FROM reviewed)"
+
+
+@query(rf"""{I.WITH}, {_REVIEWED}, {_STRIPPED} SELECT doc_id, pos, {_STUB} AS stub, length(s) < 180 AND (right(s, 1) = ':' OR (regexp_matches(s, '(?i)agreed that|as follows') AND {_WORDS} < 15)) AS short_stub, {_SUBST} AS substantive FROM stripped""")
+def stubs_and_substance(spark, sf):
+    c = F.col("content")
+    return _reviewed(spark, sf).select("doc_id", "pos", R.is_stub(c).alias("stub"), R.is_short_stub(c).alias("short_stub"), R.is_substantive(c).alias("substantive"))
+
+
+@query(rf"""{I.WITH}, {_REVIEWED}, {_STRIPPED} SELECT coalesce(CASE WHEN (regexp_matches(content, '^\d+(?:\.\d+)*\.?\s+\S.*\s\d{{1,3}}$') AND length(content) < 100) OR regexp_matches(content, '\.{{5,}}') OR regexp_matches(lower(content), '^\s*(table of )?contents\s*$') THEN 'toc' WHEN {_STUB} THEN 'stub' WHEN NOT {_SUBST} THEN 'no_content' END, 'valid') AS reason, count(*) AS n FROM stripped GROUP BY 1""")
+def filter_metrics(spark, sf):
+    return _reviewed(spark, sf).groupBy(F.coalesce(R.removal_reason(F.col("content")), F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FUNCTION = "CASE " + " ".join(f"WHEN regexp_matches(content, '{p}') THEN '{n}'" for n, p in R.FUNCTIONS.items()) + " ELSE 'GENERAL' END"
+
+
+@query(f"{I.WITH}, {_REVIEWED} SELECT doc_id, pos, {_FUNCTION} AS function, regexp_matches(content, '{R.OVERRIDE}') AS override FROM reviewed")
+def clause_functions(spark, sf):
+    c = F.col("content")
+    return _reviewed(spark, sf).select("doc_id", "pos", R.function_of(c).alias("function"), c.rlike(R.OVERRIDE).alias("override"))
+
+
+@query(f"""{I.WITH}, {_REVIEWED}, f AS (SELECT doc_id, {_FUNCTION} AS function, count(*) AS n FROM reviewed GROUP BY 1, 2)
+SELECT doc_id, sum(n * (n - 1) // 2)::BIGINT AS same, coalesce(sum(n) FILTER (function = 'CONFIDENTIALITY') * sum(n) FILTER (function = 'INDEMNITY_LIABILITY'), 0)::BIGINT AS across FROM f GROUP BY 1""")
+def gated_pairs(spark, sf):
+    """Pairs that the gate lets pass, counted by function so that none is made."""
+    f = _reviewed(spark, sf).groupBy("doc_id", R.function_of(F.col("content")).alias("function")).agg(F.count(F.lit(1)).alias("n"))
+    n = lambda name: F.sum(F.when(F.col("function") == name, F.col("n")))
+    return f.groupBy("doc_id").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("same"), F.coalesce(n("CONFIDENTIALITY") * n("INDEMNITY_LIABILITY"), F.lit(0)).alias("across"))
+
+
+@query(f"{I.WITH}, {_REVIEWED} SELECT doc_id, pos, array_to_string(list_distinct_ordered, ',') AS refs FROM (SELECT doc_id, pos, [x FOR x, i IN r IF list_position(r, x) = i] AS list_distinct_ordered FROM (SELECT doc_id, pos, regexp_extract_all(content, '{R.REFERENCE}', 1) AS r FROM reviewed))")
+def cross_references(spark, sf):
+    return _reviewed(spark, sf).select("doc_id", "pos", F.array_join(R.references(F.col("content")), ",").alias("refs"))
+
+
+@query(f"""{I.WITH}, {_REVIEWED}, o AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(content, '{R.REFERENCE}', 1)) AS number FROM reviewed WHERE regexp_matches(content, '{R.OVERRIDE}'))
+SELECT o.doc_id, number, o.pos AS i, r.pos AS j FROM o JOIN reviewed r ON r.doc_id = o.doc_id AND regexp_replace(r.clause_number, '[.)]$', '') = number WHERE o.pos <> r.pos""")
+def override_references(spark, sf):
+    return R.override_pairs(_reviewed(spark, sf)).select("doc_id", "number", "i", "j")
+
+
+@query(f"""{I.WITH}, {_REVIEWED}, p AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(lower(content), 'notice|procedure|mediation|escalation') AND NOT regexp_matches(lower(content), 'jurisdiction|governing law|courts of')) AS k FROM reviewed GROUP BY 1)
+SELECT doc_id, n * (n - 1) // 2 - (n - k) * (n - k - 1) // 2 AS dropped FROM p""")
+def procedure_pairs_dropped(spark, sf):
+    """How many pairs of each document the procedure-against-jurisdiction rule drops, from counts."""
+    only = R.procedure_against_jurisdiction(F.col("content"), F.col("content"))
+    p = _reviewed(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(only).alias("k"))
+    return p.select("doc_id", F.expr("n * (n - 1) div 2 - (n - k) * (n - k - 1) div 2").alias("dropped"))
+
+
+_CONF = "conf AS (SELECT doc_id, ['TRUE_CONFLICT', 'AMBIGUITY', 'NONE'][(doc_id % 3 + 1)::INT] AS classification, (70 + doc_id % 31) / 100.0::DOUBLE AS confidence, source FROM documents)"
+
+
+def _conflicts(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(F.lit("TRUE_CONFLICT"), F.lit("AMBIGUITY"), F.lit("NONE")), (F.col("doc_id") % 3 + 1).cast("int")).alias("classification"), ((F.lit(70) + F.col("doc_id") % 31) / F.lit(100.0)).alias("confidence"), "source")
+
+
+@query(f"WITH {_CONF} SELECT classification, count(*) AS n, round(avg(confidence), 2) AS mean, min(confidence) AS low, max(confidence) AS high, count(DISTINCT source) AS sources FROM conf WHERE classification IN ('TRUE_CONFLICT', 'AMBIGUITY') AND confidence >= 0.85 GROUP BY 1")
+def confidence_stats(spark, sf):
+    return R.stored(_conflicts(spark, sf)).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 2).alias("mean"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.count_distinct("source").alias("sources"))
+
+
+@query(f"""WITH {_CONF} SELECT doc_id, CASE WHEN confidence >= 0.95 THEN 'CRITICAL' WHEN confidence >= 0.90 THEN 'HIGH' WHEN confidence >= 0.85 THEN 'MEDIUM' ELSE 'LOW' END AS by_confidence,
+CASE WHEN classification = 'AMBIGUITY' THEN 'MEDIUM' WHEN doc_id % 4 = 0 THEN 'CRITICAL' WHEN doc_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS by_materiality FROM conf""")
+def conflict_severities(spark, sf):
+    d = _conflicts(spark, sf)
+    kind = F.when(F.col("doc_id") % 4 == 0, "JurisdictionMismatch").otherwise("Other")
+    function = F.when(F.col("doc_id") % 2 == 0, "PAYMENT").otherwise("TERM")
+    return d.select("doc_id", R.severity_by_confidence(F.col("confidence")).alias("by_confidence"), R.severity_by_materiality(F.lit("LOW"), kind, function, F.col("classification")).alias("by_materiality"))
+
+
+@query(f"WITH {_CONF} SELECT c.doc_id, c.confidence, d.source AS left_source, e.source AS right_source FROM conf c JOIN documents d ON d.doc_id = c.doc_id JOIN documents e ON e.doc_id = c.doc_id + 1 ORDER BY c.confidence DESC, c.doc_id LIMIT 10")
+def top_conflicts(spark, sf):
+    docs = I.table(spark, sf, "documents")
+    left = docs.select("doc_id", F.col("source").alias("left_source"))
+    right = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("source").alias("right_source"))
+    out = _conflicts(spark, sf).select("doc_id", "confidence").join(left, "doc_id").join(right, "doc_id")
+    return out.orderBy(F.desc("confidence"), "doc_id").limit(10)
+
+
+_CLAIMS = "claims AS (SELECT event_id AS claim_id, user_id || '/' || date_trunc('day', ts)::DATE AS topic, event_type AS action, CASE WHEN event_id % 2 = 0 THEN 'shall' ELSE 'shall not' END AS modality, user_id AS subject, 'days' AS value_type, (event_id % 3) AS value FROM events)"
+
+
+@query(f"""WITH {_CLAIMS} SELECT a.claim_id AS i, b.claim_id AS j, a.topic, CASE WHEN a.modality <> b.modality AND a.action = b.action THEN 'modality' ELSE 'value' END AS rule FROM claims a JOIN claims b ON a.topic = b.topic AND a.claim_id < b.claim_id
+WHERE (a.modality <> b.modality AND a.action = b.action) OR (a.value_type = b.value_type AND a.subject = b.subject AND a.value <> b.value)""")
+def claim_conflicts(spark, sf):
+    e = I.table(spark, sf, "events")
+    claims = e.select(F.col("event_id").alias("claim_id"), F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("topic"), F.col("event_type").alias("action"), F.when(F.col("event_id") % 2 == 0, "shall").otherwise("shall not").alias("modality"), F.col("user_id").alias("subject"), F.lit("days").alias("value_type"), (F.col("event_id") % 3).alias("value"))
+    return R.claim_conflicts(claims)
+
+
+@query("""SELECT event_id, n AS number, CASE WHEN regexp_matches(n, '^\\d+(\\.\\d+)*$') THEN CASE WHEN contains(n, '.') THEN regexp_replace(n, '\\.\\d+$', '') END ELSE a END AS parent_number,
+CASE WHEN regexp_matches(n, '^\\d+(\\.\\d+)*$') THEN len(string_split(n, '.')) ELSE coalesce(len(string_split(a, '.')), 0) + 1 END::INT AS depth FROM (
+SELECT event_id, n, last_value(CASE WHEN regexp_matches(n, '^\\d+(\\.\\d+)*$') THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM (
+SELECT event_id, user_id, [(event_id % 9 + 1)::VARCHAR, (event_id % 9 + 1) || '.2', '(a)', (event_id % 9 + 1) || '.2.' || (event_id % 5)][(event_id % 4 + 1)::INT] AS n FROM events))""")
+def clause_hierarchy(spark, sf):
+    number = F.expr("element_at(array(cast(event_id % 9 + 1 as string), concat(event_id % 9 + 1, '.2'), '(a)', concat(event_id % 9 + 1, '.2.', event_id % 5)), cast(event_id % 4 + 1 as int))")
+    rows = I.table(spark, sf, "events").select("event_id", "user_id", number.alias("number"))
+    return R.hierarchy(rows, "user_id", "event_id", "number").select("event_id", "number", "parent_number", F.col("depth").cast("int").alias("depth"))
+
+
+@query()
+def long_clauses_split(spark, sf):
+    out = R.split_long(I.extracted(spark, sf), 400)
+    return out.select("doc_id", "pos", "clause_number", "split_from", F.length("content").alias("n"))
