@@ -11,29 +11,31 @@ VARIABLE = "<*>"
 BITS = 23
 
 
-def _tokens(line: Column) -> Column:
-    """A line's tokens; one with a digit is a variable field from the start."""
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w))
+def _masked(line: Column) -> Column:
+    """A line's tokens, joined by one blank; a token with a digit is a variable field from the start."""
+    plain = F.when(line.rlike(r"\s\s|[\t\x0B\f\r]|^\s|\s$"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"\S*[0-9]\S*", VARIABLE)).otherwise(plain)
+
+
+def _n_tokens(masked: Column) -> Column:
+    return F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
 
 
 def lines_of(docs: DataFrame, leading: int) -> DataFrame:
-    """_key, pos, leaf, first, last, before, after and tokens of each line of each text.
+    """_key, pos, line (masked), n_tokens, leaf, first, last, before and after of each line of each text.
 
     A leaf of the tree is reached by the number of tokens and the `leading` first of them.
     before, after, first and last are the leaves of the neighbouring lines and of the
     text's ends.
     """
-    tokens = F.transform(F.split("_text", "\n"), _tokens)
-    each = docs.select("_key", tokens.alias("_lines"))
-    leaves = F.transform("_lines", lambda t: F.xxhash64(F.size(t), F.slice(t, 1, leading)))
-    each = each.withColumn("_leaves", leaves)
-    rows = each.select("_key", "_leaves", F.posexplode(F.arrays_zip("_lines", "_leaves")).alias("pos", "line"))
+    each = docs.select("_key", F.transform(F.split("_text", "\n"), _masked).alias("_lines"))
+    each = each.withColumn("_leaves", F.transform("_lines", lambda m: F.xxhash64(_n_tokens(m), F.substring_index(m, " ", leading))))
+    rows = each.select("_key", "_leaves", F.posexplode("_lines").alias("pos", "line"))
     edge = F.lit(0).cast("long")
     return rows.select(
-        "_key", "pos", F.col("line._leaves").alias("leaf"), F.element_at("_leaves", 1).alias("first"), F.element_at("_leaves", -1).alias("last"),
-        F.when(F.col("pos") > 0, F.try_element_at("_leaves", F.greatest(F.col("pos"), F.lit(1)))).otherwise(edge).alias("before"),
-        F.coalesce(F.try_element_at("_leaves", F.col("pos") + 2), edge).alias("after"), F.col("line._lines").alias("tokens"),
+        "_key", "pos", "line", _n_tokens(F.col("line")).alias("n_tokens"), F.element_at("_leaves", F.col("pos") + 1).alias("leaf"), F.element_at("_leaves", 1).alias("first"), F.element_at("_leaves", -1).alias("last"),
+        F.when(F.col("pos") > 0, F.element_at("_leaves", F.greatest(F.col("pos"), F.lit(1)))).otherwise(edge).alias("before"),
+        F.coalesce(F.try_element_at("_leaves", F.col("pos") + 2), edge).alias("after"),
     )
 
 
@@ -60,10 +62,10 @@ def drop_recurring_lines(
     """
     docs = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], whole(F.col(text_col)).alias("_text")).withColumn("_key", F.md5("_text"))
     lines = lines_of(docs.select("_key", "_text"), leading)
-    in_leaf = lines.filter(F.size("tokens") >= min_tokens).groupBy("leaf", "_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
+    in_leaf = lines.filter(F.col("n_tokens") >= min_tokens).groupBy("leaf", "_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
     busy = bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS)
-    near = may_repeat(lines.filter(F.size("tokens") >= min_tokens), busy, "leaf", "_hit", BITS).filter("_hit").drop("_hit")
-    near = written(near.withColumn("line", F.array_join("tokens", " ")).drop("tokens").dropDuplicates(["_key", "pos"]), "lines-near")
+    near = may_repeat(lines.filter(F.col("n_tokens") >= min_tokens), busy, "leaf", "_hit", BITS).filter("_hit").drop("_hit")
+    near = written(near.drop("n_tokens").dropDuplicates(["_key", "pos"]), "lines-near")
 
     each = near.groupBy("leaf", "line").agg(F.count_distinct("_key").alias("n"))
     each = written(each.withColumn("tokens", F.split("line", " ", -1)), "lines-each")
