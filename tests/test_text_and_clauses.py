@@ -30,7 +30,7 @@ def split(t):
         body = t[m.start(2) : found[k + 1].start(2) if k + 1 < len(found) else len(t)].strip()
         body = re.sub(r"=+\s*", "", body)
         subs = list(re.finditer(r"(?<=\n)([a-z]\))\s", body))
-        ends = [s.start() for s in subs[1:]] + [len(body)]
+        ends = [s.start() for s in subs[1:]] + [len(body)] * bool(subs)
         out.append((m[2], body[: subs[0].start()].strip() if subs else body, [(s[1], body[s.start() : e].strip()) for s, e in zip(subs, ends, strict=True)]))
     return out
 
