@@ -19,7 +19,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TOKEN = r"\S+"
+#: Whole tokens with a digit or an @ and six characters or more.
+TOKEN = r"(?:\G|(?<!\S))(?=[^\s0-9@]*[0-9@])\S{6,}"
+NEAR = 100
 BITS = 23
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
@@ -82,15 +84,16 @@ def contexts(rows: DataFrame) -> DataFrame:
 
     `rows` has _row, _text and _base (the base spans). A token is a run of non-space
     characters, trimmed of the punctuation around it; it is identifier-like if it has a
-    digit and at least 6 characters, or an @. Result: _row, start, end, seed (the kind of
-    the base span that the token is, else null), value, left, right, before (what the
+    digit or an @ and at least 6 characters. Its neighbours are the tokens nearest to it,
+    as far as they lie within NEAR characters. Result: _row, start, end, seed (the kind of
+    the base span that holds the token, else null), value, left, right, before (what the
     token has up to its last = or : or quote, as in password=...).
     """
-    likely = F.col("_text").rlike(r"[0-9@]")
-    tokens = rows.filter(likely).select("_row", "_base", matches(F.col("_text"), TOKEN).alias("t"))
-    numbered = F.transform(F.col("t"), lambda t, i: F.struct(t["start"].alias("start"), t["value"].alias("raw"), F.lower(F.when(i > 0, F.try_element_at("t", F.greatest(i, F.lit(1)))["value"]).otherwise("^")).alias("left"), F.lower(F.coalesce(F.try_element_at("t", i + 2)["value"], F.lit("$"))).alias("right")))
-    near = F.filter(numbered, lambda t: t["raw"].rlike(r"[0-9]|@") & (F.length(t["raw"]) >= 6))
-    each = tokens.select("_row", "_base", F.explode(near).alias("t")).select("_row", "_base", "t.*")
+    found = rows.filter(F.col("_text").rlike("[0-9@]")).select("_row", "_base", "_text", F.explode(matches(F.col("_text"), TOKEN)).alias("t"))
+    begin = F.greatest(F.lit(0), F.col("t.start") - NEAR)
+    left = F.regexp_extract(F.substring(F.col("_text"), begin + 1, F.col("t.start") - begin), r"(\S+)\s*$", 1)
+    right = F.regexp_extract(F.substring(F.col("_text"), F.col("t.end") + 1, F.lit(NEAR)), r"^\s*(\S+)", 1)
+    each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.lower(F.when(left == "", "^").otherwise(left)).alias("left"), F.lower(F.when(right == "", "$").otherwise(right)).alias("right"))
     before = F.regexp_extract("raw", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0)
     value = F.regexp_replace(F.expr("substring(raw, length(before) + 1)"), r"""[.,;:!?"')\]}>]+$""", "")
     each = each.withColumn("before", before).withColumn("value", value).filter("length(value) >= 6")
