@@ -503,16 +503,16 @@ def procedure_pairs_dropped(spark, sf):
     return p.select("doc_id", F.expr("n * (n - 1) div 2 - (n - k) * (n - k - 1) div 2").alias("dropped"))
 
 
-_CONF = "conf AS (SELECT doc_id, ['TRUE_CONFLICT', 'AMBIGUITY', 'NONE'][(doc_id % 3 + 1)::INT] AS classification, (70 + doc_id % 31) / 100.0::DOUBLE AS confidence, source FROM documents)"
+_CONF = "conf AS (SELECT doc_id, ['TRUE_CONFLICT', 'AMBIGUITY', 'NONE'][(doc_id % 3 + 1)::INT] AS classification, (70 + doc_id % 31) / 100.0::DOUBLE AS confidence, 70 + doc_id % 31 AS pct, source FROM documents)"
 
 
 def _conflicts(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(F.lit("TRUE_CONFLICT"), F.lit("AMBIGUITY"), F.lit("NONE")), (F.col("doc_id") % 3 + 1).cast("int")).alias("classification"), ((F.lit(70) + F.col("doc_id") % 31) / F.lit(100.0)).alias("confidence"), "source")
+    return I.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(F.lit("TRUE_CONFLICT"), F.lit("AMBIGUITY"), F.lit("NONE")), (F.col("doc_id") % 3 + 1).cast("int")).alias("classification"), ((F.lit(70) + F.col("doc_id") % 31) / F.lit(100.0)).alias("confidence"), (F.lit(70) + F.col("doc_id") % 31).alias("pct"), "source")
 
 
-@query(f"WITH {_CONF} SELECT classification, count(*) AS n, round(avg(confidence), 2) AS mean, min(confidence) AS low, max(confidence) AS high, count(DISTINCT source) AS sources FROM conf WHERE classification IN ('TRUE_CONFLICT', 'AMBIGUITY') AND confidence >= 0.85 GROUP BY 1")
+@query(f"WITH {_CONF} SELECT classification, count(*) AS n, ((2 * sum(pct) + count(*)) // (2 * count(*)))::BIGINT / 100.0::DOUBLE AS mean, min(confidence) AS low, max(confidence) AS high, count(DISTINCT source) AS sources FROM conf WHERE classification IN ('TRUE_CONFLICT', 'AMBIGUITY') AND confidence >= 0.85 GROUP BY 1")
 def confidence_stats(spark, sf):
-    return R.stored(_conflicts(spark, sf)).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 2).alias("mean"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.count_distinct("source").alias("sources"))
+    return R.stored(_conflicts(spark, sf)).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), (F.expr("(2 * sum(pct) + count(*)) div (2 * count(*))") / F.lit(100.0)).alias("mean"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.count_distinct("source").alias("sources"))
 
 
 @query(f"""WITH {_CONF} SELECT doc_id, CASE WHEN confidence >= 0.95 THEN 'CRITICAL' WHEN confidence >= 0.90 THEN 'HIGH' WHEN confidence >= 0.85 THEN 'MEDIUM' ELSE 'LOW' END AS by_confidence,
