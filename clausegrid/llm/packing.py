@@ -169,8 +169,10 @@ class Plan:
         for j, way in enumerate(ways):
             for level in way:
                 a[row[level], j] += 1
-        times = np.rint(nnls(a, np.array([self.left[k] for k in levels], float))).astype(int)
-        for j in np.argsort(-times, kind="stable"):
+        # Rows weigh as much as their length: what counts is how many tokens are left over, not how many pieces.
+        weight = np.array(levels, float)
+        times = np.rint(nnls(a * weight[:, None], weight * [self.left[k] for k in levels])).astype(int)
+        for j in sorted(np.flatnonzero(times), key=lambda j: (-ways[j][-1], -times[j])):  # long pieces have the fewest partners
             need = defaultdict(int)
             for level in ways[j]:
                 need[level] += 1

@@ -73,4 +73,15 @@ def test_plan_places_each_piece_once(seed):
             used[sequence + k] += level
     assert max(used.values(), default=0) <= 256 and len(used) == plan.sequences
     total = sum(k * n for k, n in histogram.items())
-    assert total / 256 <= plan.sequences <= total / 256 * 1.08 + 2  # uniform lengths up to a window: large ones cannot all be paired
+    assert total / 256 <= plan.sequences <= fewest(histogram, 256) * 1.025 + 2
+
+
+def fewest(histogram, full):
+    """A lower bound on the sequences (Martello and Toth's L2): pieces over half a window never share one, and those of k or more only fit beside what leaves k."""
+    best = 0
+    for k in range(full // 2 + 1):
+        alone = sum(n for size, n in histogram.items() if size > full - k)
+        half = {size: n for size, n in histogram.items() if full // 2 < size <= full - k}
+        rest = sum(size * n for size, n in histogram.items() if k <= size <= full // 2) - sum((full - size) * n for size, n in half.items())
+        best = max(best, alone + sum(half.values()) + max(0, -(-rest // full)))
+    return best
