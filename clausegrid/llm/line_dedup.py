@@ -2,41 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
 
-VARIABLE = "<*>"
+VARIABLE = b"<*>"
 BITS = 23
+#: Digits as zeros, so that one search tells whether there is any.
+ZEROS = bytes.maketrans(b"0123456789", b"0" * 10)
+LINE = "_key binary, pos int, line binary, masked string, leaf long, first long, last long, before long, after long"
 
 
-def _masked(line: Column) -> Column:
-    """A line's tokens, joined by one blank; a token with a digit is a variable field from the start."""
-    plain = F.when(line.rlike(r"\s\s|[\t\x0B\f\r]|^\s|\s$"), F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"\S*[0-9]\S*", VARIABLE)).otherwise(plain)
+def _tokens(line: bytes, leading: int) -> tuple[int, list[bytes]]:
+    """How many tokens a line has, and the leading ones; a token with a digit is a variable field from the start."""
+    words = line.split()
+    return len(words), [VARIABLE if b"0" in w.translate(ZEROS) else w for w in words[:leading]]
 
 
-def _n_tokens(masked: Column) -> Column:
-    return F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
+def _leaf(n: int, head: list[bytes]) -> int:
+    """The leaf of the tree reached by the number of tokens and the leading ones, as a signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(b"%d %s" % (n, b" ".join(head))) - (1 << 63)
 
 
-def lines_of(docs: DataFrame, leading: int) -> DataFrame:
-    """_key, pos, line (masked), n_tokens, leaf, first, last, before and after of each line of each text.
+def _masked(line: bytes) -> bytes:
+    """A line's tokens, variable ones masked, joined by one blank."""
+    words = line.split()
+    if b"0" in line.translate(ZEROS):
+        words = [VARIABLE if b"0" in w.translate(ZEROS) else w for w in words]
+    return b" ".join(words)
 
-    A leaf of the tree is reached by the number of tokens and the `leading` first of them.
-    before, after, first and last are the leaves of the neighbouring lines and of the
-    text's ends.
-    """
-    each = docs.select("_key", F.transform(F.split("_text", "\n"), _masked).alias("_lines"))
-    each = each.withColumn("_leaves", F.transform("_lines", lambda m: F.xxhash64(_n_tokens(m), F.substring_index(m, " ", leading))))
-    rows = each.select("_key", "_leaves", F.posexplode("_lines").alias("pos", "line"))
-    edge = F.lit(0).cast("long")
-    return rows.select(
-        "_key", "pos", "line", _n_tokens(F.col("line")).alias("n_tokens"), F.element_at("_leaves", F.col("pos") + 1).alias("leaf"), F.element_at("_leaves", 1).alias("first"), F.element_at("_leaves", -1).alias("last"),
-        F.when(F.col("pos") > 0, F.element_at("_leaves", F.greatest(F.col("pos"), F.lit(1)))).otherwise(edge).alias("before"),
-        F.coalesce(F.try_element_at("_leaves", F.col("pos") + 2), edge).alias("after"),
-    )
+
+def _texts(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Key and lines of each text that this task has not met before."""
+    for text in batch.column(0).cast(pa.binary()):
+        raw = text.as_py()
+        key = hashlib.md5(raw).digest()
+        if key not in seen:
+            seen.add(key)
+            yield key, raw.split(b"\n")
+
+
+def _leaves(leading: int, min_tokens: int):
+    """(_key, leaves): the distinct leaves of each text's lines of min_tokens tokens or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, leaves = [], []
+            for key, lines in _texts(batch, seen):
+                keys.append(key)
+                leaves.append(list({_leaf(n, head) for n, head in (_tokens(line, leading) for line in lines) if n >= min_tokens}))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["_key", "leaves"])
+
+    return run
+
+
+def _near_lines(busy: np.ndarray, leading: int, min_tokens: int):
+    """The lines in busy leaves (a bitmap of BITS bits), with the leaves around them and at the text's ends; 0 is no line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for key, lines in _texts(batch, seen):
+                parsed = [_tokens(line, leading) for line in lines]
+                leaves = [_leaf(*p) for p in parsed]
+                at = np.array(leaves, np.int64).view(np.uint64) >> np.uint64(64 - BITS)
+                hit = (busy[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+                for i in np.flatnonzero(hit).tolist():
+                    if parsed[i][0] >= min_tokens:
+                        masked = _masked(lines[i])
+                        rows.append((key, i, hashlib.md5(masked).digest(), masked.decode(), leaves[i], leaves[0], leaves[-1], leaves[i - 1] if i else 0, leaves[i + 1] if i + 1 < len(leaves) else 0))
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 5]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in LINE.split(", ")])
+
+    return run
+
+
+def _bits(bitmap: DataFrame) -> np.ndarray:
+    """A bitmap as an array of 2**(BITS-6) words, whatever the input holds: one megabyte."""
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    held = bitmap.toPandas()
+    out[held["word"].to_numpy(np.int64)] = held["set_bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def drop_recurring_lines(
@@ -56,30 +112,33 @@ def drop_recurring_lines(
     under `min_tokens` tokens always stay, and texts that lose no line stay as they are.
 
     Texts are read three times and only shuffled where they lose lines: which leaves and
-    which texts matter is broadcast as bitmaps of fixed size; false hits change nothing.
-    Counts are over all documents and pre-aggregated, so a line that a third of them hold
-    costs a row a task. Repeated rows, null ids and other columns are left as they are.
+    which texts matter is handed out as bitmaps of fixed size; false hits change nothing.
+    Lines are taken apart where the texts are read, copies once a task, and stand as 16-byte
+    digests afterwards; their wording is kept once a distinct line. Counts are over all
+    documents and pre-aggregated, so a line that a third of them hold costs a row a task.
+    Repeated rows, null ids and other columns are left as they are.
     """
-    docs = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], whole(F.col(text_col)).alias("_text")).withColumn("_key", F.md5("_text"))
-    lines = lines_of(docs.select("_key", "_text"), leading)
-    in_leaf = lines.filter(F.col("n_tokens") >= min_tokens).groupBy("leaf", "_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    busy = bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS)
-    near = may_repeat(lines.filter(F.col("n_tokens") >= min_tokens), busy, "leaf", "_hit", BITS).filter("_hit").drop("_hit")
-    near = written(near.drop("n_tokens").dropDuplicates(["_key", "pos"]), "lines-near")
-
-    each = near.groupBy("leaf", "line").agg(F.count_distinct("_key").alias("n"))
-    each = written(each.withColumn("tokens", F.split("line", " ", -1)), "lines-each")
-    placed = each.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
-    support = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support"))
-    marked = placed.join(support, ["leaf", "at", "token"]).withColumn("fixed", (F.col("support") >= min_docs) & (F.col("token") != VARIABLE))
-    general = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
-    general = general.filter(F.col("share") >= constant).select("leaf", "line", F.md5(F.concat_ws(" ", "t.token")).alias("template"))
+    docs = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], whole(F.col(text_col)).alias("_text"))
+    leaves = docs.select("_text").mapInArrow(_leaves(leading, min_tokens), "_key binary, leaves array<long>")
+    in_leaf = leaves.select("_key", F.explode("leaves").alias("leaf")).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
+    busy = _bits(bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS))
+    near = written(docs.select("_text").mapInArrow(_near_lines(busy, leading, min_tokens), LINE), "lines-near")
+
+    worded = near.select("leaf", "line", "masked").dropDuplicates(["leaf", "line"])
+    held = near.select("leaf", "line", "_key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
+    placed = worded.join(held, ["leaf", "line"]).select("leaf", "line", "n", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
+    placed = written(placed.withColumn("token", F.when(F.col("token") != VARIABLE.decode(), F.xxhash64("token"))), "lines-placed")
+    support = placed.filter("token IS NOT NULL").groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+    marked = placed.join(support, ["leaf", "at", "token"], "left").withColumn("fixed", F.col("support").isNotNull())
+    general = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
+    general = general.filter(F.col("share") >= constant).select("leaf", "line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
     general = written(general, "lines-templates")
-    with_template = near.join(general, ["leaf", "line"])
+    with_template = written(near.drop("masked").join(general, ["leaf", "line"]).drop("line"), "lines-templated")
     counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in ("before", "after", "first", "last")])
     recurring = counted.filter((F.col("n") >= min_docs) & (F.greatest("n_before", "n_after", "n_first", "n_last") >= F.col("n") * variety)).select("leaf", "template")
     gone = written(with_template.join(recurring, ["leaf", "template"]).groupBy("_key").agg(F.collect_set("pos").alias("_gone")), "lines-gone")
 
+    docs = docs.withColumn("_key", F.unhex(F.md5("_text")))
     marks = bitmap_of(gone.select(F.xxhash64("_key").alias("key")), BITS)
     docs = may_repeat(docs.withColumn("_hash", F.xxhash64("_key")), marks, "_hash", "_hit", BITS).drop("_hash")
     none = F.expr("CAST(array() AS array<int>)")
