@@ -126,10 +126,19 @@ def drop_recurring_lines(
 
     worded = near.select("leaf", "line", "masked").dropDuplicates(["leaf", "line"])
     held = near.select("leaf", "line", "_key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    placed = worded.join(held, ["leaf", "line"]).select("leaf", "line", "n", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
-    placed = written(placed.withColumn("token", F.when(F.col("token") != VARIABLE.decode(), F.xxhash64("token"))), "lines-placed")
-    support = placed.filter("token IS NOT NULL").groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
-    marked = placed.join(support, ["leaf", "at", "token"], "left").withColumn("fixed", F.col("support").isNotNull())
+    words = written(worded.join(held, ["leaf", "line"]), "lines-worded")
+    at_place = F.transform(F.split("masked", " ", -1), lambda w, i: F.when(w != VARIABLE.decode(), F.xxhash64(i, w)))
+    tokens = words.select("leaf", "line", "n", at_place.alias("tokens"))
+    placed = tokens.select("leaf", "n", F.explode("tokens").alias("token")).filter("token IS NOT NULL")
+    support = placed.groupBy("leaf", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs).select("leaf", "token")
+    support = written(support, "lines-support")
+    # Only lines of which enough tokens may be constant, by a bitmap, meet the counts.
+    held_bits = bitmap_of(support.select(F.xxhash64("leaf", "token").alias("key")), BITS)
+    each = tokens.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    each = may_repeat(each.withColumn("_token", F.xxhash64("leaf", "token")), held_bits, "_token", "_hit", BITS).drop("_token")
+    likely = each.groupBy("leaf", "line").agg(F.avg((F.col("_hit") & F.col("token").isNotNull()).cast("double")).alias("most")).filter(F.col("most") >= constant).select("leaf", "line")
+    tokens = written(tokens.join(likely, ["leaf", "line"]).select("leaf", "line", F.posexplode("tokens").alias("at", "token")), "lines-likely")
+    marked = tokens.join(support.withColumn("fixed", F.lit(True)), ["leaf", "token"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
     general = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
     general = general.filter(F.col("share") >= constant).select("leaf", "line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
     general = written(general, "lines-templates")
