@@ -87,6 +87,44 @@ def _near_lines(busy: np.ndarray, leading: int, min_tokens: int):
     return run
 
 
+def _likely(held: np.ndarray, constant: float):
+    """The lines of whose tokens (null: variable) a share of `constant` may be in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
+            at = values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
+            hit = ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(np.int64) * values.is_valid().to_numpy(zero_copy_only=False)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            yield batch.filter(pa.array(total[offsets[1:]] - total[offsets[:-1]] >= constant * np.diff(offsets)))
+
+    return run
+
+
+def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int):
+    """Each text without the lines whose digest is in `gone`, its number of lines and of those dropped; `busy` has their leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_lines, n_dropped = [], [], []
+            for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
+                lines = text.as_py().split(b"\n")
+                stay = []
+                for line in lines:
+                    n, head = _tokens(line, leading)
+                    at = (_leaf(n, head) & (1 << 64) - 1) >> 64 - BITS
+                    if n < min_tokens or not int(busy[at >> 6]) >> (at & 63) & 1 or hashlib.md5(_masked(line)).digest() not in gone:
+                        stay.append(line)
+                texts.append(b"\n".join(stay))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(stay))
+            more = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names, "n_lines", "n_dropped"])
+
+    return run
+
+
 def _bits(bitmap: DataFrame) -> np.ndarray:
     """A bitmap as an array of 2**(BITS-6) words, whatever the input holds: one megabyte."""
     out = np.zeros(1 << (BITS - 6), np.uint64)
@@ -97,6 +135,7 @@ def _bits(bitmap: DataFrame) -> np.ndarray:
 
 def drop_recurring_lines(
     df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_docs: int = 10, leading: int = 3, min_tokens: int = 3, constant: float = 0.7, variety: float = 0.6,
+    most_handed: int = 500_000,
 ) -> DataFrame:
     """The columns in `carry`, the text without lines of recurring templates, n_lines and n_dropped; a row per input row.
 
@@ -111,8 +150,10 @@ def drop_recurring_lines(
     documents that were copied keep their lines. Equal texts count as one document. Lines
     under `min_tokens` tokens always stay, and texts that lose no line stay as they are.
 
-    Texts are read three times and only shuffled where they lose lines: which leaves and
-    which texts matter is handed out as bitmaps of fixed size; false hits change nothing.
+    Texts are read three times: which leaves matter is handed out as bitmaps of fixed size,
+    false hits change nothing. The distinct wordings of lines to drop are counted; up to
+    `most_handed` of them (16 bytes each) are handed out as well, and texts stay where they
+    are; beyond, the texts that lose lines are shuffled to meet the places of those lines.
     Lines are taken apart where the texts are read, copies once a task, and stand as 16-byte
     digests afterwards; their wording is kept once a distinct line. Counts are over all
     documents and pre-aggregated, so a line that a third of them hold costs a row a task.
@@ -126,26 +167,29 @@ def drop_recurring_lines(
 
     worded = near.select("leaf", "line", "masked").dropDuplicates(["leaf", "line"])
     held = near.select("leaf", "line", "_key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    words = written(worded.join(held, ["leaf", "line"]), "lines-worded")
-    at_place = F.transform(F.split("masked", " ", -1), lambda w, i: F.when(w != VARIABLE.decode(), F.xxhash64(i, w)))
-    tokens = words.select("leaf", "line", "n", at_place.alias("tokens"))
-    placed = tokens.select("leaf", "n", F.explode("tokens").alias("token")).filter("token IS NOT NULL")
-    support = placed.groupBy("leaf", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs).select("leaf", "token")
-    support = written(support, "lines-support")
+    at_place = F.transform(F.split("masked", " ", -1), lambda w, i: F.when(w != VARIABLE.decode(), F.xxhash64("leaf", i, w)))
+    tokens = written(worded.join(held, ["leaf", "line"]).select("line", "n", at_place.alias("tokens")), "lines-tokens")
+    placed = tokens.select("n", F.explode("tokens").alias("token")).filter("token IS NOT NULL")
+    support = placed.groupBy("token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+    support = written(support.select("token", F.lit(True).alias("fixed")), "lines-support")
     # Only lines of which enough tokens may be constant, by a bitmap, meet the counts.
-    held_bits = bitmap_of(support.select(F.xxhash64("leaf", "token").alias("key")), BITS)
-    each = tokens.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
-    each = may_repeat(each.withColumn("_token", F.xxhash64("leaf", "token")), held_bits, "_token", "_hit", BITS).drop("_token")
-    likely = each.groupBy("leaf", "line").agg(F.avg((F.col("_hit") & F.col("token").isNotNull()).cast("double")).alias("most")).filter(F.col("most") >= constant).select("leaf", "line")
-    tokens = written(tokens.join(likely, ["leaf", "line"]).select("leaf", "line", F.posexplode("tokens").alias("at", "token")), "lines-likely")
-    marked = tokens.join(support.withColumn("fixed", F.lit(True)), ["leaf", "token"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
-    general = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
-    general = general.filter(F.col("share") >= constant).select("leaf", "line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
+    likely = tokens.select("line", "tokens").mapInArrow(_likely(_bits(bitmap_of(support.select(F.col("token").alias("key")), BITS)), constant), "line binary, tokens array<long>")
+    likely = written(likely.select("line", F.posexplode("tokens").alias("at", "token")), "lines-likely")
+    marked = likely.join(support, "token", "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    general = marked.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
+    general = general.filter(F.col("share") >= constant).select("line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
     general = written(general, "lines-templates")
-    with_template = written(near.drop("masked").join(general, ["leaf", "line"]).drop("line"), "lines-templated")
+    with_template = written(near.drop("masked").join(general, "line"), "lines-templated")
     counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in ("before", "after", "first", "last")])
     recurring = counted.filter((F.col("n") >= min_docs) & (F.greatest("n_before", "n_after", "n_first", "n_last") >= F.col("n") * variety)).select("leaf", "template")
-    gone = written(with_template.join(recurring, ["leaf", "template"]).groupBy("_key").agg(F.collect_set("pos").alias("_gone")), "lines-gone")
+    found = written(with_template.select("leaf", "template", "line", "_key", "pos").join(recurring, ["leaf", "template"]), "lines-found")
+    wording = found.select("leaf", "line").distinct()
+    if wording.limit(most_handed + 1).count() <= most_handed:
+        busy = _bits(bitmap_of(wording.select(F.col("leaf").alias("key")), BITS))
+        cut = _cut({bytes(r["line"]) for r in wording.select("line").collect()}, busy, leading, min_tokens)
+        schema = ", ".join([*(f"{n} {t}" for n, t in docs.dtypes), "n_lines long, n_dropped long"])
+        return docs.mapInArrow(cut, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_text").alias(text_col), "n_lines", "n_dropped")
+    gone = written(found.groupBy("_key").agg(F.collect_set("pos").alias("_gone")), "lines-gone")
 
     docs = docs.withColumn("_key", F.unhex(F.md5("_text")))
     marks = bitmap_of(gone.select(F.xxhash64("_key").alias("key")), BITS)

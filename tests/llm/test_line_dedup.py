@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from clausegrid.llm.line_dedup import drop_recurring_lines
 
 
@@ -61,10 +63,11 @@ def corpus():
     return texts + texts[7:20]
 
 
-def test_lines_dropped_are_those_of_the_definition(spark):
+@pytest.mark.parametrize("most_handed", [500_000, 3])
+def test_lines_dropped_are_those_of_the_definition(spark, most_handed):
     texts = corpus()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, line string, leaf int")
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_recurring_lines(df).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in drop_recurring_lines(df, most_handed=most_handed).collect()}
     want = brute(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(n for _, _, n in want) > 50 and all(n == 0 for _, _, n in want[66:91])
