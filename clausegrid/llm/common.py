@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,20 @@ def bitmap_of(keys: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def bits_of(bitmap: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap as an array of 2**(bits-6) words, whatever the input holds, for use inside tasks."""
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    held = bitmap.toPandas()
+    out[held["word"].to_numpy(np.int64)] = held["set_bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bits(held: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bits of 64-bit hashes are set, as 0 or 1."""
+    at = keys.view(np.uint64) >> np.uint64(64 - bits)
+    return ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(np.int64)
+
+
 def may_repeat(df: DataFrame, bitmap: DataFrame, key: str, flag: str, bits: int) -> DataFrame:
     """Adds `flag`: whether the hash in column `key` may be one of the repeated ones."""
     joined = df.join(F.broadcast(bitmap), _word(F.col(key), bits) == F.col("word"), "left")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_of, may_repeat, table, whole, written
 
 VARIABLE = b"<*>"
 BITS = 23
@@ -125,14 +125,6 @@ def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int):
     return run
 
 
-def _bits(bitmap: DataFrame) -> np.ndarray:
-    """A bitmap as an array of 2**(BITS-6) words, whatever the input holds: one megabyte."""
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    held = bitmap.toPandas()
-    out[held["word"].to_numpy(np.int64)] = held["set_bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def drop_recurring_lines(
     df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_docs: int = 10, leading: int = 3, min_tokens: int = 3, constant: float = 0.7, variety: float = 0.6,
     most_handed: int = 500_000,
@@ -162,7 +154,7 @@ def drop_recurring_lines(
     docs = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], whole(F.col(text_col)).alias("_text"))
     leaves = docs.select("_text").mapInArrow(_leaves(leading, min_tokens), "_key binary, leaves array<long>")
     in_leaf = leaves.select("_key", F.explode("leaves").alias("leaf")).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    busy = _bits(bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS))
+    busy = bits_of(bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS), BITS)
     near = written(docs.select("_text").mapInArrow(_near_lines(busy, leading, min_tokens), LINE), "lines-near")
 
     worded = near.select("leaf", "line", "masked").dropDuplicates(["leaf", "line"])
@@ -173,7 +165,7 @@ def drop_recurring_lines(
     support = placed.groupBy("token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
     support = written(support.select("token", F.lit(True).alias("fixed")), "lines-support")
     # Only lines of which enough tokens may be constant, by a bitmap, meet the counts.
-    likely = tokens.select("line", "tokens").mapInArrow(_likely(_bits(bitmap_of(support.select(F.col("token").alias("key")), BITS)), constant), "line binary, tokens array<long>")
+    likely = tokens.select("line", "tokens").mapInArrow(_likely(bits_of(bitmap_of(support.select(F.col("token").alias("key")), BITS), BITS), constant), "line binary, tokens array<long>")
     likely = written(likely.select("line", F.posexplode("tokens").alias("at", "token")), "lines-likely")
     marked = likely.join(support, "token", "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
     general = marked.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).alias("token")))).alias("t"), F.avg(F.col("fixed").cast("double")).alias("share"))
@@ -185,7 +177,7 @@ def drop_recurring_lines(
     found = written(with_template.select("leaf", "template", "line", "_key", "pos").join(recurring, ["leaf", "template"]), "lines-found")
     wording = found.select("leaf", "line").distinct()
     if wording.limit(most_handed + 1).count() <= most_handed:
-        busy = _bits(bitmap_of(wording.select(F.col("leaf").alias("key")), BITS))
+        busy = bits_of(bitmap_of(wording.select(F.col("leaf").alias("key")), BITS), BITS)
         cut = _cut({bytes(r["line"]) for r in wording.select("line").collect()}, busy, leading, min_tokens)
         schema = ", ".join([*(f"{n} {t}" for n, t in docs.dtypes), "n_lines long, n_dropped long"])
         return docs.mapInArrow(cut, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_text").alias(text_col), "n_lines", "n_dropped")

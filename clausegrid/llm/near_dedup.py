@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_of, in_bits, may_repeat, table, whole, written
 
 WORDS = 5
 SIZE = 128
@@ -20,6 +21,7 @@ BANDS = SIZE // ROWS
 #: standard deviation of 4.04; this many lie four deviations above.
 MOST_DIFFERENT = 35
 BITS = 23
+CLASSES = (2, 3, 5, 9, 33, 257)  # the least frequencies of the classes of items
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,6 +126,24 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(items, pa.list_(pa.int64()))], ["_key", "items"])
 
 
+def _profiles(marks: list[np.ndarray]):
+    """(id, size, c0, c1, ...): how many of a text's items lie in each class of frequency; those that no other text has lie in none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            first, last = int(offsets[0]), int(offsets[-1])
+            level = sum(in_bits(held, lists.values.to_numpy(zero_copy_only=False)[first:last], BITS) for held in marks)
+            columns = []
+            for k in range(1, len(marks) + 1):
+                total = np.concatenate([[0], np.cumsum(level == k)])
+                columns.append(pa.array(total[offsets[1:] - first] - total[offsets[:-1] - first], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), *columns], ["id", "size", *(f"c{k}" for k in range(len(marks)))])
+
+    return run
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
@@ -166,8 +186,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates (a pair at 0.8 shares none with a chance of 5e-5). A bucket never emits all
     its pairs: first its members meet its most popular member, the one whose buckets are
     fullest; what that leaves apart meets the most popular of the rest; only pairs that are
-    then still in different components, and whose sketches agree within four standard
-    deviations of 0.8, are compared one by one. Every link is verified on the full
+    then still in different components, whose sketches agree within four standard deviations
+    of 0.8, and whose items by frequency leave room for enough overlap (an exact bound, so
+    that variants of one text, each with words of its own, don't all meet), are compared one
+    by one. Every link is verified on the full
     multisets, which are only built for texts with candidates.
     """
     base = df.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
@@ -219,7 +241,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = written(members.join(labels, "id"), "near-labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
     apart = written(labelled.join(mixed, "bucket"), "near-apart")
-    pairs = apart.alias("p").join(apart.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label")) & _similar("p", "q"))
+    # What two texts share is as frequent in one as in the other: by class of frequency, that bounds their overlap.
+    loose = written(items.join(apart.select("id").distinct(), "id", "left_semi"), "near-loose")
+    often = written(loose.select(F.explode("items").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-frequencies")
+    marks = [bits_of(bitmap_of(often.filter(F.col("n") >= least).select("key"), BITS), BITS) for least in CLASSES]
+    classes = [f"c{k}" for k in range(len(CLASSES))]
+    profile = loose.mapInArrow(_profiles(marks), ", ".join(["id long", "size long", *(f"{c} long" for c in classes)]))
+    apart = written(apart.join(profile, "id"), "near-profiles")
+    bound = reduce(lambda x, y: x + y, [F.least(f"p.{c}", f"q.{c}") for c in classes])
+    enough = bound * (1 + threshold) + 1e-6 >= threshold * (F.col("p.size") + F.col("q.size"))
+    pairs = apart.alias("p").join(apart.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label")) & enough & _similar("p", "q"))
     links = written(links.unionByName(verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))), "near-links")
     labels = written(components(vertices, links), "near-classes")
 
