@@ -119,9 +119,9 @@ def combinations(levels: list[int], full: int, depth: int = 3) -> list[tuple[int
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2_000) -> np.ndarray:
     """Lawson and Hanson's active-set method: argmin |ax - b| over x >= 0, with at most len(b) positive entries."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, right = a.T @ a, a.T @ b
+    right = a.T @ b
     for _ in range(rounds):
-        slope = right - gram @ x
+        slope = right - a.T @ (a @ x)
         slope[free] = -np.inf
         best = int(slope.argmax())
         if slope[best] <= 1e-9 * max(1.0, np.abs(right).max()):
@@ -129,7 +129,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2_000) -> np.ndarray:
         free[best] = True
         while True:
             at = np.flatnonzero(free)
-            s = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+            held = a[:, at]  # products of the free columns only: all of them would take hundreds of megabytes
+            s = np.linalg.lstsq(held.T @ held, right[at], rcond=None)[0]
             if (s > 0).all():
                 x[:] = 0
                 x[at] = s
