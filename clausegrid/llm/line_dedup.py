@@ -8,16 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, bits_of, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_of, in_bits, may_repeat, table, whole, written
+from clausegrid.llm.near_dedup import components
 
 VARIABLE = b"<*>"
 BITS = 23
 #: Digits as zeros, so that one search tells whether there is any.
 ZEROS = bytes.maketrans(b"0123456789", b"0" * 10)
-LINE = "_key binary, pos int, line binary, masked string, leaf long, first long, last long, before long, after long"
+LINE = "_key binary, pos int, line binary, masked string, leaf long"
+#: A text's sketch: the least hash of its WINDOW-byte windows in each of BANDS * ROWS ranges of hashes.
+WINDOW, BANDS, ROWS = 16, 16, 4
+#: The two low bits of a leaf: an ordinary line, a long one, a short one.
+LONG, SHORT = 1, 2
 
 
 def _tokens(line: bytes, leading: int) -> tuple[int, list[bytes]]:
@@ -26,9 +31,10 @@ def _tokens(line: bytes, leading: int) -> tuple[int, list[bytes]]:
     return len(words), [VARIABLE if b"0" in w.translate(ZEROS) else w for w in words[:leading]]
 
 
-def _leaf(n: int, head: list[bytes]) -> int:
-    """The leaf of the tree reached by the number of tokens and the leading ones, as a signed 64-bit hash."""
-    return xxhash.xxh64_intdigest(b"%d %s" % (n, b" ".join(head))) - (1 << 63)
+def _leaf(n: int, head: list[bytes], min_tokens: int, long_tokens: int) -> int:
+    """The leaf of the tree reached by the number of tokens and the leading ones, as a signed 64-bit hash with the line's length class."""
+    kind = LONG if n >= long_tokens else SHORT if n < min_tokens else 0
+    return (xxhash.xxh64_intdigest(b"%d %s" % (n, b" ".join(head))) & ~3 | kind) - (1 << 63)
 
 
 def _masked(line: bytes) -> bytes:
@@ -49,8 +55,8 @@ def _texts(batch: pa.RecordBatch, seen: set[bytes]) -> Iterator[tuple[bytes, lis
             yield key, raw.split(b"\n")
 
 
-def _leaves(leading: int, min_tokens: int):
-    """(_key, leaves): the distinct leaves of each text's lines of min_tokens tokens or more."""
+def _leaves(leading: int, min_tokens: int, long_tokens: int):
+    """(_key, leaves): the distinct leaves of each text's lines that are not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -58,14 +64,14 @@ def _leaves(leading: int, min_tokens: int):
             keys, leaves = [], []
             for key, lines in _texts(batch, seen):
                 keys.append(key)
-                leaves.append(list({_leaf(n, head) for n, head in (_tokens(line, leading) for line in lines) if n >= min_tokens}))
+                leaves.append(list({_leaf(n, head, min_tokens, long_tokens) for n, head in (_tokens(line, leading) for line in lines) if n}))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["_key", "leaves"])
 
     return run
 
 
-def _near_lines(busy: np.ndarray, leading: int, min_tokens: int):
-    """The lines in busy leaves (a bitmap of BITS bits), with the leaves around them and at the text's ends; 0 is no line."""
+def _near_lines(busy: np.ndarray, leading: int, min_tokens: int, long_tokens: int):
+    """The lines in busy leaves (a bitmap of BITS bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -73,20 +79,71 @@ def _near_lines(busy: np.ndarray, leading: int, min_tokens: int):
             rows = []
             for key, lines in _texts(batch, seen):
                 parsed = [_tokens(line, leading) for line in lines]
-                leaves = [_leaf(*p) for p in parsed]
-                at = np.array(leaves, np.int64).view(np.uint64) >> np.uint64(64 - BITS)
-                hit = (busy[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+                leaves = [_leaf(*p, min_tokens, long_tokens) for p in parsed]
+                hit = in_bits(busy, np.array(leaves, np.int64), BITS)
                 for i in np.flatnonzero(hit).tolist():
-                    if parsed[i][0] >= min_tokens:
+                    if parsed[i][0]:
                         masked = _masked(lines[i])
-                        rows.append((key, i, hashlib.md5(masked).digest(), masked.decode(), leaves[i], leaves[0], leaves[-1], leaves[i - 1] if i else 0, leaves[i + 1] if i + 1 < len(leaves) else 0))
-            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.string(), *[pa.int64()] * 5]
+                        rows.append((key, i, hashlib.md5(masked).digest(), masked.decode(), leaves[i]))
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in LINE.split(", ")])
 
     return run
 
 
+def sketch(raw: bytes) -> list[int]:
+    """Hashes of which two texts share at least one if they are near copies: a pair whose windows have a Jaccard similarity of 0.8 shares none with a chance of 2e-4, one at 0.3 shares one with 0.12."""
+    raw = raw.ljust(WINDOW, b"\0")
+    n = len(raw) - WINDOW + 1
+    half = [np.ndarray((n,), np.uint64, raw, k, (1,)) for k in (0, 8)]
+    h = half[0] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += half[1]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h.sort()
+    ranges = BANDS * ROWS
+    # An empty range takes the next hash above it, the last ones the first hash of all.
+    least = np.append(h, h[0])[np.searchsorted(h, np.arange(ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges))]
+    least = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
+def _sketches(held: np.ndarray):
+    """(_key, bands): the sketch of each text whose key may be in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, bands = [], []
+            for text in batch.column(0).cast(pa.binary()):
+                raw = text.as_py()
+                key = hashlib.md5(raw).digest()
+                at = int.from_bytes(key[:8], "big") >> 64 - BITS
+                if int(held[at >> 6]) >> (at & 63) & 1 and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    bands.append(sketch(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_key", "bands"])
+
+    return run
+
+
+def near_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_key, label): the class of near copies of each text in `keys` that has any: texts that share a band of their sketches, and theirs."""
+    # The first 64 bits of a key are as good as a hash of it.
+    first = F.conv(F.substring(F.hex("_key"), 1, 16), 16, -10).cast("long")
+    held = bits_of(bitmap_of(keys.select(first.alias("key")), BITS), BITS)
+    banded = docs.select("_text").mapInArrow(_sketches(held), "_key binary, bands array<long>").select(F.xxhash64("_key").alias("id"), "_key", F.explode("bands").alias("band"))
+    banded = written(banded, "lines-bands")
+    shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low")
+    edges = banded.join(shared, "band").select(F.col("id").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    labels = components(banded.select("id").distinct(), edges)
+    return banded.select("id", "_key").distinct().join(labels, "id").select("_key", "label")
+
+
 def _likely(held: np.ndarray, constant: float):
     """The lines of whose tokens (null: variable) a share of `constant` may be in a bitmap."""
 
@@ -102,7 +159,7 @@ def _likely(held: np.ndarray, constant: float):
     return run
 
 
-def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int):
+def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int, long_tokens: int):
     """Each text without the lines whose digest is in `gone`, its number of lines and of those dropped; `busy` has their leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +170,8 @@ def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int):
                 stay = []
                 for line in lines:
                     n, head = _tokens(line, leading)
-                    at = (_leaf(n, head) & (1 << 64) - 1) >> 64 - BITS
-                    if n < min_tokens or not int(busy[at >> 6]) >> (at & 63) & 1 or hashlib.md5(_masked(line)).digest() not in gone:
+                    at = (_leaf(n, head, min_tokens, long_tokens) & (1 << 64) - 1) >> 64 - BITS
+                    if not n or not int(busy[at >> 6]) >> (at & 63) & 1 or hashlib.md5(_masked(line)).digest() not in gone:
                         stay.append(line)
                 texts.append(b"\n".join(stay))
                 n_lines.append(len(lines))
@@ -126,23 +183,23 @@ def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int):
 
 
 def drop_recurring_lines(
-    df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_docs: int = 10, leading: int = 3, min_tokens: int = 3, constant: float = 0.7, variety: float = 0.6,
-    most_handed: int = 500_000,
+    df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), min_docs: int = 10, leading: int = 3, min_tokens: int = 3, constant: float = 0.7,
+    long_tokens: int = 50, long_docs: int = 3, short_docs: int = 100, most_handed: int = 500_000,
 ) -> DataFrame:
     """The columns in `carry`, the text without lines of recurring templates, n_lines and n_dropped; a row per input row.
 
     Lines end at newlines; a null text is empty, one empty line. Lines walk down a tree of
     fixed depth: their number of tokens, then their first `leading` tokens, tokens with
-    digits counting as variable. In a leaf, a token that fewer than `min_docs` documents
-    have at its place becomes a variable field too; what stays is the line's template. A
-    template recurs, and all its lines are dropped, if at least `min_docs` documents have
-    it, at least `constant` of its tokens are constant, and these documents differ
-    otherwise: of the lines before it, the lines after it, the first lines and the last
-    lines of its documents, one kind has a distinct leaf in `variety` of them. So whole
-    documents that were copied keep their lines. Equal texts count as one document. Lines
-    under `min_tokens` tokens always stay, and texts that lose no line stay as they are.
-
-    Texts are read three times: which leaves matter is handed out as bitmaps of fixed size,
+    digits counting as variable. In a leaf, a token that too few documents have at its
+    place becomes a variable field too; what stays is the line's template. A template
+    recurs, and all its lines are dropped, if at least `constant` of its tokens are
+    constant and enough documents have it: `min_docs`, but `long_docs` for lines of
+    `long_tokens` tokens or more and `short_docs` for those under `min_tokens`. Near copies
+    count as one document, whatever else they hold (see near_classes), so documents that
+    were copied as a whole keep their lines, and copies never hide what recurs elsewhere.
+    Blank lines stay, and texts that lose no line stay as they are.
+
+    Texts are read four times: which leaves matter is handed out as bitmaps of fixed size,
     false hits change nothing. The distinct wordings of lines to drop are counted; up to
     `most_handed` of them (16 bytes each) are handed out as well, and texts stay where they
     are; beyond, the texts that lose lines are shuffled to meet the places of those lines.
@@ -152,17 +209,23 @@ def drop_recurring_lines(
     Repeated rows, null ids and other columns are left as they are.
     """
     docs = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], whole(F.col(text_col)).alias("_text"))
-    leaves = docs.select("_text").mapInArrow(_leaves(leading, min_tokens), "_key binary, leaves array<long>")
+    shape = (leading, min_tokens, long_tokens)
+
+    def needed(leaf: Column) -> Column:
+        kind = leaf.bitwiseAND(F.lit(3))
+        return F.when(kind == LONG, long_docs).when(kind == SHORT, short_docs).otherwise(min_docs)
+
+    leaves = docs.select("_text").mapInArrow(_leaves(*shape), "_key binary, leaves array<long>")
     in_leaf = leaves.select("_key", F.explode("leaves").alias("leaf")).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"))
-    busy = bits_of(bitmap_of(in_leaf.filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("key")), BITS), BITS)
-    near = written(docs.select("_text").mapInArrow(_near_lines(busy, leading, min_tokens), LINE), "lines-near")
+    busy = bits_of(bitmap_of(in_leaf.filter(F.col("docs") >= needed(F.col("leaf"))).select(F.col("leaf").alias("key")), BITS), BITS)
+    near = written(docs.select("_text").mapInArrow(_near_lines(busy, *shape), LINE), "lines-near")
 
     worded = near.select("leaf", "line", "masked").dropDuplicates(["leaf", "line"])
     held = near.select("leaf", "line", "_key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     at_place = F.transform(F.split("masked", " ", -1), lambda w, i: F.when(w != VARIABLE.decode(), F.xxhash64("leaf", i, w)))
-    tokens = written(worded.join(held, ["leaf", "line"]).select("line", "n", at_place.alias("tokens")), "lines-tokens")
-    placed = tokens.select("n", F.explode("tokens").alias("token")).filter("token IS NOT NULL")
-    support = placed.groupBy("token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+    tokens = written(worded.join(held, ["leaf", "line"]).select("line", "n", needed(F.col("leaf")).alias("needed"), at_place.alias("tokens")), "lines-tokens")
+    placed = tokens.select("n", "needed", F.explode("tokens").alias("token")).filter("token IS NOT NULL")
+    support = placed.groupBy("token").agg(F.sum("n").alias("support"), F.first("needed").alias("needed")).filter("support >= needed")
     support = written(support.select("token", F.lit(True).alias("fixed")), "lines-support")
     # Only lines of which enough tokens may be constant, by a bitmap, meet the counts.
     likely = tokens.select("line", "tokens").mapInArrow(_likely(bits_of(bitmap_of(support.select(F.col("token").alias("key")), BITS), BITS), constant), "line binary, tokens array<long>")
@@ -172,13 +235,16 @@ def drop_recurring_lines(
     general = general.filter(F.col("share") >= constant).select("line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
     general = written(general, "lines-templates")
     with_template = written(near.drop("masked").join(general, "line"), "lines-templated")
-    counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in ("before", "after", "first", "last")])
-    recurring = counted.filter((F.col("n") >= min_docs) & (F.greatest("n_before", "n_after", "n_first", "n_last") >= F.col("n") * variety)).select("leaf", "template")
-    found = written(with_template.select("leaf", "template", "line", "_key", "pos").join(recurring, ["leaf", "template"]), "lines-found")
+    counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n")).filter(F.col("n") >= needed(F.col("leaf"))).select("leaf", "template")
+    often = written(with_template.join(counted, ["leaf", "template"]), "lines-often")
+    labels = near_classes(docs, often.select("_key").distinct())
+    holders = often.select("leaf", "template", "_key").distinct().join(labels, "_key")
+    recurring = holders.groupBy("leaf", "template").agg(F.count_distinct("label").alias("n")).filter(F.col("n") >= needed(F.col("leaf"))).select("leaf", "template")
+    found = written(often.select("leaf", "template", "line", "_key", "pos").join(recurring, ["leaf", "template"]), "lines-found")
     wording = found.select("leaf", "line").distinct()
     if wording.limit(most_handed + 1).count() <= most_handed:
         busy = bits_of(bitmap_of(wording.select(F.col("leaf").alias("key")), BITS), BITS)
-        cut = _cut({bytes(r["line"]) for r in wording.select("line").collect()}, busy, leading, min_tokens)
+        cut = _cut({bytes(r["line"]) for r in wording.select("line").collect()}, busy, *shape)
         schema = ", ".join([*(f"{n} {t}" for n, t in docs.dtypes), "n_lines long, n_dropped long"])
         return docs.mapInArrow(cut, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_text").alias(text_col), "n_lines", "n_dropped")
     gone = written(found.groupBy("_key").agg(F.collect_set("pos").alias("_gone")), "lines-gone")

@@ -75,3 +75,28 @@ def test_lines_dropped_are_those_of_the_definition(spark, most_handed):
 
 def test_empty_table(spark):
     assert drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = drop_recurring_lines(df).collect()
+    return {r.doc_id: set(texts[r.doc_id].split("\n")) - set(r.text.split("\n")) for r in rows}
+
+
+def own_words(rnd, n):
+    return " ".join("".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+
+
+def test_near_copies_and_lines_that_recur_together_hide_nothing(spark):
+    rnd = random.Random(5)
+    site = ["Welcome to our site", "Choose what you read", "News for every day", "All rights are kept by us"]
+    page = [own_words(rnd, 15) for _ in range(12)]
+    texts = ["\n".join([*site[:3], *(own_words(rnd, 20) for _ in range(4)), site[3]]) for _ in range(30)]
+    for _ in range(150):  # near copies of one page, each with words of its own anywhere
+        words = [line.split() for line in page]
+        for _ in range(4):
+            line = rnd.choice(words)
+            line.insert(rnd.randrange(len(line)), own_words(rnd, 1))
+        texts.append("\n".join([site[0], *(" ".join(w) for w in words), site[3]]))
+    got = dropped(spark, texts)
+    assert all(got[i] == set(site) for i in range(30)) and all(got[i] == {site[0], site[3]} for i in range(30, 180))
