@@ -100,3 +100,15 @@ def test_near_copies_and_lines_that_recur_together_hide_nothing(spark):
         texts.append("\n".join([site[0], *(" ".join(w) for w in words), site[3]]))
     got = dropped(spark, texts)
     assert all(got[i] == set(site) for i in range(30)) and all(got[i] == {site[0], site[3]} for i in range(30, 180))
+
+
+def test_support_falls_with_length(spark):
+    rnd = random.Random(6)
+    passage, twice, copied = own_words(rnd, 60), own_words(rnd, 60), own_words(rnd, 60)
+    texts = ["\n".join([own_words(rnd, 150), passage, own_words(rnd, 100), *([twice] if i < 2 else [])]) for i in range(3)]
+    body = own_words(rnd, 200)
+    texts += [f"{body} {own_words(rnd, 2)}\n{copied}" for _ in range(5)]
+    texts += [own_words(rnd, 30) + "\nRead more\n" + own_words(rnd, 30) + f"\n{i}" for i in range(120)]
+    texts += [own_words(rnd, 30) + "\nBy hand\n" + own_words(rnd, 30) for i in range(40)]
+    got = dropped(spark, texts)
+    assert all(got[i] == {passage} for i in range(3)) and all(not got[i] for i in range(3, 8)) and all(got[i] == {"Read more"} for i in range(8, 128)) and all(not got[i] for i in range(128, 168))
