@@ -144,7 +144,7 @@ def _prior(node: Node) -> float:
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The best container and those of its siblings that read like the article, in page order."""
+    """The best container, or the article that holds it, and those of its siblings that are not mostly links, in page order."""
     kept = _measure(root)
     scored: dict[int, Node] = {}
     for node in kept:
@@ -168,20 +168,32 @@ def best_containers(root: Node) -> list[Node]:
         return []
     for node in scored.values():
         node.score *= 1 - density(node)
-    top = max(scored.values(), key=lambda n: n.score)
+    top = _whole_article(max(scored.values(), key=lambda n: n.score))
     if top.parent is None:
         return [top]
-    chosen, least = [], max(10.0, top.score * 0.2)
+    chosen = []
     for child in top.parent.children:
         if child is top:
             chosen.append(child)
         elif isinstance(child, Node) and not dropped(child):
             reads = child.tag in PARAGRAPH and child.length > 0 and (density(child) < 0.25 if child.length >= 80 else child.linked == 0 and child.tag != "li")
-            if reads or (child.score >= least and id(child) in scored and density(child) < 0.3):
+            if reads or (child.tag in BLOCK and child.tag not in PARAGRAPH and child.length > 0 and density(child) < 0.3):
                 chosen.append(child)
     return chosen
 
 
+def _whole_article(top: Node) -> Node:
+    """The outermost article around a container; without one the part of the innermost main that holds it, else the container itself."""
+    whole, node, main = None, top, None
+    while node is not None:
+        if node.tag == "article":
+            whole = node
+        if main is None and node is not top and node.parent is not None and node.parent.tag == "main":
+            main = node
+        node = node.parent
+    return whole or main or top
+
+
 def blocks(node: Node) -> list[str]:
     """The element's blocks of text: white space as one space, trimmed, empty ones left out."""
     out: list[str] = []

@@ -37,3 +37,19 @@ def test_pages_table(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
     clash = spark.createDataFrame([(1, None, "x", None)], "page_id long, url string, text string, html string")
     assert [tuple(r) for r in extract_main_text(clash).collect()] == [(1, None, "")]
+
+
+def test_short_sections_beside_a_long_one_stay():
+    long = "".join(f"<p>Paragraph {i}, with commas, and words enough, to be read as a part of an article.</p>" for i in range(30))
+    for tag in ("article", "main", "div"):
+        short = [f"Section {k} has one ordinary paragraph that is long enough to be read." for k in range(3)]
+        inner = f"<section>{long}</section>" + "".join(f"<{t}><p>{s}</p></{t}>" for t, s in zip(("section", "div", "section"), short, strict=True))
+        page = f'<body><nav><a href="/">Home</a></nav><{tag}>{inner}</{tag}><div class="sidebar"><p>Other, things, here.</p></div><div><ul><li><a href="/1">One more page</a><li><a href="/2">Another page</a></ul></div></body>'
+        text = main_text(page)
+        assert all(s in text for s in short) and "Paragraph 29" in text and "Home" not in text and "Other" not in text and "nother page" not in text
+
+
+def test_sections_in_wrappers_stay():
+    part = "<div><section><h2>Part {0}</h2><p>Words of part {0}, read by all.</p></section></div>"
+    page = "<body><article>" + "<div><section>" + "<p>One more, long, paragraph, of words.</p>" * 30 + "</section></div>" + "".join(part.format(k) for k in range(3)) + "</article><p><a href=1>More</a></p></body>"
+    assert all(f"Words of part {k}" in main_text(page) for k in range(3)) and "More" not in main_text(page)
