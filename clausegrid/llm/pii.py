@@ -21,6 +21,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Whole tokens with a digit or an @ and six characters or more.
 TOKEN = r"(?:\G|(?<!\S))(?=[^\s0-9@]*[0-9@])\S{6,}"
+#: Numbers next to each other, as in (017) 555 7713; possessive, so that long runs take linear time.
+RUN = r"(?:\G|(?<![\p{L}\p{N}_.@(+-]))[(+]?+[0-9]++(?:[().+/\x20-]{1,3}+[0-9]++)++"
 NEAR = 100
 BITS = 23
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
@@ -84,17 +86,36 @@ def contexts(rows: DataFrame) -> DataFrame:
 
     `rows` has _row, _text and _base (the base spans). A token is a run of non-space
     characters, trimmed of the punctuation around it; it is identifier-like if it has a
-    digit or an @ and at least 6 characters. Its neighbours are the tokens nearest to it,
+    digit or an @ and at least 6 characters. Base spans with blanks stand whole, instead of
+    the tokens in them, and so do runs of numbers with blanks and the 6 to 19 digits of the
+    base kinds, beside their tokens. The neighbours of each are the tokens nearest to it,
     as far as they lie within NEAR characters. Result: _row, start, end, seed (the kind of
     the base span that holds the token, else null), value, left, right, before (what the
     token has up to its last = or : or quote, as in password=...).
     """
-    found = rows.filter(F.col("_text").rlike("[0-9@]")).select("_row", "_base", "_text", F.explode(matches(F.col("_text"), TOKEN)).alias("t"))
+    text = F.col("_text")
+
+    def part(m: Column, value: Column, is_whole: bool) -> Column:
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), F.lit(is_whole).alias("is_whole"))
+
+    def value_of(b: Column) -> Column:
+        return F.substring(text, b["start"] + 1, b["end"] - b["start"])
+
+    def crosses(spans: str):
+        return lambda m: F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    def is_run(m: Column) -> Column:
+        return F.contains(m["value"], F.lit(" ")) & F.length(F.regexp_replace(m["value"], "[^0-9]", "")).between(6, 19) & ~crosses("_base")(m)
+
+    wide = rows.filter(text.rlike("[0-9@]")).withColumn("_wide", F.filter("_base", lambda b: F.contains(value_of(b), F.lit(" "))))
+    tokens = F.transform(F.filter(matches(text, TOKEN), lambda m: ~crosses("_wide")(m)), lambda m: part(m, m["value"], False))
+    runs = F.transform(F.filter(matches(text, RUN), is_run), lambda m: part(m, m["value"], True))
+    found = wide.select("_row", "_base", "_text", F.explode(F.concat(tokens, F.transform("_wide", lambda b: part(b, value_of(b), True)), runs)).alias("t"))
     begin = F.greatest(F.lit(0), F.col("t.start") - NEAR)
     left = F.regexp_extract(F.substring(F.col("_text"), begin + 1, F.col("t.start") - begin), r"(\S+)\s*$", 1)
     right = F.regexp_extract(F.substring(F.col("_text"), F.col("t.end") + 1, F.lit(NEAR)), r"^\s*(\S+)", 1)
-    each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.lower(F.when(left == "", "^").otherwise(left)).alias("left"), F.lower(F.when(right == "", "$").otherwise(right)).alias("right"))
-    before = F.regexp_extract("raw", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0)
+    each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.col("t.is_whole").alias("is_whole"), F.lower(F.when(left == "", "^").otherwise(left)).alias("left"), F.lower(F.when(right == "", "$").otherwise(right)).alias("right"))
+    before = F.when(F.col("is_whole"), "").otherwise(F.regexp_extract("raw", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0))
     value = F.regexp_replace(F.expr("substring(raw, length(before) + 1)"), r"""[.,;:!?"')\]}>]+$""", "")
     each = each.withColumn("before", before).withColumn("value", value).filter("length(value) >= 6")
     each = each.withColumn("start", F.col("start") + F.length("before")).withColumn("end", F.col("start") + F.length("value"))
@@ -137,7 +158,7 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     """The columns in `carry`, `base` and `spans` of every row; both are arrays of (start, end, rank, kind).
 
     `base` holds the base spans; `spans` those and the tokens whose value the bootstrapped
-    patterns identify, leaving out what overlaps a base span. Offsets are code points, the
+    patterns identify, leaving out what overlaps a base span or lies within another one. Offsets are code points, the
     end exclusive; order is by start, then kind as listed. Null and empty texts have empty
     arrays; each repeated row gets its own; other columns of `df` are left alone.
     """
@@ -156,6 +177,7 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     out = may_repeat(kept.drop("_text").withColumn("_key", F.xxhash64("_row")), marks, "_key", "_hit", BITS).drop("_key")
     out = out.filter("NOT _hit").withColumn("_more", F.expr(f"CAST(NULL AS {SPAN})")).unionByName(out.filter("_hit").join(extra, "_row", "left"))
     free = F.filter(F.coalesce("_more", F.expr(f"CAST(array() AS {SPAN})")), lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(free, lambda m: ~F.exists(free, lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_base").alias("base"), F.array_sort(F.concat("_base", free)).alias("spans"))
 
 

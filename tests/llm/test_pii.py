@@ -57,3 +57,12 @@ def test_empty_table_and_clashing_names(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "a@b.c", "x", 1), (None, "a@b.c", "x", 1)], "doc_id long, text string, base string, kind int")
     assert [len(r.spans) for r in find_pii(rows).collect()] == [1, 1]
+
+
+def test_identifiers_of_several_tokens_are_seeds_and_found_whole(spark):
+    texts = [f"please call us on +1 (017) 555-77{i} before noon today" for i in range(10, 50)] + [f"they paid by card {c} at the desk" for c in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "3000 0000 0000 04", "6011 0000 0000 0004", "4012 8888 8888 1881", "5105 1051 0510 5100")]
+    texts += ["please call us on (017) 555 7713 before noon today", "please call us on 017 555-7714 before noon today", "rows 12 34 56 78 of the table"]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [[(texts[i][s.start : s.end], s.kind) for s in got[i].spans] for i in range(len(texts) - 3, len(texts))]
+    assert found == [[("(017) 555 7713", "phone")], [("017 555-7714", "phone")], []]
+    assert all(got[i].spans == got[i].base and len(got[i].base) == 1 for i in range(len(texts) - 3))
