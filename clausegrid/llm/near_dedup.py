@@ -173,13 +173,13 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, with_key: bool = False) -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size and kept (one row of each class).
 
     Classes are the connected components of the links: equal texts, and texts whose
     multisets of five-word shingles have a Jaccard similarity of `threshold` or more. Words
     are runs of non-space characters; a text of under five words is one shingle; null counts
-    as empty, and all empty texts are one class. Repeated rows are copies; a null id is the
+    as empty, and all empty texts are one class. `with_key` adds _key, the MD5 of the text. Repeated rows are copies; a null id is the
     smallest. Other columns are left alone.
 
     Equal texts are collapsed first. Texts that share one of 25 bands of BagMinHash are
@@ -254,24 +254,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = written(links.unionByName(verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))), "near-links")
     labels = written(components(vertices, links), "near-classes")
 
-    named = written(rows.select("_id", "_uid", "_key").join(groups, "_key").join(labels, F.col("_rep") == F.col("id")).select("_id", "_uid", "label"), "near-rows")
+    named = written(rows.select("_id", "_uid", "_key").join(groups, "_key").join(labels, F.col("_rep") == F.col("id")).select("_id", "_uid", "_key", "label"), "near-rows")
     classes = named.groupBy("label").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("_id", "_uid")).alias("first"))
-    return named.join(classes, "label").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_uid") == F.col("first._uid")).alias("kept"))
+    return named.join(classes, "label").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_uid") == F.col("first._uid")).alias("kept"), *(["_key"] if with_key else []))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of `df` of which near_duplicates keeps one a class, with all their columns.
 
-    Rows whose id is in no class of several pass by a bitmap of fixed size; only the
-    others are shuffled, to meet the ids that are kept.
+    Rows are told apart by id and text, as ids may be null or repeat. Those in no class of
+    several pass by a bitmap of fixed size; only the others are shuffled, to meet what is kept.
     """
-    found = written(near_duplicates(df, id_col, text_col, threshold).filter("class_size > 1").select(F.col(id_col).alias("_kept_id"), "kept"), "near-several")
-    marks = bitmap_of(found.select(F.xxhash64("_kept_id").alias("key")), BITS)
-    rows = may_repeat(df.withColumn("_near_key", F.xxhash64(id_col)), marks, "_near_key", "_near_hit", BITS).drop("_near_key")
+    found = near_duplicates(df, id_col, text_col, threshold, with_key=True).filter("class_size > 1")
+    found = written(found.select(F.col(id_col).alias("_kept_id"), F.col("_key").alias("_kept_key"), "kept"), "near-several")
+    marks = bitmap_of(found.select(F.xxhash64("_kept_id", "_kept_key").alias("key")), BITS)
+    rows = df.withColumn("_near_text", F.md5(whole(F.col(text_col))))
+    rows = may_repeat(rows.withColumn("_near_key", F.xxhash64(id_col, "_near_text")), marks, "_near_key", "_near_hit", BITS).drop("_near_key")
     several = rows.filter("_near_hit").drop("_near_hit")
-    ids = found.groupBy("_kept_id").agg(F.bool_or("kept").alias("_any"))
-    stay = several.join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left").filter("_any OR _any IS NULL").drop("_kept_id", "_any")
-    return rows.filter("NOT _near_hit").drop("_near_hit").unionByName(stay.dropDuplicates([id_col, text_col]))
+    each = found.groupBy("_kept_id", "_kept_key").agg(F.bool_or("kept").alias("_any"))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_near_text") == F.col("_kept_key"))
+    stay = several.join(each, same, "left").filter("_any OR _any IS NULL").drop("_kept_id", "_kept_key", "_any").dropDuplicates([id_col, "_near_text"])
+    return rows.filter("NOT _near_hit").drop("_near_hit").unionByName(stay).drop("_near_text")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

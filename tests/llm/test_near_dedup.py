@@ -83,3 +83,12 @@ def test_repeated_rows_and_empty_table(spark):
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.class_id, r.class_size) for r in out) == [(1, 3), (1, 3), (1, 3), (2, 1)] and sum(r.kept for r in out) == 2
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_stays_where_ids_are_null_or_repeat(spark):
+    from clausegrid.llm.near_dedup import keep_one_of_each
+
+    base = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(3)]
+    rows = [(None, base[0]), (None, base[0] + " a"), (None, base[0] + " b"), (None, base[0]), (7, base[1]), (7, base[1] + " c"), (None, base[2]), (8, None), (8, "")]
+    kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text or "").split("x")[0] for r in kept) == ["", "w0", "w1", "w2"]
