@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,65 +18,147 @@ from pyspark.sql.window import Window
 
 from clausegrid.llm.common import table, whole, written
 
-END = np.array([1], "<u4").tobytes()  # the id that ends a document
+END = 1  # the id that ends a document
+SLICE_BYTES = 8 << 20  # texts are taken apart in slices of about so many bytes
 
 
-class WordIds(dict):
-    """Ids of blank-separated chunks as little-endian bytes, found once while they are remembered.
+def _gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that begin at `first`, one after the other."""
+    after = np.cumsum(count)
+    return flat[np.arange(after[-1] if len(after) else 0) - np.repeat(after - count - first, count)]
+
+
+class ChunkIds:
+    """Ids of blank-separated chunks, each found once while it is remembered.
 
     This vocabulary's rules never look across a blank, so a text's ids are those of its
-    chunks. A chunk of letters and one mark is the letters, then the mark.
+    chunks. A chunk of letters and one mark is the letters, then the mark. Place 0 is the
+    end of a document. At most `most` chunks and those of one slice of texts are
+    remembered; then all are forgotten and found again, which changes no id.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+    MARKS = ".,;:!?"
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")  # here lower-casing commutes with the other normalisations
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-_WORD_IDS: dict[str, WordIds] = {}  # one a worker and vocabulary
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([None], pa.string())
+        self.flat, self.first, self.count = np.array([END], "<u4"), np.array([0]), np.array([1])
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and how many each has."""
+        found = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), "<u4", int(count.sum())), count
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, many in one call: a word's last id, and no other, ends a word."""
+        flat, counts = [], []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            count = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            if len(count) != len(some):
+                ids, count = self._each(some)
+            flat.append(ids)
+            counts.append(count)
+        return np.concatenate(flat or [np.zeros(0, "<u4")]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    def learn(self, fresh: pa.Array) -> None:
+        """Remembers chunks: each is a word of letters and a mark or nothing, or is asked for as it is."""
+        known_marks = pa.array(list(self.MARKS))
+        tail, head = pc.utf8_slice_codeunits(fresh, -1), pc.utf8_slice_codeunits(fresh, 0, -1)
+        cut = pc.and_(pc.is_in(tail, known_marks), pc.utf8_is_alpha(head))
+        coded = pc.if_else(cut, head, fresh).dictionary_encode()
+        heads, head = coded.dictionary, coded.indices.to_numpy()
+        alpha = pc.utf8_is_alpha(heads)
+        letters = alpha.to_numpy(zero_copy_only=False)
+        words, odd = self._words(heads.filter(alpha).to_pylist()), self._each(heads.filter(pc.invert(alpha)).to_pylist())
+        marks = self._each(list(self.MARKS))
+        flat = np.concatenate([words[0], odd[0], marks[0]])
+        count = np.concatenate([words[1], odd[1], marks[1], [0]])
+        first = np.cumsum(count) - count
+        place = np.empty(len(heads), np.int64)
+        place[letters] = np.arange(letters.sum())
+        place[~letters] = letters.sum() + np.arange((~letters).sum())
+        mark = len(heads) + pc.if_else(cut, pc.index_in(tail, known_marks), len(self.MARKS)).to_numpy(zero_copy_only=False).astype(np.int64)
+        both = np.column_stack([place[head], mark]).reshape(-1)
+        total = count[both].reshape(-1, 2).sum(axis=1)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(total) - total])
+        self.count = np.concatenate([self.count, total])
+        self.flat = np.concatenate([self.flat, _gather(flat, first[both], count[both])])
+        self.known = pa.concat_arrays([self.known, fresh])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, each with the end behind it, and how many each text has."""
+        # A string of a special token must stay as it is; else small letters of ASCII commute with the other rules.
+        special, plain = pc.match_substring(texts, "<|"), pc.ascii_lower(texts)
+        if pc.any(special).as_py():
+            plain = pa.array([t if keep else low for t, keep, low in zip(texts.to_pylist(), special.to_pylist(), plain.to_pylist(), strict=True)], pa.string())
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        chunks = lists.flatten()
+        places = pc.index_in(chunks, self.known)
+        if places.null_count:
+            fresh = chunks.filter(places.is_null()).unique()
+            if len(self.known) + len(fresh) > self.most:
+                self.forget()
+                fresh = chunks.unique()
+            self.learn(fresh)
+            places = pc.index_in(chunks, self.known)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = np.insert(places.to_numpy(), ends, 0)
+        count = self.count[at]
+        after = np.cumsum(count)
+        return _gather(self.flat, self.first[at], count), np.diff(after[ends + np.arange(len(ends))], prepend=0)
+
+
+_CHUNK_IDS: dict[str, ChunkIds] = {}  # one a worker and vocabulary
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_BYTES together; a longer text is alone."""
+    first = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and total + size > SLICE_BYTES:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if len(sizes):
+        yield first, len(sizes)
 
 
 def _cut(path: str, window: int, quantum: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORD_IDS.setdefault(path, None) or _WORD_IDS.update({path: WordIds(path)}) or _WORD_IDS[path]
-        part, ranks = TaskContext.get().partitionId(), defaultdict(int)
+        if path not in _CHUNK_IDS:
+            _CHUNK_IDS[path] = ChunkIds(path)
+        chunks, part, ranks = _CHUNK_IDS[path], TaskContext.get().partitionId(), np.zeros(-(-window // quantum) + 1, np.int64)
         for batch in batches:
-            index, rows = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                ids = words.of(text.as_py()) + END
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    level = -(-len(piece) // 4 // quantum)
-                    index.append(i)
-                    rows.append((start, len(piece) // 4, total, piece, level, part, ranks[level]))
-                    ranks[level] += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            kept = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:-1], "start", "length", "doc_tokens", "ids", "_level", "_part", "_rank"])
+            texts = batch.column(batch.num_columns - 1)
+            for low, high in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                ids, total = chunks.of(texts.slice(low, high - low))
+                pieces = -(-total // window)
+                of = np.repeat(np.arange(len(total)), pieces)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(window, total[of] - start)
+                level = -(-length // quantum)
+                rank = np.empty(len(of), np.int64)  # among the pieces of its level in this task
+                order = np.argsort(level, kind="stable")
+                counts = np.bincount(level, minlength=len(ranks))
+                rank[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ranks, counts)
+                ranks += counts
+                ends = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces lie one after the other, as the ids do
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+                kept = [c.slice(low, high - low).take(pa.array(of)) for c in batch.columns[:-1]]
+                columns = [pa.array(start), pa.array(length), pa.array(total[of]), binary, pa.array(level.astype(np.int32)), pa.array(np.full(len(of), part, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[:-1], "start", "length", "doc_tokens", "ids", "_level", "_part", "_rank"])
 
     return run
 
