@@ -18,7 +18,7 @@ SIZE = 128
 ROWS = 5
 BANDS = SIZE // ROWS
 #: Of the 128 components, 2 bits each are kept to estimate similarity. At 0.8 they differ in 19.2 components, with a
-#: standard deviation of 4.04; this many lie four deviations above.
+#: standard deviation of 4.04; this many lie four deviations above. Pairs that differ by more wait for the prefix filter.
 MOST_DIFFERENT = 35
 BITS = 23
 CLASSES = (2, 3, 5, 9, 33, 257)  # the least frequencies of the classes of items
@@ -126,20 +126,36 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(items, pa.list_(pa.int64()))], ["_key", "items"])
 
 
-def _profiles(marks: list[np.ndarray]):
-    """(id, size, c0, c1, ...): how many of a text's items lie in each class of frequency; those that no other text has lie in none."""
+def _profiles(marks: list[np.ndarray], threshold: float):
+    """(id, size, c0, c1, ..., index, probe): how many of a text's items lie in each class of frequency, and its prefixes.
+
+    Items are put in one order for all texts: by class, the rarest first, then by hash. Two
+    texts, the shorter of size n and the longer of size m, that reach `threshold` share an
+    item of the shorter one's first n - ceil(2t/(1+t) n) + 1 and the longer one's first
+    m - ceil(tm) + 1. Items that no other text has are left out of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
+            offsets = lists.offsets.to_numpy().astype(np.int64)
             first, last = int(offsets[0]), int(offsets[-1])
-            level = sum(in_bits(held, lists.values.to_numpy(zero_copy_only=False)[first:last], BITS) for held in marks)
+            values = lists.values.to_numpy(zero_copy_only=False)[first:last]
+            level = sum(in_bits(held, values, BITS) for held in marks)
             columns = []
             for k in range(1, len(marks) + 1):
                 total = np.concatenate([[0], np.cumsum(level == k)])
                 columns.append(pa.array(total[offsets[1:] - first] - total[offsets[:-1] - first], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), *columns], ["id", "size", *(f"c{k}" for k in range(len(marks)))])
+            size = np.diff(offsets)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, level, owner))
+            rank, own = np.arange(len(values)) - np.repeat(offsets[:-1] - first, size), owner[order]
+            prefixes = []
+            for share in (2 * threshold / (1 + threshold), threshold):
+                taken = (rank < (size - np.ceil(share * size - 1e-9) + 1)[own]) & (level[order] > 0)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[taken], minlength=len(size)))])
+                prefixes.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order][taken], pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *columns, *prefixes], ["id", "size", *(f"c{k}" for k in range(len(marks))), "index", "probe"])
 
     return run
 
@@ -158,8 +174,8 @@ def _similar(a: str, b: str) -> Column:
     return total <= MOST_DIFFERENT
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each id is connected to. Labels spread along the edges and jump to their label's label."""
+def linked(edges: DataFrame) -> DataFrame:
+    """(id, label) of every id in `edges` (a, b): the smallest id that it is connected to. Labels spread along the edges and jump to their label's label."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "near-labels")
     while True:
@@ -170,7 +186,22 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         moved = written(spread.join(jump, "label", "left").select("id", "old", F.coalesce("next", "label").alias("label")), "near-labels")
         labels = moved.select("id", "label")
         if moved.filter("label <> old").isEmpty():
-            return vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+            return labels
+
+
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) of every vertex; one without edges is its own label."""
+    return vertices.select("id").join(linked(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (id, label), which leaves out ids that are alone, after some more links: only the labels that these join are worked on."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+    joined = written(linked(ends).select(F.col("id").alias("old"), F.col("label").alias("new")), "near-joined")
+    moved = labels.join(joined, labels["label"] == joined["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
+    alone = joined.select(F.col("old").alias("id"), F.col("new").alias("label")).join(labels.select("id"), "id", "left_anti")
+    return written(moved.unionByName(alone), "near-classes")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, with_key: bool = False) -> DataFrame:
@@ -179,18 +210,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Classes are the connected components of the links: equal texts, and texts whose
     multisets of five-word shingles have a Jaccard similarity of `threshold` or more. Words
     are runs of non-space characters; a text of under five words is one shingle; null counts
-    as empty, and all empty texts are one class. `with_key` adds _key, the MD5 of the text. Repeated rows are copies; a null id is the
-    smallest. Other columns are left alone.
+    as empty, and all empty texts are one class. The row with the smallest id is kept; a
+    null id comes last, and class_id is null only where all ids of a class are. Repeated
+    rows are copies. Texts are read as a whole, however long; an empty table gives no rows.
+    `with_key` adds _key, the MD5 of the text. Other columns are left alone.
 
     Equal texts are collapsed first. Texts that share one of 25 bands of BagMinHash are
     candidates (a pair at 0.8 shares none with a chance of 5e-5). A bucket never emits all
-    its pairs: first its members meet its most popular member, the one whose buckets are
-    fullest; what that leaves apart meets the most popular of the rest; only pairs that are
-    then still in different components, whose sketches agree within four standard deviations
-    of 0.8, and whose items by frequency leave room for enough overlap (an exact bound, so
-    that variants of one text, each with words of its own, don't all meet), are compared one
-    by one. Every link is verified on the full
-    multisets, which are only built for texts with candidates.
+    its pairs: in each of three rounds a member meets one text, the most popular of those
+    that lead its buckets and are not in its class yet, popular being who has the fullest
+    buckets. What is then still apart in a bucket meets by an exact prefix filter: the
+    shorter text's rarest ninth or so of items against the longer one's rarest fifth, rarest
+    in the sense of classes of frequency, under an exact bound of the overlap by class. So
+    variants of one text, each with words of its own, do not all meet. Every link is
+    verified on the full multisets, which are only built for texts with candidates, and no
+    pair is verified twice.
     """
     base = df.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
     keyed = base.select("_id", F.monotonically_increasing_id().alias("_uid"), F.md5("_text").alias("_key"), word_hashes(F.col("_text")).alias("_words"))
@@ -213,49 +247,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     items = again.mapInArrow(_items, "_key string, items array<long>").join(wanted, "_key").select("id", "items")
     items = written(items.dropDuplicates(["id"]), "near-items")
 
+    tested = written(items.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "near-tested")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.select("a", "b").distinct().join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        """The links among pairs that were not tested before."""
+        nonlocal tested
+        fresh = written(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = tested.unionByName(fresh)
+        full = fresh.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
-        return full.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
+        return written(full.filter(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-links")
 
-    def stars(held: DataFrame) -> DataFrame:
-        """Each member of a bucket beside the most popular one of those that are not in the label that is served already."""
-        first = held.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("order"), "id", "label", "_s0", "_s1", "_s2", "_s3")).alias("lead"))
-        both = held.alias("m").join(first.select("bucket", "lead.*").alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.id") != F.col("l.id")) & (F.col("m.label") != F.col("l.label")) & _similar("m", "l"))
-        return both.select(F.least("m.id", "l.id").alias("a"), F.greatest("m.id", "l.id").alias("b"))
+    def lead(held: DataFrame) -> DataFrame:
+        """The most popular member of each bucket."""
+        return held.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("order"), "id", "label", "_s0", "_s1", "_s2", "_s3")).alias("lead")).select("bucket", "lead.*")
 
-    vertices = texts.select("id")
-    labelled = members.withColumn("label", F.col("id"))
-    links = written(verified(stars(labelled)), "near-links")
+    def stars(held: DataFrame, leads: DataFrame) -> DataFrame:
+        """Each member beside the most popular of its buckets' leads that is in another class and looks like it."""
+        other = (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.label") != F.col("l.label")) & _similar("m", "l")
+        best = held.alias("m").join(leads.alias("l"), other).groupBy(F.col("m.id").alias("a")).agg(F.max(F.struct(F.col("l.fame").alias("fame"), (-F.col("l.id")).alias("order"), F.col("l.id").alias("b"))).alias("best"))
+        return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+
+    def labelled() -> DataFrame:
+        return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    labels = linked(verified(stars(members.withColumn("label", F.col("id")), lead(members.withColumn("label", F.col("id"))))))
     for _ in range(2):
-        labels = written(components(vertices, links), "near-classes")
-        labelled = written(members.join(labels, "id"), "near-labelled")
-        served = labelled.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("order"), "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        apart = labelled.join(served.select("bucket", F.col("lead.label").alias("served")), "bucket")
-        rest = apart.filter(F.col("label") != F.col("served"))
-        lead = rest.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("id")).alias("order"), "id", "label", "_s0", "_s1", "_s2", "_s3")).alias("lead"))
-        pairs = apart.alias("m").join(lead.select("bucket", "lead.*").alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.label") != F.col("l.label")) & _similar("m", "l"))
-        more = verified(pairs.select(F.least("m.id", "l.id").alias("a"), F.greatest("m.id", "l.id").alias("b")))
-        links = written(links.unionByName(more), "near-links")
-    labels = written(components(vertices, links), "near-classes")
-    labelled = written(members.join(labels, "id"), "near-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    apart = written(labelled.join(mixed, "bucket"), "near-apart")
+        now = written(labelled(), "near-labelled")
+        served = lead(now).select("bucket", F.col("label").alias("served"))
+        # The leads of those whom a bucket's most popular member does not serve.
+        rest = now.join(served, "bucket").filter(F.col("label") != F.col("served")).drop("served")
+        labels = merged(labels, verified(stars(now, lead(rest))))
+    now = written(labelled(), "near-labelled")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    apart = written(now.join(mixed, "bucket").select("id", "label").distinct(), "near-apart")
     # What two texts share is as frequent in one as in the other: by class of frequency, that bounds their overlap.
-    loose = written(items.join(apart.select("id").distinct(), "id", "left_semi"), "near-loose")
+    loose = written(items.join(apart.select("id"), "id", "left_semi"), "near-loose")
     often = written(loose.select(F.explode("items").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-frequencies")
     marks = [bits_of(bitmap_of(often.filter(F.col("n") >= least).select("key"), BITS), BITS) for least in CLASSES]
     classes = [f"c{k}" for k in range(len(CLASSES))]
-    profile = loose.mapInArrow(_profiles(marks), ", ".join(["id long", "size long", *(f"{c} long" for c in classes)]))
-    apart = written(apart.join(profile, "id"), "near-profiles")
+    profile = loose.mapInArrow(_profiles(marks, threshold), ", ".join(["id long", "size long", *(f"{c} long" for c in classes), "index array<long>, probe array<long>"]))
+    profile = written(apart.join(profile, "id"), "near-profiles")
     bound = reduce(lambda x, y: x + y, [F.least(f"p.{c}", f"q.{c}") for c in classes])
     enough = bound * (1 + threshold) + 1e-6 >= threshold * (F.col("p.size") + F.col("q.size"))
-    pairs = apart.alias("p").join(apart.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.label") != F.col("q.label")) & enough & _similar("p", "q"))
-    links = written(links.unionByName(verified(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))), "near-links")
-    labels = written(components(vertices, links), "near-classes")
-
-    named = written(rows.select("_id", "_uid", "_key").join(groups, "_key").join(labels, F.col("_rep") == F.col("id")).select("_id", "_uid", "_key", "label"), "near-rows")
-    classes = named.groupBy("label").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("_id", "_uid")).alias("first"))
+    shorter = F.struct("p.size", "p.id") < F.struct("q.size", "q.id")
+    facts = ["id", "label", "size", *classes]
+    short, long = (profile.select(*facts, F.explode(side).alias("item")) for side in ("index", "probe"))
+    pairs = short.alias("p").join(long.alias("q"), (F.col("p.item") == F.col("q.item")) & shorter & (F.col("p.label") != F.col("q.label")) & (F.col("p.size") >= threshold * F.col("q.size") - 1e-6) & enough)
+    labels = merged(labels, verified(pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))))
+
+    named = written(rows.select("_id", "_uid", "_key").join(groups, "_key").join(labels, F.col("_rep") == F.col("id"), "left").select("_id", "_uid", "_key", F.coalesce("label", "_rep").alias("label")), "near-rows")
+    classes = named.groupBy("label").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.isnull("_id").alias("last"), "_id", "_uid")).alias("first"))
     return named.join(classes, "label").select(F.col("_id").alias(id_col), "class_id", "class_size", (F.col("_uid") == F.col("first._uid")).alias("kept"), *(["_key"] if with_key else []))
 
 
@@ -278,4 +320,5 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, class_id, class_size and kept (see near_duplicates)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
