@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,31 +18,45 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 # Fixed values of HTML: what has no content, what holds raw text, what is no reading text, what ends a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript template iframe xmp noembed noframes head nav header footer aside form button select input label dialog menu svg math canvas object video audio".split())
+HIDDEN = frozenset("script style textarea title noscript template iframe xmp noembed noframes head button select input label svg math canvas object video audio".split())
+AROUND = frozenset("nav header footer aside form dialog menu".split())
 BLOCK = frozenset("html body address article aside blockquote br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption dt".split())
 #: A start tag on the left ends an open element on the right, but for those beyond a container of it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("ul ol dl table menu select body html article section div main".split())
-UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|legal|login|masthead|menu|modal|nav\w*|newsletter|notice|paywall|popup|promo\w*|related|recommend\w*|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscri\w*|tags?|toolbar|widget)(?:$|[-_\s\d])", re.I)
+UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|footer|legal|login|masthead|menu|modal|nav\w*|newsletter|notice|paywall|popup|promo\w*|recommend\w*|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscri\w*|toolbar|widget)(?:$|[-_\s\d])", re.I)
+#: These words may as well name a part of the article: the text decides.
+DOUBTFUL = re.compile(r"(?:^|[-_\s])(?:banner|header|related|tags?)(?:$|[-_\s\d])", re.I)
+REPLIES = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|replies|reply|respond)(?:$|[-_\s\d])", re.I)
 LIKELY = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|page|post|story|text)(?:$|[-_\s\d])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked", "own", "commas", "prose", "gone")
 
     def __init__(self, tag: str, parent: Node | None, hint: str = ""):
         self.tag, self.parent, self.hint = tag, parent, hint
         self.children: list[Node | str] = []
         self.score = 0.0
-        self.length = self.linked = 0
+        self.length = self.linked = self.own = self.commas = self.prose = 0
+        self.gone = False
 
 
 def parse(source: str) -> Node:
     """A forgiving tree: unclosed elements end with their container, stray end tags are dropped."""
     root = Node("#root", None)
     at, here = 0, root
-    depth = 0
+    open_tags: Counter[str] = Counter()  # so that no search goes up in vain
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while here is not node:
+            open_tags[here.tag] -= 1
+            here = here.parent
+        open_tags[node.tag] -= 1
+        here = node.parent
+
     while at < len(source):
         found = TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
@@ -54,32 +69,26 @@ def parse(source: str) -> Node:
         if not name:
             continue
         if found[1]:
-            node = here
-            while node.parent and node.tag != name:
-                node = node.parent
-            if node.parent:
-                while here is not node:
-                    here, depth = here.parent, depth - 1
-                here, depth = node.parent, depth - 1
+            if open_tags[name]:
+                node = here
+                while node.tag != name:
+                    node = node.parent
+                close(node)
             elif name == "p":  # a lone </p> is an empty paragraph
                 here.children.append(Node("p", here))
             continue
-        if name in BLOCK and name != "br":  # a block ends an open paragraph, with whatever inline elements are open in it
+        if name in BLOCK and name != "br" and open_tags["p"]:  # a block ends an open paragraph, with whatever inline elements are open in it
             node = here
             while node.parent and node.tag not in BLOCK:
                 node = node.parent
             if node.tag == "p":
-                while here is not node:
-                    here, depth = here.parent, depth - 1
-                here, depth = node.parent, depth - 1
-        if name in CLOSES:
+                close(node)
+        if name in CLOSES and any(open_tags[t] for t in CLOSES[name]):
             node = here
             while node.parent and node.tag not in CLOSES[name] and node.tag not in CONTAINERS:
                 node = node.parent
             if node.parent and node.tag in CLOSES[name]:
-                while here is not node:
-                    here, depth = here.parent, depth - 1
-                here, depth = node.parent, depth - 1
+                close(node)
         hint = ""
         if found[3] and ("class" in found[3] or "id" in found[3] or "role" in found[3] or "hidden" in found[3]):
             pairs = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(found[3])}
@@ -89,53 +98,111 @@ def parse(source: str) -> Node:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif name not in VOID and not found[3].endswith("/") and depth < 500:
-            here, depth = node, depth + 1
+        elif name not in VOID and not found[3].endswith("/"):
+            here = node
+            open_tags[name] += 1
     return root
 
 
-def dropped(node: Node) -> bool:
-    """Elements that never hold article text, by tag or, unless the page itself hangs below them, by their class, id or role."""
-    return node.tag in DROPPED or (node.tag not in ("html", "body", "article", "main") and bool(node.hint) and bool(UNLIKELY.search(node.hint)) and not (LIKELY.search(node.hint) and node.tag in ("div", "section") and node.hint.split()[0].lower() in ("article", "content", "main", "post", "entry", "story")))
+def _suspect(node: Node) -> bool:
+    """Elements that rarely hold article text, by tag or by class, id or role; measure() first."""
+    if node.tag in AROUND:
+        return True
+    if node.tag in ("html", "body", "article", "main") or not node.hint:
+        return False
+    if LIKELY.search(node.hint) and node.tag in ("div", "section") and node.hint.split()[0].lower() in ("article", "content", "main", "post", "entry", "story"):
+        return False
+    if UNLIKELY.search(node.hint):
+        return True
+    return bool(DOUBTFUL.search(node.hint)) and (node.length < 140 or density(node) >= 0.25)
 
 
-def _measure(root: Node) -> list[Node]:
-    """Sets length and linked characters of every kept element, leaves first; returns the kept elements."""
-    order, stack = [], [(root, False)]
+def _tree(root: Node) -> list[Node]:
+    """All elements that can be seen, parents first."""
+    order, stack = [], [root]
     while stack:
-        node, linked = stack.pop()
+        node = stack.pop()
         order.append(node)
-        linked = linked or node.tag == "a"
+        stack.extend(c for c in node.children if isinstance(c, Node) and c.tag not in HIDDEN and not c.gone)
+    return order
+
+
+def _sum_up(order: list[Node]) -> None:
+    """Sets characters, linked characters, own text and commas (without paragraphs below) and characters of unlinked prose, leaves first."""
+    in_link: dict[int, bool] = {}
+    for node in order:
+        in_link[id(node)] = node.tag == "a" or (node.parent is not None and in_link.get(id(node.parent), False))
+        node.length = node.linked = node.own = node.commas = node.prose = 0
+    for node in reversed(order):
         for child in node.children:
             if isinstance(child, str):
                 size = len(" ".join(child.split()))
                 node.length += size
-                node.linked += size if linked else 0
-            elif not dropped(child):
-                stack.append((child, linked))
+                node.own += size
+                node.linked += size if in_link[id(node)] else 0
+                node.commas += child.count(",") + child.count("、") + child.count("，")
+            elif id(child) in in_link:
+                node.length += child.length
+                node.linked += child.linked
+                node.prose += child.prose
+                if child.tag not in PARAGRAPH:
+                    node.own += child.own
+                    node.commas += child.commas
+        if node.tag in PARAGRAPH and node.tag not in ("li", "dt", "figcaption") and node.length - node.linked >= 80:
+            node.prose = max(node.prose, node.length - node.linked)
+
+
+def measure(root: Node) -> list[Node]:
+    """Marks what is no part of an article as gone, and measures the rest; returns the elements that stay, parents first.
+
+    A suspect element goes, unless the page hangs below it: it has an article or a main part
+    with most of its text, or it has four times the text of all that is not suspect and does
+    not call itself comments. Then the same is asked of what is below it.
+    """
+    order = _tree(root)
+    _sum_up(order)
+    marked: dict[int, int] = {}  # unlinked characters in article, main or likely content below
     for node in reversed(order):
-        if node.parent:
-            node.parent.length += node.length
-            node.parent.linked += node.linked
+        inner = sum(marked.get(id(c), 0) for c in node.children if isinstance(c, Node))
+        marked[id(node)] = node.length - node.linked if node.tag in ("article", "main") else inner
+    suspects = {id(n) for n in order if n is not root and _suspect(n)}
+    outside = 0
+    stack = [root]
+    tops: list[Node] = []
+    while stack:  # text that is not below a suspect
+        node = stack.pop()
+        linked = node.tag == "a"
+        for child in node.children:
+            if isinstance(child, str):
+                outside += 0 if linked else len(" ".join(child.split()))
+            elif id(child) in suspects:
+                tops.append(child)
+            elif child.tag not in HIDDEN:
+                stack.append(child)
+    while tops:
+        node = tops.pop()
+        free = node.length - node.linked
+        holds_article = free > 0 and marked[id(node)] * 2 > free
+        is_page = free >= 200 and free > 4 * outside and density(node) < 0.5 and not REPLIES.search(node.hint)
+        if not (holds_article or is_page):
+            node.gone = True
+            continue
+        stack = [node]
+        while stack:
+            for child in stack.pop().children:
+                if isinstance(child, Node) and child.tag not in HIDDEN:
+                    (tops if id(child) in suspects else stack).append(child)
+    order = _tree(root)
+    _sum_up(order)
     return order
 
 
-def density(node: Node) -> float:
-    return node.linked / node.length if node.length else 0.0
+def dropped(node: Node) -> bool:
+    return node.gone or node.tag in HIDDEN
 
 
-def _own(node: Node) -> tuple[int, int]:
-    """Characters and commas of an element's text, without what is dropped."""
-    size = commas = 0
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, str):
-                size += len(" ".join(child.split()))
-                commas += child.count(",") + child.count("、") + child.count("，")
-            elif not dropped(child) and child.tag not in PARAGRAPH:
-                stack.append(child)
-    return size, commas
+def density(node: Node) -> float:
+    return node.linked / node.length if node.length else 0.0
 
 
 def _prior(node: Node) -> float:
@@ -144,13 +211,13 @@ def _prior(node: Node) -> float:
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The best container, or the article that holds it, and those of its siblings that are not mostly links, in page order."""
-    kept = _measure(root)
+    """The best container, or the article that holds it, what reads like it beside it and, where no article is marked, beside its ancestors; in page order."""
+    kept = measure(root)
     scored: dict[int, Node] = {}
     for node in kept:
         if node.tag not in PARAGRAPH and not (node.tag in ("div", "section", "article", "main", "body", "#root") and any(isinstance(c, str) and c.strip() for c in node.children)):
             continue
-        size, commas = _own(node)
+        size, commas = node.own, node.commas
         if size < 1:
             continue
         points = (1.0 if size >= 25 else 0.1) + commas + min(size / 100, 3.0)
@@ -169,17 +236,30 @@ def best_containers(root: Node) -> list[Node]:
     for node in scored.values():
         node.score *= 1 - density(node)
     top = _whole_article(max(scored.values(), key=lambda n: n.score))
-    if top.parent is None:
-        return [top]
-    chosen = []
-    for child in top.parent.children:
-        if child is top:
-            chosen.append(child)
-        elif isinstance(child, Node) and not dropped(child):
-            reads = child.tag in PARAGRAPH and child.length > 0 and (density(child) < 0.25 if child.length >= 80 else child.linked == 0 and child.tag != "li")
-            if reads or (child.tag in BLOCK and child.tag not in PARAGRAPH and child.length > 0 and density(child) < 0.3):
-                chosen.append(child)
-    return chosen
+    before: list[Node] = []
+    after: list[Node] = []
+    node, nearest = top, True
+    while node.parent is not None:
+        beside = node.parent.children
+        at = next(k for k, c in enumerate(beside) if c is node)
+        left, right = ([c for c in part if isinstance(c, Node) and not dropped(c) and (_reads(c) if nearest else _is_prose(c))] for part in (beside[:at], beside[at + 1 :]))
+        before, after = left + before, after + right
+        if node.tag in ("article", "main", "body"):
+            break
+        node, nearest = node.parent, False
+    return [*before, top, *after]
+
+
+def _reads(node: Node) -> bool:
+    """Whether a sibling of the best container belongs to it."""
+    if node.tag in PARAGRAPH and node.length > 0 and (density(node) < 0.25 if node.length >= 80 else node.linked == 0 and node.tag != "li"):
+        return True
+    return node.tag in BLOCK and node.tag not in PARAGRAPH and node.length > 0 and density(node) < 0.3
+
+
+def _is_prose(node: Node) -> bool:
+    """Whether an element farther off has paragraphs of its own and few links."""
+    return node.tag in BLOCK and node.prose > 0 and density(node) < 0.25
 
 
 def _whole_article(top: Node) -> Node:
@@ -247,4 +327,5 @@ def extract_main_text(df: DataFrame, html_col: str = "html", carry: tuple[str, .
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text (the article) and n_chars."""
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

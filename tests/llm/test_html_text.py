@@ -53,3 +53,30 @@ def test_sections_in_wrappers_stay():
     part = "<div><section><h2>Part {0}</h2><p>Words of part {0}, read by all.</p></section></div>"
     page = "<body><article>" + "<div><section>" + "<p>One more, long, paragraph, of words.</p>" * 30 + "</section></div>" + "".join(part.format(k) for k in range(3)) + "</article><p><a href=1>More</a></p></body>"
     assert all(f"Words of part {k}" in main_text(page) for k in range(3)) and "More" not in main_text(page)
+
+
+PROSE = "<p>" + "This is a sentence of the article, with commas, and more words to read here. " * 3 + "</p>"
+SECOND = "<p>" + "The second half of the story follows now, as long as the first one, and goes on. " * 3 + "</p>"
+
+
+def test_layouts_whose_names_or_tags_mislead():
+    both = {
+        "halves": f"<body><div><div>{PROSE}</div></div><div><div>{SECOND}</div></div></body>",
+        "class words around the page": f'<body><div class="nav-page has-sidebar layout"><nav><a href=x>Home</a></nav>{PROSE}{SECOND}</div></body>',
+        "an article below a footer's name": f'<div class="page-footer-layout"><article>{PROSE}{SECOND}</article></div>',
+        "a form around the page": f"<form><div>{PROSE}{SECOND}</div></form>",
+        "a name of notices around the page": f'<main><div class="legal">{PROSE}{SECOND}</div></main>',
+        "a section on related work": f'<article>{PROSE}<div class="related-work">{SECOND}</div></article>',
+        "deep nesting": "<div>" * 700 + f"<nav>MENU</nav>{PROSE}{SECOND}" + "</div>" * 700,
+    }
+    want = " ".join(" ".join(re.sub("<[^>]*>", " ", p).split()) for p in (PROSE, SECOND))
+    assert {k: main_text(v) for k, v in both.items()} == dict.fromkeys(both, want)
+
+
+def test_four_blocks_side_by_side_and_what_still_goes():
+    four = "".join(f"<div><div>{PROSE.replace('article', f'part{i}')}</div></div>" for i in range(4))
+    assert all(f"part{i}" in main_text(f"<body>{four}</body>") for i in range(4))
+    one = " ".join(re.sub("<[^>]*>", " ", PROSE).split())
+    assert main_text(f'<body><div>{PROSE}</div><div class="comments">{SECOND * 20}</div></body>') == one
+    links = "".join('<a href="x">Other story to read</a> ' for _ in range(20))
+    assert main_text(f'<article>{PROSE}<div class="related">{links}</div></article>') == one
