@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clausegrid.llm.common import bitmap_of, may_repeat, table, whole, written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")  # secrets have no base pattern: seeds and learned patterns alone find them
 #: The base patterns. They match what the plain forms match; a lookbehind or the end of the last match (\G) keeps a
 #: search from starting inside a run, and possessive groups from recursing, so that long runs take linear time.
 PATTERNS = {
@@ -24,21 +25,45 @@ TOKEN = r"(?:\G|(?<!\S))(?=[^\s0-9@]*[0-9@])\S{6,}"
 #: Numbers next to each other, as in (017) 555 7713; possessive, so that long runs take linear time.
 RUN = r"(?:\G|(?<![\p{L}\p{N}_.@(+-]))[(+]?+[0-9]++(?:[().+/\x20-]{1,3}+[0-9]++)++"
 NEAR = 100
+#: Seeds of the kind secret: what stands behind a credential's name and a sign, and a published form of access keys.
+CREDENTIAL = r"""(?i)(?:^|[^\p{L}])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?$"""
+ACCESS_KEY = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"
+FOLDED = 64
 BITS = 23
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """The matches of a pattern, leftmost and not overlapping: array of (start, end, value), in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.arrays_zip(F.transform(values, lambda v: F.length(v)).alias("n"), F.transform(F.slice(gaps, 1, F.size(values)), lambda g: F.length(g)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<s:int,e:int>>)").alias("out")),
-        lambda acc, m: F.struct((acc.at + m["g"] + m["n"]).alias("at"), F.concat(acc.out, F.array(F.struct((acc.at + m["g"]).alias("s"), (acc.at + m["g"] + m["n"]).alias("e")))).alias("out")),
-        lambda acc: acc.out,
-    )
-    return F.zip_with(ends, values, lambda p, v: F.struct(p.s.alias("start"), p.e.alias("end"), v.alias("value")))
+    """The matches of a pattern, leftmost and not overlapping: array of (start, end, value), in code points.
+
+    Places are summed up in blocks of FOLDED matches, then over the blocks, as a fold that
+    appends copies what it has: so the work stays near the number of matches.
+    """
+    none = F.expr("CAST(array() AS array<struct<s:int,e:int>>)")
+
+    def block(steps: Column, k: Column) -> Column:
+        return F.aggregate(
+            F.slice(steps, k * FOLDED + 1, F.lit(FOLDED)), F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, m: F.struct((acc["at"] + m["g"] + m["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + m["g"]).alias("s"), (acc["at"] + m["g"] + m["n"]).alias("e")))).alias("out")),
+        )
+
+    def places(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda x, o: F.transform(x["out"], lambda p: F.struct((p["s"] + o).alias("s"), (p["e"] + o).alias("e")))))
+
+    def found(x: Column) -> Column:
+        steps = F.arrays_zip(F.transform(x["values"], lambda v: F.length(v)).alias("n"), F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["values"])), lambda g: F.length(g)).alias("g"))
+        blocks = _bound(steps, lambda st: F.transform(F.sequence(F.lit(0), ((F.size(st) - 1) / FOLDED).cast("int")), lambda k: block(st, k)))
+        return F.zip_with(_bound(blocks, places), x["values"], lambda p, v: F.struct(p["s"].alias("start"), p["e"].alias("end"), v.alias("value")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
+    return _bound(both, lambda x: F.when(F.size(x["values"]) > 0, found(x)).otherwise(empty))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -61,7 +86,7 @@ def _holds(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """All spans of the four base kinds: array of (start, end, rank, kind), by start, then kind as listed."""
     found = []
-    for rank, kind in enumerate(KINDS):
+    for rank, kind in enumerate(BASE):
         spans = F.transform(_kept(text, kind), _as_span(rank, kind))
         likely = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
         found.append(F.when(likely, spans).otherwise(F.expr(f"CAST(array() AS {SPAN})")))
@@ -91,7 +116,8 @@ def contexts(rows: DataFrame) -> DataFrame:
     base kinds, beside their tokens. The neighbours of each are the tokens nearest to it,
     as far as they lie within NEAR characters. Result: _row, start, end, seed (the kind of
     the base span that holds the token, else null), value, left, right, before (what the
-    token has up to its last = or : or quote, as in password=...).
+    token has up to its last = or : or quote, as in password=...). `seed` may also be the kind
+    secret, which has no base pattern (see CREDENTIAL and ACCESS_KEY).
     """
     text = F.col("_text")
 
@@ -112,22 +138,31 @@ def contexts(rows: DataFrame) -> DataFrame:
     runs = F.transform(F.filter(matches(text, RUN), is_run), lambda m: part(m, m["value"], True))
     found = wide.select("_row", "_base", "_text", F.explode(F.concat(tokens, F.transform("_wide", lambda b: part(b, value_of(b), True)), runs)).alias("t"))
     begin = F.greatest(F.lit(0), F.col("t.start") - NEAR)
-    left = F.regexp_extract(F.substring(F.col("_text"), begin + 1, F.col("t.start") - begin), r"(\S+)\s*$", 1)
-    right = F.regexp_extract(F.substring(F.col("_text"), F.col("t.end") + 1, F.lit(NEAR)), r"^\s*(\S+)", 1)
+    behind = F.substring(F.col("_text"), F.col("t.end") + 1, F.lit(NEAR))
+    # A neighbour that reaches beyond the window is no word to learn from: it counts as a long one.
+    ahead = F.substring(F.col("_text"), begin + 1, F.col("t.start") - begin)
+    word = r"(\S+(?:\s+[=:])?)\s*$"  # a sign alone takes the word in front of it along
+    left = F.when(begin == 0, F.regexp_extract(ahead, word, 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(ahead, r"(?<=\s)" + word, 1), F.lit("")), F.lit("~")))
+    right = F.when(F.length(behind) < NEAR, F.regexp_extract(behind, r"^\s*(\S+)", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(behind, r"^\s*(\S+)\s", 1), F.lit("")), F.lit("~")))
     each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.col("t.is_whole").alias("is_whole"), F.lower(F.when(left == "", "^").otherwise(left)).alias("left"), F.lower(F.when(right == "", "$").otherwise(right)).alias("right"))
-    before = F.when(F.col("is_whole"), "").otherwise(F.regexp_extract("raw", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0))
-    value = F.regexp_replace(F.expr("substring(raw, length(before) + 1)"), r"""[.,;:!?"')\]}>]+$""", "")
+    before = F.when(F.col("is_whole"), "").otherwise(F.regexp_extract("core", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0))
+    # What closes a token is taken off first, else a closing quote would count as the last one in front of a value.
+    each = each.withColumn("core", F.regexp_replace("raw", r"""[.,;:!?"')\]}>]+$""", ""))
+    value = F.expr("substring(core, length(before) + 1)")
     each = each.withColumn("before", before).withColumn("value", value).filter("length(value) >= 6")
     each = each.withColumn("start", F.col("start") + F.length("before")).withColumn("end", F.col("start") + F.length("value"))
     seed = F.try_element_at(F.filter("_base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end"))), F.lit(1))["kind"]
-    return each.select("_row", "start", "end", seed.alias("seed"), "value", "left", "right", F.lower("before").alias("before"))
+    named = F.concat_ws(" ", "left", "before").rlike(CREDENTIAL) | F.col("before").rlike(CREDENTIAL)
+    secret = ~F.col("is_whole") & ((named & (F.length("value") >= 8)) | F.col("value").rlike(ACCESS_KEY))
+    return each.select("_row", "start", "end", F.coalesce(seed, F.when(secret, "secret")).alias("seed"), "value", "left", "right", F.lower("before").alias("before"))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
     """(kind, value) of the identifiers that high-confidence patterns discover.
 
     A pattern is both neighbours of a token, or its shape with one of: the token on its
-    left, on its right, what stands before it in the same token. An instance is a distinct
+    left, on its right, what stands before it in the same token; or, for values of 16
+    characters and more, its first four and its length. An instance is a distinct
     value. Seeds are the values of base spans. In each round a pattern's confidence for a
     kind is the summed belief of its instances in that kind over the number of its
     instances plus one; a value's belief is 1 for seeds, else noisy-or over its patterns
@@ -138,7 +173,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.8, suppor
     shape = _shape(F.col("value"))
     keyed = found.select(
         "value", "seed",
-        F.explode(F.array(F.concat_ws("\u0001", F.lit("N"), "left", "right"), F.concat_ws("\u0001", F.lit("L"), "left", shape), F.concat_ws("\u0001", F.lit("R"), "right", shape), F.when(F.col("before") != "", F.concat_ws("\u0001", F.lit("B"), "before", shape)))).alias("pattern"),
+        F.explode(F.array(F.concat_ws("\u0001", F.lit("N"), "left", "right"), F.concat_ws("\u0001", F.lit("L"), "left", shape), F.concat_ws("\u0001", F.lit("R"), "right", shape), F.when(F.col("before") != "", F.concat_ws("\u0001", F.lit("B"), "before", shape)), F.when(F.length("value") >= 16, F.concat_ws("\u0001", F.lit("P"), F.substring("value", 1, 4), F.length("value"))))).alias("pattern"),
     ).filter("pattern IS NOT NULL")
     edges = keyed.groupBy("pattern", "value").agg(F.min("seed").alias("seed"))
     edges = written(edges, "pii-edges")
@@ -157,8 +192,8 @@ def bootstrap(found: DataFrame, rounds: int = 3, confidence: float = 0.8, suppor
 def find_pii(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
     """The columns in `carry`, `base` and `spans` of every row; both are arrays of (start, end, rank, kind).
 
-    `base` holds the base spans; `spans` those and the tokens whose value the bootstrapped
-    patterns identify, leaving out what overlaps a base span or lies within another one. Offsets are code points, the
+    `base` holds the base spans; `spans` those, the seeds of the kind secret, and the tokens whose
+    value the bootstrapped patterns identify, leaving out what overlaps a base span or lies within another one. Offsets are code points, the
     end exclusive; order is by start, then kind as listed. Null and empty texts have empty
     arrays; each repeated row gets its own; other columns of `df` are left alone.
     """
@@ -169,7 +204,9 @@ def find_pii(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     found = written(contexts(kept), "pii-contexts")
     more = bootstrap(found, rounds, confidence, support)
     rank = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
-    extra = found.filter("seed IS NULL").join(more, "value").select("_row", F.struct("start", "end", rank.cast("int").alias("rank"), "kind").alias("s"))
+    secrets = found.filter("seed = 'secret'").select("_row", "start", "end", F.col("seed").alias("kind"))
+    extra = found.filter("seed IS NULL").join(more, "value").select("_row", "start", "end", "kind").unionByName(secrets)
+    extra = extra.select("_row", F.struct("start", "end", rank.cast("int").alias("rank"), "kind").alias("s"))
     extra = extra.groupBy("_row").agg(F.collect_list("s").alias("_more"))  # a row's own tokens
     # Only rows that gain spans are shuffled; the others pass by a bitmap of fixed size.
     extra = written(extra, "pii-extra")
@@ -197,9 +234,11 @@ def joined(spans: Column) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all of them) and n_secret."""
     found = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    secrets = F.size(F.filter("spans", _is("secret"))).cast("long").alias("n_secret")
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), secrets)
 
 
 def _is(kind: str):
