@@ -30,7 +30,7 @@ class Model:
     toxic: bytes
     worth: list[float] = field(default_factory=lambda: [0.0] * (HIGH - LOW + 1))
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
-    window: int = 8
+    window: int = 4
     level: int = 12
 
 
@@ -165,7 +165,7 @@ def _telling(rows: DataFrame, false_grams: float, max_bytes: int) -> bytes:
     if not size.get(1) or not size.get(0):
         return b""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")
-    words = texts.select("_y", word).filter("length(word) <= 64").groupBy("word").agg(F.sum("_y").alias("n1"), F.sum(1 - F.col("_y")).alias("n0"))
+    words = texts.select("_y", word).groupBy("word").agg(F.sum("_y").alias("n1"), F.sum(1 - F.col("_y")).alias("n0"))
     framed = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     cuts = [_cuts(framed, k) for k in (5, 6, 7, 8)]
     grams = words.select("n1", "n0", F.explode(F.array_distinct(F.concat(*cuts))).alias("gram")).groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -188,7 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 10_000, max_ordinar
     """A model learned from labelled rows whose fold is not 1.
 
     At most `max_toxic` and `max_ordinary` of them, chosen by a hash of the id, are read
-    (whole texts). The ordinary dictionary is trained on windows of ordinary text. Toxic
+    (whole texts): a documented bound on labelled rows, the only sample that the model
+    knows. Of their ordinary windows `samples`, chosen by hash, make the ordinary dictionary
+    of `content_bytes`; of strings that are telling of toxic texts the `toxic_bytes` most
+    telling make the toxic one. Savings beyond LOW and HIGH count as these. Toxic
     text is mostly ordinary words too, so the toxic dictionary shares that content but for
     its first part, which gives way to what is telling of toxic texts: the two differ on
     nothing else. Dictionaries of fold 0, tried on fold 2, set what a saving of each size
@@ -237,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 10_000, max_ordinar
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score and predicted (score of at least 0.7); learned from labels of the other folds alone."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
