@@ -41,6 +41,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, keep_id (of the row of equal texts that stays), group_size, kept and text_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(whole(F.col("text")), 256).alias("text_sha256"))
     return exact_dedup(docs, carry=("text_sha256",))
 

@@ -265,5 +265,6 @@ def drop_recurring_lines(
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_dropped, and SHA-256 and length of the text that is left."""
     out = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))

@@ -211,6 +211,7 @@ def tar_members(data: bytes) -> dict[str, bytes]:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the text as a PNG in a tar shard, read back: n_bytes, payload_bytes, digests, feature, and where the PNG lies."""
     docs = text_payloads(table(spark, sf_dir, "documents"))
     stored = with_features(with_metadata(store_media(docs)))
     feature = F.format_string("png:%dx%dx%d;mean=%.4f;distinct=%d;entropy=%.4f", "width", "height", "bit_depth", "mean", "distinct", "entropy")

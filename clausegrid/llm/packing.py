@@ -340,4 +340,5 @@ def packed_rows(docs: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     return packed_rows(table(spark, sf_dir, "documents"))

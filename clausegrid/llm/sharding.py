@@ -67,8 +67,8 @@ def shard_by_bytes(
 
     The law is `bytes`: sizes (UTF-8 bytes of the text, null none, plus 1) near equal
     in all shards. Records lie in order of (hash of the text, id), so equal texts are
-    neighbours; a group of equal texts of at most `group_share` of a shard is never cut,
-    a larger one is cut where the balance needs it. Slots count gapless from 0.
+    neighbours; a group of equal texts of at most `group_share` of a shard stays whole unless
+    the border of two ranges falls into it, a larger one is cut where the balance needs it. Slots count gapless from 0.
 
     Size-weighted key samples (at most max_ranges * samples_per_range rows, drawn over
     all rows) give quantile boundaries; the exact bytes of each range are then counted,
@@ -131,6 +131,7 @@ def shard_by_bytes(
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, law (bytes), shard, slot and grown_shard (null under this law)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.encode(whole(F.col("text")), "UTF-8")).alias("text_crc32"))
     return shard_by_bytes(docs, carry=("text_crc32",)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
