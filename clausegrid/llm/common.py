@@ -62,7 +62,16 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Sets Arrow batches of this session to at most so many rows. For queries and pipelines, which hand whole texts on without writing them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
