@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import table, written
+from clausegrid.llm.common import bound_batches, table, written
 from clausegrid.llm.line_dedup import drop_recurring_lines
 from clausegrid.llm.near_dedup import keep_one_of_each
 from clausegrid.llm.packing import packed_rows
@@ -29,26 +29,36 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score reaches REJECT."""
+    bound_batches(spark)
     docs = docs.select(*COLUMNS)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return with_score(docs, model, score_col="_score").filter(F.col("_score") < REJECT).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines of recurring templates; every document stays."""
+    bound_batches(spark)
     return _documents(drop_recurring_lines(docs, carry=("doc_id", "lang", "source")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    bound_batches(spark)
     return keep_one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in angle brackets in the place of personal data and secrets; every document stays."""
+    bound_batches(spark)
     found = find_pii(docs, carry=("doc_id", "text", "lang", "source"))
     text = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.coalesce("text", F.lit("")))
     return _documents(found.withColumn("text", text))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; the columns are those of op10_packing."""
+    bound_batches(spark)
     return packed_rows(docs)
 
 
