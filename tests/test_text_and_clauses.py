@@ -1,37 +1,108 @@
-"""Golden cases and differential tests of text functions and the clause splitter, against Python's re."""
+"""Golden cases and differential tests of text functions and the clause splitter, against plain scanners."""
 
 import random
-import re
+import string
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
 from clausegrid.operators import clauses as C
 
+SMALL = tuple(string.ascii_lowercase)
+
 
 def column(spark, values, f):
     df = spark.createDataFrame(list(enumerate(values)), "i long, t string")
     return [r.o for r in df.select("i", f(F.col("t")).alias("o")).orderBy("i").collect()]
 
 
-def normalize(t):
-    return re.sub(r"\s{2,}", " ", re.sub(r"\n{2,}", "\n", t)).strip()
+# The rules once more, as scanners that go through a text character by character.
+
+
+def squeezed(text):
+    """Runs of newlines become one newline, then runs of white space one blank; nothing at the ends."""
+    single = "".join(c for k, c in enumerate(text) if not (c == "\n" and text[k - 1 : k] == "\n"))
+    runs = ("".join(run) for _, run in groupby(single, str.isspace))
+    return "".join(" " if run.isspace() and len(run) > 1 else run for run in runs).strip()
+
+
+def number_end(text, at):
+    """Where a clause number (one or two digits, then a dot or bracket) that begins at `at` ends."""
+    digits = len(text[at : at + 2]) if text[at : at + 2].isdecimal() else len(text[at : at + 1]) if text[at : at + 1].isdecimal() else 0
+    sizes = (digits, digits - 1) if digits == 2 else (digits,)
+    return next((at + n + 1 for n in sizes if n and text[at + n : at + n + 1] in (".", ")")), None)
+
+
+def letter_end(text, at):
+    return at + 2 if text[at : at + 1] in SMALL and text[at + 1 : at + 2] == ")" else None
+
+
+def after_newline(text, at, free):
+    return at > 0 and text[at - 1] == "\n"
+
+
+def at_line_start(text, at, free):
+    """As a boundary of a clause: the newline must not belong to the mark before."""
+    return at == 0 or (text[at - 1] == "\n" and at - 1 >= free)
+
+
+def shouted(text, end_of, starts):
+    """Titles in capitals: what follows a mark up to the end of its line, if it begins with a small letter."""
+    out, at, free = [], 0, 0
+    while at < len(text):
+        end = end_of(text, at) if starts(text, at, free) else None
+        title = end
+        while title is not None and text[title : title + 1].isspace():
+            title += 1
+        if title is not None and text[title : title + 1] in SMALL:
+            stop = text.find("\n", title)
+            stop = len(text) if stop < 0 else stop
+            out.append(text[at:end] + " " + text[title:stop].upper())
+            at = free = stop
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
+def capitals(text):
+    return shouted(shouted(text, number_end, at_line_start), letter_end, after_newline)
+
+
+def marks(text, end_of, starts):
+    """(place, mark) of each mark with white space behind it, which it uses up."""
+    out, free = [], 0
+    for at in range(len(text)):
+        end = end_of(text, at) if at >= free and starts(text, at, free) else None
+        if end is not None and text[end : end + 1].isspace():
+            out.append((at, text[at:end]))
+            free = end + 1
+    return out
+
+
+def without_rules(text):
+    """Without runs of equal signs and the white space behind each."""
+    out, dropping = [], False
+    for c in text:
+        if c == "=" or (dropping and c.isspace()):
+            dropping = True
+        else:
+            dropping = False
+            out.append(c)
+    return "".join(out)
 
 
-def capitalize(t):
-    t = re.sub(r"(^|\n)(\d{1,2}[.)])\s*([a-z][^\n]*)", lambda m: f"{m[1]}{m[2]} {m[3].upper()}", t)
-    return re.sub(r"(?<=\n)([a-z]\))\s*([a-z][^\n]*)", lambda m: f"{m[1]} {m[2].upper()}", t)
+def cut(text, found):
+    return [(mark, text[at:stop].strip()) for (at, mark), stop in zip(found, [p for p, _ in found[1:]] + [len(text)], strict=True)] if found else []
 
 
-def split(t):
-    found = list(re.finditer(r"(^|\n)(\d{1,2}[.)])\s", t))
+def clauses_of(text):
     out = []
-    for k, m in enumerate(found):
-        body = t[m.start(2) : found[k + 1].start(2) if k + 1 < len(found) else len(t)].strip()
-        body = re.sub(r"=+\s*", "", body)
-        subs = list(re.finditer(r"(?<=\n)([a-z]\))\s", body))
-        ends = [s.start() for s in subs[1:]] + [len(body)] * bool(subs)
-        out.append((m[2], body[: subs[0].start()].strip() if subs else body, [(s[1], body[s.start() : e].strip()) for s, e in zip(subs, ends, strict=True)]))
+    for number, body in cut(text, marks(text, number_end, at_line_start)):
+        body = without_rules(body)
+        found = marks(body, letter_end, after_newline)
+        out.append((number, body[: found[0][0]].strip() if found else body, cut(body, found)))
     return out
 
 
@@ -52,11 +123,11 @@ def test_split_golden_and_fuzzed(spark):
     texts = golden + ["".join(rnd.choices(parts, k=rnd.randrange(1, 25))) for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     plain = df.select("doc_id", X.capitalize_titles(X.normalize(F.col("text"))).alias("text"))
-    assert [r.text for r in plain.orderBy("doc_id").collect()] == [capitalize(normalize(t)) for t in texts]
+    assert [r.text for r in plain.orderBy("doc_id").collect()] == [capitals(squeezed(t)) for t in texts]
     got = {}
     for r in C.split_clauses(plain).orderBy("doc_id", "pos").collect():
         got.setdefault(r.doc_id, []).append((r.clause_number, r.content, [tuple(s) for s in r.subs]))
-    want = {i: s for i, t in enumerate(texts) if (s := split(capitalize(normalize(t))))}
+    want = {i: s for i, t in enumerate(texts) if (s := clauses_of(capitals(squeezed(t))))}
     assert got == want and len(want) > 300
     kept = {(r.doc_id, r.pos) for r in C.extract_clauses(df).collect()}
     assert kept == {(i, k) for i, s in want.items() for k, c in enumerate(s) if "....." not in c[1]}
