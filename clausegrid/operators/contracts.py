@@ -72,3 +72,7 @@ def last_status(events: DataFrame) -> DataFrame:
     last = events.groupBy("contract_id").agg(F.max_by(F.struct("stage", "message"), F.struct("at", "stage")).alias("e"))
     status = F.when(F.col("e.stage") == "COMPLETED", "completed").when(F.col("e.stage") == "ERROR", "failed").otherwise("parsing")
     return last.select("contract_id", status.alias("status"), F.when(F.col("e.stage") == "ERROR", F.col("e.message")).alias("error_message"))
+
+
+def by_id(contracts: DataFrame, wanted: str) -> DataFrame:
+    return contracts.filter(F.col("id") == wanted)

@@ -48,3 +48,24 @@ def canonical(pairs: DataFrame, id_col: str, by: str) -> DataFrame:
     """One row per unordered pair, the first by `by`."""
     rn = F.row_number().over(Window.partitionBy(id_col, "i", "j").orderBy(by))
     return pairs.withColumns({"_i": F.least("i", "j"), "_j": F.greatest("i", "j")}).drop("i", "j").withColumnsRenamed({"_i": "i", "_j": "j"}).withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+
+
+def positions(requests: DataFrame, id_col: str, items: str) -> DataFrame:
+    """An array of texts a request becomes rows (id, pos, content), positions counting from 0."""
+    return requests.select(id_col, F.posexplode(items).alias("pos", "content"))
+
+
+def without_blank(items: DataFrame, id_col: str = "doc_id", pos: str = "pos", text: str = "content") -> DataFrame:
+    """Items that are not blank, numbered anew from 0."""
+    from clausegrid.functions.text import strip
+
+    kept = items.filter(strip(F.col(text)) != "")
+    return kept.withColumn(pos, F.row_number().over(Window.partitionBy(id_col).orderBy(pos)) - 1)
+
+
+def united(tiers: list[DataFrame], columns: list[str]) -> DataFrame:
+    """The pairs of several tiers, each once; (a, b) and (b, a) are two pairs."""
+    out = tiers[0].select(*columns)
+    for tier in tiers[1:]:
+        out = out.unionByName(tier.select(*columns))
+    return out.distinct()

@@ -147,3 +147,21 @@ def longest_of_each_number(clauses: DataFrame, id_col: str = "doc_id") -> DataFr
 
 def route(n: Column) -> Column:
     return F.when(n <= 50, "fast").when(n <= 150, "medium").otherwise("smart")
+
+
+def is_appendix(number: Column) -> Column:
+    return F.upper(number).rlike("APPENDIX|SCHEDULE|EXHIBIT")
+
+
+def first_list(answer: Column) -> Column:
+    """The list in a JSON object under conflicts, results, data or conflict_list, the first that is there; a JSON list is itself."""
+    found = [F.get_json_object(answer, f"$.{name}") for name in ("conflicts", "results", "data", "conflict_list")]
+    return F.when(F.startswith(F.ltrim(answer), F.lit("[")), answer).otherwise(F.coalesce(*found))
+
+
+def cut_text(text: Column, most: int = 1000) -> Column:
+    return F.substring(text, 1, most)
+
+
+def topic_counts(claims: DataFrame, topic: str = "topic") -> DataFrame:
+    return claims.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))

@@ -558,3 +558,59 @@ def clause_hierarchy(spark, sf):
 def long_clauses_split(spark, sf):
     out = R.split_long(I.extracted(spark, sf), 400)
     return out.select("doc_id", "pos", "clause_number", "split_from", F.length("content").alias("n"))
+
+
+# Small reads and filters
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS token, event_id % 7 = 0 AND event_id % 5 <> 0 AS done FROM events),
+e AS (SELECT *, min(CASE WHEN done THEN event_id END) OVER (PARTITION BY user_id) AS last FROM l) SELECT user_id, event_id, token, done FROM e WHERE last IS NULL OR event_id <= last""")
+def token_lines_until_done(spark, sf):
+    line = F.when(F.col("event_id") % 5 == 0, "{oops").otherwise(F.to_json(F.struct(F.col("event_type").alias("response"), (F.col("event_id") % 7 == 0).alias("done"))))
+    lines = I.table(spark, sf, "events").select("user_id", "event_id", line.alias("value"))
+    return L.until_done(L.from_ndjson(lines), "user_id", "event_id").select("user_id", "event_id", "token", "done")
+
+
+@query(f"WITH {I.CONTRACTS} SELECT id, filename, status, file_type FROM contracts WHERE id = '7'")
+def contract_by_id(spark, sf):
+    return K.by_id(I.contracts(spark, sf), "7").select("id", "filename", "status", "file_type")
+
+
+@query("SELECT doc_id, (i - 1)::INT AS pos, md5(x) AS digest FROM (SELECT doc_id, unnest([{'i': i, 'x': x} FOR x, i IN string_split(text, chr(10))], recursive := true) FROM documents) AS q(doc_id, i, x)")
+def request_positions(spark, sf):
+    """Lines stand for the clauses that a request carries as an array."""
+    requests = I.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("clauses"))
+    return P.positions(requests, "doc_id", "clauses").select("doc_id", "pos", F.md5("content").alias("digest"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i, CASE WHEN (doc_id + i) % 3 = 0 THEN '  ' ELSE x END AS x FROM (SELECT doc_id, unnest([{'i': i, 'x': x} FOR x, i IN string_split(text, chr(10))], recursive := true) FROM documents) AS q(doc_id, i, x))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, md5(x) AS digest FROM l WHERE regexp_replace(x, '\s', '', 'g') <> ''""")
+def clauses_without_blank(spark, sf):
+    lines = P.positions(I.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("clauses")), "doc_id", "clauses")
+    lines = lines.withColumn("content", F.when((F.col("doc_id") + F.col("pos") + 1) % 3 == 0, "  ").otherwise(F.col("content")))
+    return P.without_blank(lines).select("doc_id", "pos", F.md5("content").alias("digest"))
+
+
+@query("SELECT DISTINCT source, i, j FROM (SELECT source, toxic AS i, quality AS j FROM labels JOIN documents USING (doc_id) UNION ALL SELECT source, quality, toxic FROM labels JOIN documents USING (doc_id) UNION ALL SELECT source, quality, quality FROM labels JOIN documents USING (doc_id))")
+def candidate_tiers_united(spark, sf):
+    d = I.table(spark, sf, "labels").join(I.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    tiers = [d.select("source", F.col(a).alias("i"), F.col(b).alias("j")) for a, b in (("toxic", "quality"), ("quality", "toxic"), ("quality", "quality"))]
+    return P.united(tiers, ["source", "i", "j"])
+
+
+@query("""SELECT doc_id, n AS number, regexp_matches(upper(n), 'APPENDIX|SCHEDULE|EXHIBIT') AS appendix, left(text, 200) AS short, length(left(text, 1000)) AS n_chars FROM (SELECT doc_id, text, ['1.2', 'Appendix A', 'schedule 3', doc_id || '.'][(doc_id % 4 + 1)::INT] AS n FROM documents)""")
+def appendices_and_cut_texts(spark, sf):
+    number = F.expr("element_at(array('1.2', 'Appendix A', 'schedule 3', concat(doc_id, '.')), cast(doc_id % 4 + 1 as int))")
+    d = I.table(spark, sf, "documents").select("doc_id", "text", number.alias("number"))
+    return d.select("doc_id", "number", R.is_appendix(F.col("number")).alias("appendix"), R.cut_text(F.col("text"), 200).alias("short"), F.length(R.cut_text(F.col("text"))).cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE '[' || doc_id || ']' END AS found FROM documents")
+def lists_in_answers(spark, sf):
+    answer = F.expr("""case doc_id % 4 when 0 then concat('{"results":[', doc_id, ']}') when 1 then concat('{"data":[0],"conflicts":[', doc_id, ']}') when 2 then concat('[', doc_id, ']') else '{"other":1}' end""")
+    return I.table(spark, sf, "documents").select("doc_id", R.first_list(answer).alias("found"))
+
+
+@query("SELECT event_type AS topic, count(*) AS n FROM events GROUP BY 1")
+def topic_counts(spark, sf):
+    return R.topic_counts(I.table(spark, sf, "events").select(F.col("event_type").alias("topic")))

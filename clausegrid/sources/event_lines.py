@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EVENT = "type string, stage string, message string, progress int, data map<string,string>"
 TOKEN = "response string, done boolean"
@@ -23,3 +24,9 @@ def from_sse(lines: DataFrame, schema: str = EVENT, value: str = "value") -> Dat
 def from_ndjson(lines: DataFrame, value: str = "value", schema: str = TOKEN) -> DataFrame:
     """One token a line; malformed lines have a null token."""
     return lines.withColumn("chunk", F.from_json(value, schema)).withColumn("token", F.col("chunk.response")).withColumn("done", F.coalesce("chunk.done", F.lit(False))).drop("chunk")
+
+
+def until_done(tokens: DataFrame, key: str, seq: str) -> DataFrame:
+    """The lines of each stream up to the first that says it is done, that one included."""
+    end = F.min(F.when(F.col("done"), F.col(seq))).over(Window.partitionBy(key))
+    return tokens.withColumn("_end", end).filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end")
