@@ -8,12 +8,19 @@ from pyspark.sql.window import Window
 
 
 def upper_triangular(items: DataFrame, id_col: str = "doc_id", pos: str = "pos", text: str = "content", self_checks: bool = True) -> DataFrame:
-    """(id, i, j, is_self_check, text_i, text_j) for i <= j in each document; pair_order puts self-checks first."""
-    a = items.select(F.col(id_col).alias("id"), F.col(pos).alias("i"), F.col(text).alias("text_i"))
-    b = items.select(F.col(id_col).alias("id"), F.col(pos).alias("j"), F.col(text).alias("text_j"))
+    """(id, i, j, is_self_check, text_i, text_j) for i <= j in each document; pair_order puts self-checks first.
+
+    The order comes from the items' ranks by a formula, so that only items are sorted, never
+    pairs. Positions are taken to be unique within a document.
+    """
+    within = Window.partitionBy(id_col)
+    ranked = items.select(F.col(id_col).alias("id"), F.col(pos).alias("_pos"), F.col(text).alias("_text"), (F.row_number().over(within.orderBy(pos)) - 1).cast("long").alias("_rank"), F.count(F.lit(1)).over(within).alias("_n"))
+    a = ranked.withColumnsRenamed({"_pos": "i", "_text": "text_i", "_rank": "_a"})
+    b = ranked.drop("_n").withColumnsRenamed({"_pos": "j", "_text": "text_j", "_rank": "_b"})
     pairs = a.join(b, "id").filter(F.col("i") <= F.col("j") if self_checks else F.col("i") < F.col("j"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy(F.col("i") != F.col("j"), "i", "j")) - 1
-    return pairs.withColumn("is_self_check", F.col("i") == F.col("j")).withColumn("pair_order", order).withColumnRenamed("id", id_col)
+    before = (F.col("_a") * (2 * F.col("_n") - F.col("_a") - 1) / 2).cast("long") + F.col("_b") - F.col("_a") - 1
+    order = F.when(F.col("i") == F.col("j"), F.col("_a")).otherwise(before + (F.col("_n") if self_checks else 0)).cast("int")
+    return pairs.withColumn("is_self_check", F.col("i") == F.col("j")).withColumn("pair_order", order).drop("_a", "_b", "_n").withColumnRenamed("id", id_col)
 
 
 def one_to_many(items: DataFrame, id_col: str = "doc_id", pos: str = "pos", text: str = "content") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
-from clausegrid.operators import chat, clauses as C, contracts as K, pairs as P, parties as N, review as R, verdicts as V
+from clausegrid.operators import candidates as T, chat, clauses as C, contracts as K, ingest as G, pairs as P, parties as N, review as R, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.files import parser_of
@@ -350,11 +351,10 @@ def majority_vote(spark, sf):
 
 @query()
 def compare_all_against_all(spark, sf):
-    """Pairs of benchmark items through the offline provider; each distinct prompt is asked once."""
-    items = I.table(spark, sf, "benchmark").select(F.lit(0).alias("doc_id"), F.col("item_id").cast("int").alias("pos"), F.col("text").alias("content"))
-    p = P.upper_triangular(items)
-    prompts = p.select("i", "j", "is_self_check", V.pair_prompt(F.lit("Compare."), F.col("i"), F.col("j"), F.col("text_i"), F.col("text_j")).alias("prompt"))
-    return V.judged(V.answers(prompts)).select("i", "j", "is_self_check", "conflict", "severity")
+    """All pairs of each document's clauses through the offline provider; each distinct prompt is asked once."""
+    p = P.upper_triangular(I.extracted(spark, sf))
+    prompts = p.select("doc_id", "i", "j", "is_self_check", V.pair_prompt(F.lit("Compare."), F.col("i"), F.col("j"), F.col("text_i"), F.col("text_j")).alias("prompt"))
+    return V.judged(V.answers(prompts)).select("doc_id", "i", "j", "is_self_check", "conflict", "severity")
 
 
 # Chat
@@ -614,3 +614,100 @@ def lists_in_answers(spark, sf):
 @query("SELECT event_type AS topic, count(*) AS n FROM events GROUP BY 1")
 def topic_counts(spark, sf):
     return R.topic_counts(I.table(spark, sf, "events").select(F.col("event_type").alias("topic")))
+
+
+# Candidate tiers and what is done with reported conflicts
+
+_PHRASES = ("Payment of a fee shall fall due.", "They shall not terminate.", "Notwithstanding this, damage is required.", "A patent is optional and mandatory.", "Notice as agreed.", "The courts' jurisdiction is prohibited or permitted.", "Confidential or secret, it must stay so.")
+
+
+def _told(spark, sf):
+    """Clauses with phrases of the tiers in front, so that every tier has clauses in it and clauses out of it."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), ((F.col("doc_id") + F.col("pos")) % len(_PHRASES) + 1).cast("int"))
+    return I.extracted(spark, sf).select("doc_id", "pos", F.concat(phrase, F.lit(" "), "content").alias("content"))
+
+
+_TOLD = f"{I.WITH}, told AS (SELECT doc_id, pos, {[p.replace(chr(39), chr(39) * 2) for p in _PHRASES]!r}[((doc_id + pos) % {len(_PHRASES)} + 1)::INT] || ' ' || content AS content FROM clauses)".replace('"', "'")
+
+
+def _tagged(topics: dict) -> str:
+    """One SELECT for each topic: the clauses that mention it."""
+    return " UNION ALL ".join(f"SELECT doc_id, pos, '{name}' AS topic FROM told WHERE {_sql_any('lower(content)', words)}" for name, words in topics.items())
+
+
+@query(f"{_TOLD}, tagged AS ({_tagged(T.TOPICS)}), first AS (SELECT * FROM tagged QUALIFY row_number() OVER (PARTITION BY doc_id, topic ORDER BY pos) <= 3) SELECT DISTINCT doc_id, a.pos AS i, b.pos AS j FROM first a JOIN first b USING (doc_id, topic) WHERE a.pos < b.pos")
+def topic_pairs(spark, sf):
+    """With a limit of 3 in place of 30, as the documents here have few clauses."""
+    return T.topic_pairs(_told(spark, sf), 3)
+
+
+@query(f"{_TOLD}, tagged AS ({_tagged(T.CLUSTERS)}) SELECT DISTINCT doc_id, a.pos AS i, b.pos AS j FROM tagged a JOIN tagged b USING (doc_id, topic) WHERE a.pos < b.pos")
+def cluster_pairs(spark, sf):
+    return T.cluster_pairs(_told(spark, sf))
+
+
+@query(f"{_TOLD} SELECT doc_id, a.pos AS i, b.pos AS j FROM told a JOIN told b USING (doc_id) WHERE a.pos < b.pos AND ("
++ " OR ".join(f"(contains(lower(a.content), '{x}') AND contains(lower(b.content), '{y}')) OR (contains(lower(a.content), '{y}') AND contains(lower(b.content), '{x}'))" for x, y in T.CONTRARY) + ")")
+def contrary_pairs(spark, sf):
+    return T.contrary_pairs(_told(spark, sf))
+
+
+@query(f"{_TOLD} SELECT doc_id, a.pos AS i, b.pos AS j FROM told a JOIN told b USING (doc_id) WHERE a.pos <> b.pos AND ({_sql_any('lower(a.content)', T.OVERRIDES)})")
+def override_against_all(spark, sf):
+    return T.override_against_all(_told(spark, sf))
+
+
+_REPORTED = f"""{_TOLD}, reported AS (SELECT doc_id, a.pos AS i, b.pos AS j, a.content AS text_i, b.content AS text_j, (70 + (doc_id + a.pos) % 31) / 100.0::DOUBLE AS confidence, repeat('because ', (doc_id % 9)::INT) AS description,
+  left(a.content, 20) AS quote_i, CASE WHEN doc_id % 3 = 0 THEN 'not there' ELSE b.content END AS quote_j FROM told a JOIN told b USING (doc_id) WHERE b.pos = a.pos + 1)"""
+
+
+def _reported(spark, sf):
+    """Conflicts between neighbouring clauses, with quotes of which some stand nowhere."""
+    told = _told(spark, sf)
+    pairs = T.with_texts(told.select("doc_id", F.col("pos").alias("i"), (F.col("pos") + 1).alias("j")), told)
+    return pairs.withColumns({
+        "confidence": (70 + (F.col("doc_id") + F.col("i")) % 31) / 100.0, "description": F.expr("repeat('because ', cast(doc_id % 9 as int))"),
+        "quote_i": F.substring("text_i", 1, 20), "quote_j": F.when(F.col("doc_id") % 3 == 0, "not there").otherwise(F.col("text_j")),
+    })
+
+
+@query(f"{_REPORTED} SELECT doc_id, i, j FROM reported WHERE confidence >= 0.8 AND length(text_i) >= 20 AND length(text_j) >= 20 AND length(description) >= 50")
+def believable_conflicts(spark, sf):
+    return T.believable(_reported(spark, sf)).select("doc_id", "i", "j")
+
+
+@query(f"{_REPORTED} SELECT doc_id, i, j FROM reported WHERE confidence >= 0.9 AND contains(text_i, quote_i) AND contains(text_j, quote_j)")
+def verified_conflicts(spark, sf):
+    return T.verified(_reported(spark, sf)).select("doc_id", "i", "j")
+
+
+@query(f"{_REPORTED} SELECT doc_id, i, j, 'i' AS side, 0 AS start, 20 AS \"end\", left(text_i, 20) AS snippet FROM reported UNION ALL SELECT doc_id, i, j, 'j', 0, length(left(text_j, 60))::INT, left(text_j, 60) FROM reported WHERE doc_id % 3 <> 0")
+def conflict_evidence(spark, sf):
+    """With snippets of 60 characters in place of 500, as clauses here are short."""
+    return T.evidence(_reported(spark, sf), ["doc_id", "i", "j"], 60)
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE doc_id % 10 = 3 AND quality <> 2")
+def unresolved_conflicts(spark, sf):
+    """Labels stand for conflicts: ten contracts, a version per document, quality 2 for resolved."""
+    labels = I.table(spark, sf, "labels")
+    versions = labels.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("contract_id")).distinct()
+    conflicts = labels.select(F.col("doc_id").alias("version_id"), F.when(F.col("quality") == 2, "RESOLVED").otherwise("OPEN").alias("status"), "doc_id", "toxic")
+    return T.unresolved(conflicts, versions, 3).select("doc_id", "toxic")
+
+
+# Ingest and comparison in one call
+
+
+@query(rf"""{I.WITH}, {I.SUBS}, ok AS (SELECT doc_id FROM texts WHERE doc_id % 5 < 3 AND doc_id % 11 <> 0 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100)
+SELECT 'contracts' AS name, count(*) AS n FROM texts UNION ALL SELECT 'failed', (SELECT count(*) FROM texts) - (SELECT count(*) FROM ok) UNION ALL SELECT 'versions', count(*) FROM ok
+UNION ALL SELECT 'parties', 2 * count(*) FROM ok UNION ALL SELECT 'clauses', (SELECT count(*) FROM clauses JOIN ok USING (doc_id)) + (SELECT count(*) FROM subs JOIN ok USING (doc_id))""")
+def ingest_counts(spark, sf):
+    """Rows of the four tables made from all documents as files, some of them of a wrong kind or too large."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".PDF", ".docx", ".md", ".exe")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    size = F.when(F.col("doc_id") % 11 == 0, K.MOST_BYTES + 1).otherwise(F.length("text"))
+    files = I.contract_texts(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/in/"), "doc_id", suffix).alias("path"), size.alias("size"), "text", F.lit('["Acme", "Beta"]').alias("answer"))
+    made = G.ingest(files, F.lit("2024-01-01").cast("timestamp_ntz"))
+    made["failed"] = made["contracts"].filter("status = 'failed'")
+    counts = [made[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("contracts", "failed", "versions", "parties", "clauses")]
+    return reduce(DataFrame.unionByName, counts)

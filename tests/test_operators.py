@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from clausegrid.operators import chat, contracts as K, pairs as P, parties as N, review as R, verdicts as V
+from clausegrid.operators import candidates as T, chat, contracts as K, ingest as G, pairs as P, parties as N, review as R, verdicts as V
 from tests.test_text_and_clauses import column
 
 
@@ -84,3 +84,53 @@ def test_review_rules(spark):
     assert got == [("1", None, 1), ("1.1", "1", 2), ("(a)", "1.1", 3), ("2", None, 1), ("2.1.3", "2.1", 3)]
     long = spark.createDataFrame([("10.", "A. " + "x " * 20 + "(1) one two (2) three"), ("11.", "short")], "clause_number string, content string")
     assert [r.clause_number for r in R.split_long(long, 30).collect()] == ["10.1", "10.2", "10.3", "11."]
+
+
+def test_pair_order_counts_self_checks_then_pairs(spark):
+    items = spark.createDataFrame([(d, p, "x") for d, ps in ((1, (0, 2, 5, 9)), (2, (3,)), (None, (0, 1))) for p in ps], "doc_id int, pos int, content string")
+    for self_checks in (True, False):
+        got = {(r.doc_id, r.i, r.j): r.pair_order for r in P.upper_triangular(items, self_checks=self_checks).collect()}
+        want = {}
+        for d, ps in ((1, (0, 2, 5, 9)), (2, (3,))):  # rows without an id meet nothing
+            pairs = sorted(((i, j) for i in ps for j in ps if i < j or (self_checks and i == j)), key=lambda p: (p[0] != p[1], p))
+            want |= {(d, *pair): k for k, pair in enumerate(pairs)}
+        assert got == want
+
+
+def test_candidate_tiers(spark):
+    texts = ["Payment of the FEE", "an invoice; they shall", "they shall not", "recipient", None, "nothing", "subject to an invoice"]
+    items = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)] + [(2, 0, "invoice")], "doc_id int, pos int, content string")
+    ij = lambda df: sorted((r.i, r.j) for r in df.collect())
+    assert ij(T.topic_pairs(items)) == [(0, 1), (0, 6), (1, 6)]
+    assert ij(T.topic_pairs(items, 2)) == [(0, 1)]
+    assert ij(T.cluster_pairs(items)) == [(0, 1), (0, 6), (1, 6)]  # each once, and "ip" is inside "recipient" alone
+    assert ij(T.contrary_pairs(items)) == [(1, 2)]
+    assert ij(T.override_against_all(items)) == [(6, k) for k in range(6)]
+
+
+def test_conflicts_reported(spark):
+    found = spark.createDataFrame([(1, 0, 1, 0.9, "d" * 50, "Acme pays", "Beta"), (1, 0, 2, 0.95, "d" * 50, "", "zz"), (1, 0, 7, 1.0, "d" * 60, "Acme", "Acme"), (1, 1, 2, 0.7, None, None, None)], "doc_id int, i int, j int, confidence double, description string, quote_i string, quote_j string")
+    items = spark.createDataFrame([(1, 0, "Acme pays the whole price"), (1, 1, "Then Beta pays the whole price"), (1, 2, "short")], "doc_id int, pos int, content string")
+    with_texts = T.with_texts(found, items)
+    assert with_texts.count() == 3
+    assert [(r.i, r.j) for r in T.believable(with_texts).collect()] == [(0, 1)]
+    assert [(r.i, r.j) for r in T.verified(with_texts).collect()] == [(0, 1)]
+    shown = sorted((r.side, r.start, r.end, r.snippet) for r in T.evidence(with_texts, ["doc_id", "i", "j"], 4).collect())
+    assert shown == [("i", 0, 4, "Acme"), ("j", 5, 9, "Beta")]
+
+
+def test_ingest_makes_the_four_tables(spark):
+    long = "1. Scope\n" + "The supplier delivers the goods to the site of the buyer. " * 3 + "\na) first part\n2. Price\nIt is fixed."
+    files = spark.createDataFrame([("k1", "/in/A.TXT", 10, long, '["Acme", "Beta"]'), ("k2", "/in/b.exe", 10, long, None), ("k3", "/in/c.txt", 10, None, None)], "id string, path string, size long, text string, answer string")
+    made = G.ingest(files, F.lit("2024-01-01").cast("timestamp_ntz"))
+    for name, schema in (("contracts", K.CONTRACTS), ("versions", K.VERSIONS), ("parties", K.PARTIES), ("clauses", K.CLAUSES)):
+        assert [(f.name, f.dataType) for f in made[name].schema] == [(f.name, f.dataType) for f in schema]
+    assert {r.id: (r.status, r.error_message, r.file_type, r.original_filename) for r in made["contracts"].collect()} == {
+        "k1": ("completed", None, "txt", "A.TXT"), "k2": ("failed", "unsupported file type", "exe", "b.exe"), "k3": ("failed", "too little text", "txt", "c.txt"),
+    }
+    assert [(r.contract_id, r.version_number, r.raw_text) for r in made["versions"].collect()] == [("k1", 1, long)]
+    assert sorted(r.name for r in made["parties"].collect()) == ["Acme", "Beta"]
+    clauses = made["clauses"].collect()
+    assert {c.version_id for c in clauses} == {r.id for r in made["versions"].collect()}
+    assert {c.parent_clause_id for c in clauses} - {None} <= {c.id for c in clauses}
+    assert sorted(c.clause_number for c in clauses if c.parent_clause_id is None) == ["1.", "2."]
