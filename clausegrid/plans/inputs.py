@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with all its lines numbered: each fourth as a sub-clause, every other in small letters, some with a leader."""
+    """Every document with all its lines numbered from 1 to 4 over and over: each fourth as a sub-clause, every other in small letters, some with a leader."""
     text = F.expr(
         """array_join(transform(split(text, '\\n'), (l, k) -> concat(
-             case when k % 4 = 3 then concat(char(cast(97 + (k div 4) % 26 as int)), ') ') else concat(cast((k - (k div 4)) % 90 + 1 as string), '. ') end,
+             case when k % 4 = 3 then concat(char(cast(97 + (k div 4) % 26 as int)), ') ') else concat(cast((k - (k div 4)) % 4 + 1 as string), '. ') end,
              case when k % 2 = 0 then lower(l) else l end,
              case when (doc_id + k) % 7 = 0 then ' ........ 3' when (doc_id + k) % 11 = 0 then '\\n\\n===  ' else '' end)), '\\n')"""
     )
@@ -24,7 +24,7 @@ def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEXTS = """texts AS (SELECT doc_id, array_to_string([
-  (CASE WHEN (i-1) % 4 = 3 THEN chr((97 + ((i-1)//4) % 26)::INT) || ') ' ELSE (((i-1) - (i-1)//4) % 90 + 1)::VARCHAR || '. ' END)
+  (CASE WHEN (i-1) % 4 = 3 THEN chr((97 + ((i-1)//4) % 26)::INT) || ') ' ELSE (((i-1) - (i-1)//4) % 4 + 1)::VARCHAR || '. ' END)
   || (CASE WHEN (i-1) % 2 = 0 THEN lower(l) ELSE l END)
   || (CASE WHEN (doc_id + i - 1) % 7 = 0 THEN ' ........ 3' WHEN (doc_id + i - 1) % 11 = 0 THEN chr(10)||chr(10)||'===  ' ELSE '' END)
   FOR l, i IN string_split(text, chr(10))], chr(10)) AS text FROM documents)"""
