@@ -119,3 +119,16 @@ def may_repeat(df: DataFrame, bitmap: DataFrame, key: str, flag: str, bits: int)
     joined = df.join(F.broadcast(bitmap), _word(F.col(key), bits) == F.col("word"), "left")
     hit = F.col("set_bits").bitwiseAND(_bit(F.col(key), bits)) != 0
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("word", "set_bits")
+
+
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], rows: str, least: float) -> DataFrame:
+    """many joined with the row of `one` that has the same keys, inner, where some keys may hold a large share of `many`.
+
+    `one` has each key once, with the number of its rows in `many` in column `rows`. Keys with `least` rows and more are
+    broadcast; with `least` a fixed share of all rows, say a thousandth, they are a thousand at most, whatever the
+    input. The rest is shuffled, and there no key has more than `least` rows.
+    """
+    hot = F.broadcast(one.filter(F.col(rows) >= least))
+    rest = one.filter(F.col(rows) < least)
+    left = many.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return many.join(hot, on).unionByName(left.join(rest, on))
