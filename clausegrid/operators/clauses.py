@@ -63,11 +63,19 @@ def extraction_stats(docs: DataFrame, clauses: DataFrame, id_col: str = "doc_id"
 
 
 def flat_clauses(clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The stored form: one row per clause or sub-clause, with deterministic ids, parent ids and order among siblings."""
+    """The stored form: one row per clause or sub-clause, with deterministic ids, parent ids and order among siblings.
+
+    Both come out of one pass, as a clause's own row and those of its sub-clauses.
+    """
     key = F.sha2(F.concat_ws("~", id_col, "pos"), 256)
-    main = clauses.select(key.alias("id"), F.col(id_col).alias("contract_id"), "clause_number", "content", F.lit(None).cast("string").alias("parent_clause_id"), F.col("pos").alias("order_index"))
-    subs = sub_clauses(clauses, id_col).select(F.sha2(F.concat_ws("~", id_col, "pos", "sub_pos"), 256).alias("id"), F.col(id_col).alias("contract_id"), "clause_number", "content", key.alias("parent_clause_id"), F.col("sub_pos").alias("order_index"))
-    return main.unionByName(subs)
+
+    def row(number: Column, content: Column, parent: Column, at: Column, row_id: Column) -> Column:
+        return F.struct(row_id.alias("id"), number.alias("clause_number"), content.alias("content"), parent.alias("parent_clause_id"), at.cast("int").alias("order_index"))
+
+    own = row(F.col("clause_number"), F.col("content"), F.lit(None).cast("string"), F.col("pos"), key)
+    subs = F.transform("subs", lambda s, k: row(s["clause_number"], s["content"], key, k, F.sha2(F.concat_ws("~", F.col(id_col), F.col("pos"), k), 256)))
+    rows = clauses.select(F.col(id_col).alias("contract_id"), F.inline(F.concat(F.array(own), subs)))
+    return rows.select("id", "contract_id", "clause_number", "content", "parent_clause_id", "order_index")
 
 
 def clause_tree(flat: DataFrame) -> DataFrame:

@@ -12,14 +12,15 @@ from clausegrid.operators import clauses as C, contracts as K, parties as N
 def ingest(files: DataFrame, now: Column) -> dict[str, DataFrame]:
     """The tables contracts, versions, parties and clauses of files (id, path, size, text, answer).
 
-    `answer` is what a model said about the parties, or null. A file that is refused, or
+    `answer` is what a model said about the parties, or null. A file that is refused, that could
+    not be read (a column `error` says why, where there is one), or
     whose text is too short, becomes a failed contract with its reason and nothing else; a
     null text counts as empty. Ids of what hangs below a contract come from its id, so that
     a repeated run gives the same rows.
     """
     text = F.coalesce("text", F.lit(""))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    rows = files.withColumns({"_text": text, "_error": F.coalesce(K.upload_error(F.col("path"), F.col("size")), K.text_error(text)), "_suffix": suffix, "_now": now})
+    rows = files.withColumns({"_text": text, "_error": F.coalesce(K.upload_error(F.col("path"), F.col("size")), *([F.col("error")] if "error" in files.columns else []), K.text_error(text)), "_suffix": suffix, "_now": now})
     failed = F.col("_error").isNotNull()
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     contracts = rows.select(
@@ -37,3 +38,23 @@ def ingest(files: DataFrame, now: Column) -> dict[str, DataFrame]:
         F.col("order_index").cast("int").alias("order_index"), F.col("id").alias("uuid_from_extractor"), now.alias("created_at"),
     )
     return {"contracts": contracts, "versions": versions, "parties": parties, "clauses": flat}
+
+
+def load(store, files: DataFrame, now: Column, run_id: str, answers: DataFrame | None = None) -> bool:
+    """Files in, tables out: parses `files` (path, length, content, sha256, as read_files gives them) and inserts what they hold; False if this run is committed already.
+
+    A contract's id comes from a file's name and content, so a file that is loaded again is the contract that is
+    there. `answers` (id, answer) has what a model said about the parties; without it the patterns decide. Each file is
+    read and parsed once: the parsed rows are kept until they are stored.
+    """
+    from clausegrid.sources.files import parse_files
+
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    known = files.select("path", F.col("length").alias("size"), F.sha2(F.concat_ws("~", name, "sha256"), 256).alias("id"))
+    parsed = parse_files(files).select("path", "text", "error").join(known, "path").dropDuplicates(["id"])
+    rows = parsed.join(answers, "id", "left") if answers is not None else parsed.withColumn("answer", F.lit(None).cast("string"))
+    rows = rows.persist()
+    try:
+        return store.insert(ingest(rows, now), run_id)
+    finally:
+        rows.unpersist()

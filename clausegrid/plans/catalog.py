@@ -12,6 +12,7 @@ from clausegrid.functions import text as X
 from clausegrid.operators import candidates as T, chat, clauses as C, contracts as K, ingest as G, pairs as P, parties as N, review as R, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
+from clausegrid.sources.contract_store import ContractStore
 from clausegrid.sources.files import parser_of
 from clausegrid.streaming import folds as S
 
@@ -711,3 +712,51 @@ def ingest_counts(spark, sf):
     made["failed"] = made["contracts"].filter("status = 'failed'")
     counts = [made[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in ("contracts", "failed", "versions", "parties", "clauses")]
     return reduce(DataFrame.unionByName, counts)
+
+
+# The stored tables: files of all documents, inserted in two runs of which the second brings the first one's again, then changed
+
+_KINDS = (".txt", ".PDF", ".docx", ".md", ".TXT")
+_GOOD = r"[n FOR n IN names IF n <> '' AND NOT regexp_matches(n, 'P\.?O\.?\s+Box|\d{5,}|(?i:tower|building|floor|street|avenue|road|hereinafter|referred\s+to\s+as)')]"
+_STORED = rf"""WITH {_PARTY_TEXT}, raw_{I.TEXTS}, texts AS (SELECT doc_id, p.text || chr(10) || r.text AS text FROM raw_texts r JOIN party_texts p USING (doc_id)), {I.NORMAL}, {I.CAPITAL}, {I.SPLIT}, {I.CLAUSES}, {I.SUBS},
+{_NAMES.replace('FROM party_texts', 'FROM texts')},
+files AS (SELECT doc_id, doc_id::VARCHAR AS id, ['.txt', '.PDF', '.docx', '.md', '.TXT'][(doc_id % 5 + 1)::INT] AS suffix, CASE WHEN doc_id % 11 = 0 THEN {K.MOST_BYTES + 1} ELSE length(text) END AS size, text FROM texts),
+k AS (SELECT *, CASE WHEN suffix = '.md' THEN 'unsupported file type' WHEN size > {K.MOST_BYTES} THEN 'file too large' WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 100 THEN 'too little text' END AS error FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+names AS (SELECT doc_id, CASE WHEN len(good) > 0 THEN good ELSE names END AS names FROM (SELECT doc_id, names, {_GOOD} AS good FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['Acme ' || doc_id, 'Main Street 5', 'Beta'] ELSE names END AS names FROM named))),
+every AS (SELECT 'contracts' AS name, id AS contract_id, id AS key, concat_ws('|', id, id || lower(suffix), id || suffix, substring(lower(suffix), 2), size, CASE WHEN error = 'file too large' THEN 'parsing' WHEN error IS NULL THEN 'completed' ELSE 'failed' END, coalesce(error, '-'), '2024-01-01 00:00:00', CASE WHEN error = 'file too large' THEN '2025-01-01 00:00:00' ELSE '2024-01-01 00:00:00' END) AS line FROM k
+UNION ALL SELECT 'versions', id, sha256('version~' || id), concat_ws('|', sha256('version~' || id), id, 1, md5(k.text), md5(n.text), '2024-01-01 00:00:00') FROM k JOIN normal n USING (doc_id) WHERE error IS NULL
+UNION ALL SELECT 'parties', id, sha256('party~' || id || '~' || nth), concat_ws('|', sha256('party~' || id || '~' || nth), id, name, '2024-01-01 00:00:00') FROM (SELECT id, unnest(names) AS name, unnest(range(len(names))) AS nth FROM k JOIN names USING (doc_id) WHERE error IS NULL)
+UNION ALL SELECT 'clauses', id, sha256(id || '~' || pos), concat_ws('|', sha256(id || '~' || pos), id, sha256('version~' || id), clause_number, content, '-', pos, sha256(id || '~' || pos), '2024-01-01 00:00:00') FROM clauses JOIN k USING (doc_id) WHERE error IS NULL
+UNION ALL SELECT 'clauses', id, sha256(id || '~' || pos || '~' || sub_pos), concat_ws('|', sha256(id || '~' || pos || '~' || sub_pos), id, sha256('version~' || id), clause_number, content, sha256(id || '~' || pos), sub_pos, sha256(id || '~' || pos || '~' || sub_pos), '2024-01-01 00:00:00') FROM subs JOIN k USING (doc_id) WHERE error IS NULL)
+SELECT name, contract_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY key)) AS digest FROM every GROUP BY 1, 2"""
+
+
+def _party_files(spark, sf) -> DataFrame:
+    """Files (id, path, size, text, answer) of all documents, some of a wrong kind, too large or too short, a third with a model's answer."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    texts = I.contract_texts(spark, sf).join(_party_texts(spark, sf).withColumnRenamed("text", "front"), "doc_id").withColumn("text", F.concat_ws("\n", "front", "text"))
+    size = F.when(F.col("doc_id") % 11 == 0, K.MOST_BYTES + 1).otherwise(F.length("text"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["Acme '), "doc_id", F.lit('", "Main Street 5", "Beta"]')))
+    return texts.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/in/"), "doc_id", kind).alias("path"), size.cast("long").alias("size"), "text", answer.alias("answer"))
+
+
+@query(_STORED)
+def stored_tables(spark, sf):
+    """All columns of the four tables, read back from the store: files of labelled documents, then files of all of them, the first run over again, a patch, and contracts deleted."""
+    store, labels = ContractStore(spark, I.scratch(spark, "store")), I.table(spark, sf, "labels").select("doc_id", "quality")
+    files, now = _party_files(spark, sf), F.lit("2024-01-01").cast("timestamp_ntz")
+    store.create()
+    first = G.ingest(files.join(labels, "doc_id", "left_semi").drop("doc_id"), now)
+    store.insert(first, "labelled")
+    store.insert(G.ingest(files.drop("doc_id"), now), "all")
+    store.insert(first, "labelled")
+    large = store.read("contracts").filter("error_message = 'file too large'").select("id", F.lit("parsing").alias("status"))
+    store.update(large, F.lit("2025-01-01").cast("timestamp_ntz"), "patch")
+    store.delete(labels.filter("quality = 0").select(F.col("doc_id").cast("string").alias("id")), "deleted")
+    out = []
+    for name, df in store.tables().items():
+        shown = [F.md5(c) if c in ("raw_text", "parsed_text") else F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c.endswith("_at") else F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]
+        line = F.struct("id", F.concat_ws("|", *shown).alias("line"))
+        key = F.col("id" if name == "contracts" else "contract_id").alias("contract_id")
+        out.append(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(line))["line"], "\n")).alias("digest")).select(F.lit(name).alias("name"), "contract_id", "n", "digest"))
+    return reduce(DataFrame.unionByName, out)
