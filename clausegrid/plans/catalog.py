@@ -14,6 +14,7 @@ from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
 from clausegrid.sources.files import parser_of
+from clausegrid.sources.folder import read_records, register
 from clausegrid.streaming import folds as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -760,3 +761,24 @@ def stored_tables(spark, sf):
         key = F.col("id" if name == "contracts" else "contract_id").alias("contract_id")
         out.append(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(line))["line"], "\n")).alias("digest")).select(F.lit(name).alias("name"), "contract_id", "n", "digest"))
     return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT 'txt' AS kind, md5(line) AS key, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 2
+UNION ALL SELECT 'csv', concat_ws('/', doc_id, quality, toxic), count(*) FROM labels GROUP BY 2
+UNION ALL SELECT 'json', item_id || '/' || md5(text), count(*) FROM benchmark GROUP BY 2 UNION ALL SELECT 'error', 'docx', 1""")
+def mixed_folder(spark, sf):
+    """Documents as text files, labels as CSV, benchmark as JSON and a broken file in one folder, read back: lines, records and errors."""
+    at = I.scratch(spark, "folder")
+    I.table(spark, sf, "documents").select("text").write.text(f"{at}/texts")
+    I.table(spark, sf, "labels").write.option("header", "true").csv(f"{at}/labels")
+    I.table(spark, sf, "benchmark").write.json(f"{at}/benchmark")
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/broken.docx")
+    broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken).close()
+    register(spark)
+    files, records = spark.read.format("clausegrid").load(at), read_records(spark, at)
+    lines = files.filter("text IS NOT NULL").select(F.lit("txt").alias("kind"), F.explode(F.split("text", "\n")).alias("key")).filter("key <> ''").withColumn("key", F.md5("key"))
+    errors = files.filter("error IS NOT NULL").select(F.lit("error").alias("kind"), F.element_at(F.split("path", r"\."), -1).alias("key"))
+    field = lambda *names: [F.get_json_object("record", f"$.{n}") for n in names]
+    csv = records.filter("kind = 'csv'").select("kind", F.concat_ws("/", *field("doc_id", "quality", "toxic")).alias("key"))
+    told = records.filter("kind = 'json'").select("kind", F.concat_ws("/", *field("item_id"), F.md5(*field("text"))).alias("key"))
+    return reduce(DataFrame.unionByName, (lines, errors, csv, told)).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
