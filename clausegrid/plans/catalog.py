@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
 from clausegrid.sources.files import parser_of
 from clausegrid.sources.folder import read_records, register
-from clausegrid.streaming import folds as S
+from clausegrid.streaming import comparisons as M, folds as S, uploads as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -409,6 +411,29 @@ def upload_progress(spark, sf):
     return out.withColumn("stage", F.when(F.col("stage") == "ERROR", "error").otherwise(F.col("stage")))
 
 
+_STEPS = "[" + ", ".join(f"{{'s': '{stage}', 'p': {percent}}}" for stage, percent in U.STEPS) + "]"
+
+
+@query(f"""WITH e AS (SELECT user_id || '/' || event_id % 7 AS run_id, ts, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN -1 WHEN event_id % 13 = 0 THEN NULL ELSE event_id * 7 % 16 END AS step FROM events),
+now AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM e), steps AS (SELECT run_id, step, min(ts) AS t FROM e WHERE step >= 0 GROUP BY 1, 2),
+ordered AS (SELECT run_id, max(step) AS far, count(*) AS n, bool_and(ok) AS in_order FROM (SELECT *, coalesce(t >= lag(t) OVER (PARTITION BY run_id ORDER BY step), true) AS ok FROM steps) GROUP BY 1),
+runs AS (SELECT run_id, count(*) AS events, max(ts) AS last, coalesce(bool_or(step = -1), false) AS failed FROM e GROUP BY 1)
+SELECT run_id, CASE WHEN failed THEN 'ERROR' ELSE {_STEPS}[far + 1].s END AS stage, CASE WHEN failed OR far IS NULL THEN 0 ELSE {_STEPS}[far + 1].p END AS progress,
+CASE WHEN failed THEN 'failed' WHEN far = 15 THEN 'completed' WHEN last + INTERVAL 2 DAY <= now THEN 'aborted' ELSE 'running' END AS status, events, coalesce(far + 1 - n, 0)::INT AS missing, coalesce(in_order, true) AS in_order
+FROM runs LEFT JOIN ordered USING (run_id), now""")
+def upload_steps(spark, sf):
+    """Where uploads stand by their sixteen steps, some of them failed, some silent for two days, steps in any order."""
+    e = I.table(spark, sf, "events")
+    k = (F.col("event_id") * 7 % 16).cast("int")
+    failed, other = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), F.col("event_id") % 13 == 0
+    names, percents = (F.get(F.array(*[F.lit(step[side]) for step in U.STEPS]), k) for side in (0, 1))
+    told = e.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("run_id"), F.when(failed, U.ERROR).when(other, "OTHER").otherwise(names).alias("stage"),
+        F.when(failed | other, 0).otherwise(percents).alias("progress"), F.col("ts").alias("at"),
+    )
+    return U.upload_status(told, 172_800, "1 hour")
+
+
 @query("""SELECT user_id::VARCHAR AS run_id, count(*) FILTER (event_type IN ('view', 'click')) AS results, count(*) FILTER (event_type = 'click') AS conflicts, count(*) FILTER (event_type = 'view' AND value > 90) AS errors,
 CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'purchase') THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY 1""")
 def run_totals(spark, sf):
@@ -782,3 +807,53 @@ def mixed_folder(spark, sf):
     csv = records.filter("kind = 'csv'").select("kind", F.concat_ws("/", *field("doc_id", "quality", "toxic")).alias("key"))
     told = records.filter("kind = 'json'").select("kind", F.concat_ws("/", *field("item_id"), F.md5(*field("text"))).alias("key"))
     return reduce(DataFrame.unionByName, (lines, errors, csv, told)).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+_REQUESTS = """requests AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'Compare.' END AS prompt, l[1] AS source, l[2:] AS targets FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+checked AS (SELECT *, CASE WHEN prompt = ' ' THEN 'blank prompt' WHEN regexp_replace(source, '\\s', '', 'g') = '' THEN 'blank source' WHEN len(targets) < 1 THEN 'no target' WHEN len(targets) > 100 THEN 'too many targets' END AS fault FROM requests)"""
+_COMPARED = f"""WITH {_REQUESTS}, results AS (SELECT doc_id, (i - 1)::BIGINT AS index, len(targets) AS total, coalesce(length(t) % 3 = 0 AND length(t) % 5 <> 0, false) AS conflict, CASE WHEN length(t) % 5 = 0 THEN 'Error' WHEN length(t) % 2 = 0 THEN 'High' ELSE 'Low' END AS severity
+  FROM (SELECT doc_id, targets, unnest([{{'t': t, 'i': i}} FOR t, i IN targets], recursive := true) FROM checked WHERE fault IS NULL) AS q(doc_id, targets, t, i)),
+runs AS (SELECT doc_id, max(total) AS total, count(*) FILTER (conflict) AS conflicts_found, count(*) FILTER (severity = 'Error') AS errors FROM results GROUP BY 1)
+SELECT doc_id::VARCHAR AS run_id, 0 AS seq, 'status' AS type, 'Starting ' || total || ' comparisons' AS message, NULL::BIGINT AS index, NULL::BOOLEAN AS conflict, NULL::VARCHAR AS severity, total, NULL::BIGINT AS conflicts_found, NULL::BIGINT AS errors FROM runs
+UNION ALL SELECT doc_id::VARCHAR, index + 1, 'result', NULL, index, conflict, severity, total, NULL, NULL FROM results
+UNION ALL SELECT doc_id::VARCHAR, total + 1, 'complete', 'All comparisons completed', NULL, NULL, NULL, total, conflicts_found, errors FROM runs
+UNION ALL SELECT doc_id::VARCHAR, 0, 'error', fault, NULL, NULL, NULL, NULL, NULL, NULL FROM checked WHERE fault IS NOT NULL"""
+
+
+def _requests(docs: DataFrame) -> DataFrame:
+    """A document is a request: its first line against the others, some without a prompt."""
+    lines = F.split("text", "\n")
+    return docs.select(F.col("doc_id").cast("string").alias("run_id"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise("Compare.").alias("prompt"), F.get(lines, F.lit(0)).alias("source"), F.slice(lines, F.lit(2), F.size(lines)).alias("targets"))
+
+
+def _by_length(rows: DataFrame) -> DataFrame:
+    """Answers that follow from a target's length, some of them failed calls, read like any other answer."""
+    n = F.length("target")
+    said = F.concat(F.when(n % 3 == 0, "Conflict: Yes").otherwise("Conflict: No"), F.when(n % 2 == 0, ". Severity: High").otherwise(". Severity: Low"))
+    return V.judged(rows.withColumn("answer", F.when(n % 5 == 0, "Error: no reply").otherwise(said)))
+
+
+@query(_COMPARED)
+def comparison_events(spark, sf):
+    """Events of one-to-many comparisons of every document; requests with no prompt, no source, no target or over 100 are refused."""
+    return M.compared(_requests(I.table(spark, sf, "documents")), _by_length)
+
+
+@query(_COMPARED)
+def streamed_comparison_events(spark, sf):
+    """The same through a stream that ends in the middle: the second batch is written and then fails, and is run again."""
+    at = I.scratch(spark, "comparisons")
+    docs = I.table(spark, sf, "documents").select("doc_id", "text")
+    for half in (0, 1):  # two files, hence two batches
+        docs.filter(F.col("doc_id") % 2 == half).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = _requests(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
+
+    def lost(requests: DataFrame, batch_id: int) -> None:
+        M.compared(requests, _by_length).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
+        if batch_id == 1:
+            raise RuntimeError("lost after the write, before the batch counted as done")
+
+    with contextlib.suppress(StreamingQueryException):
+        stream.writeStream.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(lost).start().awaitTermination()
+    M.write_events(stream, f"{at}/out", f"{at}/check", _by_length).awaitTermination()
+    return M.read_events(spark, f"{at}/out").drop("batch")

@@ -1,18 +1,10 @@
-"""Progress and runs as Structured Streaming state; each fold is the same on a static table."""
+"""Progress and runs as aggregates that hold for tables and for streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The percentages of a successful upload, in order.
-PERCENTAGES = (5, 10, 15, 20, 25, 35, 40, 50, 55, 60, 65, 75, 80, 85, 90, 100)
-RUN = "run_id string, results int, conflicts int, errors int, status string"
-STATE = "results int, conflicts int, errors int, status string"
-
 
 def latest_progress(events: DataFrame, key: str = "run_id") -> DataFrame:
     """Where each upload stands: its last event by time; an error puts progress back to 0."""
@@ -20,27 +12,12 @@ def latest_progress(events: DataFrame, key: str = "run_id") -> DataFrame:
     return last.select(key, F.col("e.stage").alias("stage"), F.when(F.col("e.stage") == "ERROR", 0).otherwise(F.col("e.progress")).alias("progress"), "events")
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """Streaming fold of run events (run_id, type, conflict, severity) into counters; an abort keeps what there is."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        results, conflicts, errors, status = state.get if state.exists else (0, 0, 0, "running")
-        for batch in batches:
-            found = batch[batch["type"] == "result"]
-            results += len(found)
-            conflicts += int(found["conflict"].fillna(False).astype(bool).sum())
-            errors += int((found["severity"] == "Error").sum())
-            for kind, value in (("complete", "completed"), ("error", "failed"), ("abort", "aborted")):
-                if (batch["type"] == kind).any():
-                    status = value
-        state.update((results, conflicts, errors, status))
-        yield pd.DataFrame([(*key, results, conflicts, errors, status)], columns=["run_id", "results", "conflicts", "errors", "status"])
-
-    return events.groupBy("run_id").applyInPandasWithState(fold, RUN, STATE, "update", "NoTimeout")
-
-
 def run_totals(events: DataFrame) -> DataFrame:
-    """The same counters over a static table."""
+    """Counters and status of runs (run_id, type, conflict, severity), for tables and, in update or complete mode, for streams.
+
+    An abort keeps what there is. Of abort, error and complete the first in this order is the
+    status, whichever came last, so a stream says what a table says.
+    """
     result = F.col("type") == "result"
     status = F.when(F.bool_or(F.col("type") == "abort"), "aborted").when(F.bool_or(F.col("type") == "error"), "failed").when(F.bool_or(F.col("type") == "complete"), "completed").otherwise("running")
     return events.groupBy("run_id").agg(F.count_if(result).alias("results"), F.count_if(result & F.col("conflict")).alias("conflicts"), F.count_if(result & (F.col("severity") == "Error")).alias("errors"), status.alias("status"))

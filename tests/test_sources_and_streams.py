@@ -55,10 +55,18 @@ def test_streamed_run_fold_is_the_batch_fold(spark, tmp_path):
     events = I.table(spark, SF, "events")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run(S.fold_runs(run_events(stream)), "runs", "update")
-    last = spark.table("runs").groupBy("run_id").agg(F.max("results").alias("results"), F.max("conflicts").alias("conflicts"), F.max("errors").alias("errors"))
-    want = S.run_totals(run_events(events)).select("run_id", "results", "conflicts", "errors")
-    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in want.collect()}
+    run(S.run_totals(run_events(stream)), "runs", "complete")
+    assert {tuple(r) for r in spark.table("runs").collect()} == {tuple(r) for r in S.run_totals(run_events(events)).collect()}
+
+
+def test_an_abort_outranks_what_comes_later(spark, tmp_path):
+    schema = "run_id string, type string, conflict boolean, severity string"
+    batches = [[("a", "result", True, "High"), ("b", "error", None, None)], [("a", "abort", None, None), ("b", "complete", None, None)], [("a", "complete", None, None), ("a", "result", None, "Error")]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run(S.run_totals(stream), "aborted", "complete")
+    assert {tuple(r) for r in spark.table("aborted").collect()} == {("a", 2, 1, 1, "aborted"), ("b", 0, 0, 0, "failed")}
 
 
 def test_streamed_windows_are_the_batch_windows(spark, tmp_path):
