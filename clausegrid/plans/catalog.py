@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
-from clausegrid.operators import candidates as T, chat, clauses as C, contracts as K, ingest as G, pairs as P, parties as N, review as R, verdicts as V
+from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, contracts as K, ingest as G, pairs as P, parties as N, review as R, values as W, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
@@ -857,3 +857,77 @@ def streamed_comparison_events(spark, sf):
         stream.writeStream.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(lost).start().awaitTermination()
     M.write_events(stream, f"{at}/out", f"{at}/check", _by_length).awaitTermination()
     return M.read_events(spark, f"{at}/out").drop("batch")
+
+
+# Values and claims
+
+_STATED = (
+    "The supplier shall make payment of USD 1,000.00 within 30 days.", "The supplier shall not make payment within one month, or two weeks.", "The buyer must accept; the governing law is that of Dubai.",
+    "Notwithstanding clause 2, the supplier shall make payment of 1 thousand dollars in thirty (30) calendar days.", "The buyer must not accept; the governing law is that of England and Wales from 1 March 2024.", "The courts of the UAE have jurisdiction.",
+    "A lock-up of 12 months.", "A lock-up of one year or 400 days applies.", "The supplier is permitted to terminate at 5% on 31 June 2024 or 2024-07-01.", "The supplier is prohibited to terminate, at 5.00 per cent.", "The fee is AED 5.5 million and 20 euros.",
+)
+
+
+def _stating(spark, sf) -> DataFrame:
+    """Clauses with a sentence that states values in front of what they say."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _STATED]), ((F.col("doc_id") + F.col("pos")) % len(_STATED) + 1).cast("int"))
+    return I.extracted(spark, sf).select("doc_id", "pos", "clause_number", F.concat(said, F.lit(" "), "content").alias("content"))
+
+
+def _sql_map(table: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in table.items()) + "}"
+
+
+def _sql_part(kind: str, *groups: int) -> str:
+    return " || ".join(f"regexp_extract(m, '{W.PATTERNS[kind]}', {g})" for g in groups)
+
+
+_DAYS = f"coalesce(TRY_CAST({_sql_part('DURATION', 1)} AS BIGINT), {_sql_map(W.NUMBERS)}[lower({_sql_part('DURATION', 1)})])"
+_UNIT = f"lower({_sql_part('DURATION', 2)})"
+_COUNT = "n || ' ' || u || CASE WHEN n = 1 THEN '' ELSE 's' END"
+_MONEY = f"(TRY_CAST(replace({_sql_part('AMOUNT', 3, 5)}, ',', '') AS DECIMAL(24,4)) * coalesce({_sql_map(W.SCALES)}[lower({_sql_part('AMOUNT', 4, 6)})], 1))"
+_PLAIN = r"regexp_replace(({n})::VARCHAR, '\.?0+$', '')"
+_DAY = f"TRY_CAST(concat_ws('-', {_sql_part('DATE', 1, 6, 9)}, coalesce(nullif({_sql_part('DATE', 2)}, ''), lpad(list_position({list(W.MONTHS)!r}, lower({_sql_part('DATE', 5, 7)}))::VARCHAR, 2, '0')), lpad({_sql_part('DATE', 3, 4, 8)}, 2, '0')) AS DATE)"
+_READ = {
+    "DURATION": f"(SELECT CASE WHEN u = 'month' AND n % 12 = 0 AND n > 0 THEN (n // 12) || ' year' || CASE WHEN n = 12 THEN '' ELSE 's' END ELSE {_COUNT} END FROM (SELECT CASE {_UNIT} WHEN 'week' THEN 7 WHEN 'year' THEN 12 ELSE 1 END * {_DAYS} AS n, CASE WHEN {_UNIT} IN ('day', 'week') THEN 'day' ELSE 'month' END AS u))",
+    "AMOUNT": f"{_sql_map(W.CURRENCIES)}[lower({_sql_part('AMOUNT', 1, 2, 7)})] || ' ' || {_PLAIN.format(n=_MONEY)}",
+    "PERCENT": _PLAIN.format(n=f"TRY_CAST({_sql_part('PERCENT', 1)} AS DECIMAL(24,4))") + " || '%'", "DATE": f"strftime({_DAY}, '%Y-%m-%d')", "JURISDICTION": f"{_sql_map(W.JURISDICTIONS)}[lower(m)]",
+}
+_SAID = f"{I.WITH}, said AS (SELECT doc_id, pos, clause_number, {list(_STATED)!r}[((doc_id + pos) % {len(_STATED)} + 1)::INT] || ' ' || content AS content FROM clauses)"
+_VALUES = _SAID + ", matched AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, {k} AS kind_at, '{kind}' AS kind, x.m AS m, x.i AS i FROM (SELECT doc_id, pos, unnest([{{'m': m, 'i': i}} FOR m, i IN regexp_extract_all(content, '{W.PATTERNS[kind]}', 0)]) AS x FROM said)" for k, kind in enumerate(W.KINDS)) + f"""),
+  read AS (SELECT doc_id, pos, kind_at, kind, i, m, CASE kind {' '.join(f"WHEN '{kind}' THEN {_READ[kind]}" for kind in W.KINDS)} END AS value FROM matched),
+  vals AS (SELECT doc_id, pos, (row_number() OVER (PARTITION BY doc_id, pos ORDER BY kind_at, i) - 1)::INT AS nth, kind, value, m FROM read WHERE value IS NOT NULL)"""
+
+
+@query(f"{_VALUES} SELECT doc_id, pos, nth AS \"at\", kind, value, m AS source FROM vals")
+def clause_values(spark, sf):
+    return W.value_rows(_stating(spark, sf), ["doc_id", "pos"]).select("doc_id", "pos", "at", "kind", "value", "source")
+
+
+@query(f"{_VALUES} SELECT kind, count(*) AS n, count(DISTINCT value) AS \"values\" FROM vals GROUP BY 1 ORDER BY n DESC, kind")
+def value_kind_counts(spark, sf):
+    return W.kind_counts(W.value_rows(_stating(spark, sf), ["doc_id", "pos"]))
+
+
+_TOPIC = f"CASE WHEN regexp_matches(content, '{Q.LOCK_UP}') THEN 'LOCK_UP' ELSE {_FUNCTION} END"
+_MODALITY = "CASE " + " ".join(f"WHEN regexp_matches(content, '{p}') THEN '{n}'" for n, p in Q.MODALITIES.items()) + " END"
+_MADE = f"""{_VALUES}, claims AS (SELECT doc_id, doc_id || '/' || pos || '/' || coalesce(nth, 0) AS id, {_TOPIC} AS topic, coalesce(lower(nullif(regexp_extract(content, '{Q.SUBJECT}', 1), '')), '') AS subject, {_MODALITY} AS modality,
+  kind, value, regexp_replace(clause_number, '[.)]+$', '') AS clause, CASE WHEN regexp_matches(content, '{Q.OVERRIDES}') THEN nullif(regexp_extract(content, '{Q.OVERRIDDEN}', 1), '') END AS over FROM said LEFT JOIN vals USING (doc_id, pos))"""
+
+
+@query(f"{_MADE} SELECT doc_id, id AS claim_id, topic, subject, coalesce(modality, '') AS modality, coalesce(kind, '') AS value_type, coalesce(value, '') AS value, clause, coalesce(over, '') AS overrides FROM claims")
+def clause_claims(spark, sf):
+    claims = Q.claims_of(_stating(spark, sf), ["doc_id"])
+    return claims.select("doc_id", "claim_id", "topic", *[F.coalesce(c, F.lit("")).alias(c) for c in ("subject", "modality", "value_type", "value")], "clause", F.coalesce("overrides", F.lit("")).alias("overrides"))
+
+
+_OPPOSED = " OR ".join(f"(a.modality = '{x}' AND b.modality = '{y}') OR (a.modality = '{y}' AND b.modality = '{x}')" for x, y in Q.OPPOSITES)
+
+
+@query(f"""{_MADE}, pairs AS (SELECT a.doc_id, a.id AS i, b.id AS j, a.topic, CASE WHEN a.subject = b.subject AND ({_OPPOSED}) THEN 'modality' WHEN a.kind = b.kind AND a.subject = b.subject AND a.value <> b.value THEN 'value'
+  WHEN a.kind = 'JURISDICTION' AND b.kind = 'JURISDICTION' AND a.value <> b.value THEN 'jurisdiction' WHEN a.topic = 'PAYMENT' AND a.kind = 'DURATION' AND b.kind = 'DURATION' AND a.subject = b.subject THEN 'payment_timing'
+  WHEN a.topic = 'LOCK_UP' AND a.kind = 'DURATION' AND b.kind = 'DURATION' THEN 'lock_up' END AS rule FROM claims a JOIN claims b ON a.doc_id = b.doc_id AND a.topic = b.topic AND a.id < b.id WHERE NOT coalesce(a.over = b.clause, false) AND NOT coalesce(b.over = a.clause, false))
+SELECT * FROM pairs WHERE rule IS NOT NULL""")
+def contradicting_claims(spark, sf):
+    """Claims of each document's clauses that contradict, with overrides among them."""
+    return Q.find_conflicts(Q.claims_of(_stating(spark, sf), ["doc_id"]), ["doc_id"])
