@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
-from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, contracts as K, ingest as G, pairs as P, parties as N, review as R, values as W, verdicts as V
+from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, contracts as K, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
@@ -931,3 +931,24 @@ SELECT * FROM pairs WHERE rule IS NOT NULL""")
 def contradicting_claims(spark, sf):
     """Claims of each document's clauses that contradict, with overrides among them."""
     return Q.find_conflicts(Q.claims_of(_stating(spark, sf), ["doc_id"]), ["doc_id"])
+
+
+_NUMBERS = ("1", "1.1", "1.1.1.", "1.1.1.1", "1.1.1.1.1", "1.1.1.1.1.1", "(a)", "Appendix A", "A.1", "A.1.2", "2", "2.1", "3.1.4")
+_HEADINGS = ("Payment of invoices", "Termination", "Confidential matters", "Liability", "Notices")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT user_id, event_id AS pos, {list(_NUMBERS)!r}[(event_id * 5 % 13 + 1)::INT] AS number, {list(_HEADINGS)!r}[(event_id % 5 + 1)::INT] AS content FROM events),
+l AS (SELECT *, CASE WHEN regexp_matches(number, '{O.APPENDIX}') THEN 'A' WHEN number <> '(a)' THEN regexp_replace(number, '[.)]+$', '') END AS label, regexp_matches(number, '{O.APPENDIX}') AS top FROM n),
+asks AS (SELECT user_id, pos, k, array_to_string(string_split(label, '.')[:len(string_split(label, '.')) - k], '.') AS label FROM (SELECT *, unnest(range(1, len(string_split(label, '.')))) AS k FROM l WHERE label IS NOT NULL AND NOT top)),
+met AS (SELECT a.user_id, a.pos, k, max(h.pos) AS spot FROM asks a JOIN l h ON h.user_id = a.user_id AND h.label = a.label AND h.pos < a.pos GROUP BY 1, 2, 3),
+near AS (SELECT user_id, pos, arg_min(spot, k) AS spot FROM met GROUP BY 1, 2),
+p AS (SELECT l.*, CASE WHEN label IS NULL THEN max(CASE WHEN label IS NOT NULL THEN l.pos END) OVER (PARTITION BY l.user_id ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE near.spot END AS parent_pos FROM l LEFT JOIN near ON near.user_id = l.user_id AND near.pos = l.pos),
+tree AS (SELECT user_id, pos, pos AS root_pos, 0 AS depth FROM p WHERE parent_pos IS NULL UNION ALL SELECT p.user_id, p.pos, root_pos, depth + 1 FROM p JOIN tree t ON t.user_id = p.user_id AND t.pos = p.parent_pos)
+SELECT p.user_id, p.pos, p.number, p.parent_pos, t.root_pos, t.depth, {_FUNCTION.replace('content', 'r.content')} AS category FROM p JOIN tree t ON t.user_id = p.user_id AND t.pos = p.pos JOIN n r ON r.user_id = p.user_id AND r.pos = t.root_pos""")
+def clause_outline(spark, sf):
+    """Outlines of clauses of up to depth 6 with appendices, and the category that each clause gets from the top."""
+    e = I.table(spark, sf, "events")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    rows = e.select("user_id", F.col("event_id").alias("pos"), pick(_NUMBERS, F.col("event_id") * 5 % 13).alias("number"), pick(_HEADINGS, F.col("event_id") % 5).alias("content"))
+    out = O.with_category(O.with_roots(O.outline(rows, "user_id"), "user_id", most_depth=8), "content", "user_id")
+    return out.select("user_id", "pos", "number", "parent_pos", "root_pos", "depth", "category")
