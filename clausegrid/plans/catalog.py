@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
-from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, contracts as K, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
+from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, compare as B, contracts as K, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
@@ -952,3 +953,42 @@ def clause_outline(spark, sf):
     rows = e.select("user_id", F.col("event_id").alias("pos"), pick(_NUMBERS, F.col("event_id") * 5 % 13).alias("number"), pick(_HEADINGS, F.col("event_id") % 5).alias("content"))
     out = O.with_category(O.with_roots(O.outline(rows, "user_id"), "user_id", most_depth=8), "content", "user_id")
     return out.select("user_id", "pos", "number", "parent_pos", "root_pos", "depth", "category")
+
+
+# Comparisons with results: the answer follows from the prompt's length, and a clock that goes on by a quarter of a second each time stands in for time
+
+
+def _tick():
+    """A clock that has gone on by a quarter of a second each time it is looked at."""
+    ticks = itertools.count()
+    return lambda: next(ticks) / 4
+
+
+def _told_by_length(prompt: str):
+    n = len(prompt)
+    if n % 7 == 0:
+        raise ValueError("no reply")
+    yield "Conflict: " + ("Yes" if n % 3 == 0 else "No")
+    yield from (" so",) * (n % 4)
+    if n % 5:
+        yield " Severity: " + ("High" if n % 2 else "Low")
+
+
+_ANSWERED = """answered AS (SELECT *, n % 7 = 0 AS failed, 1 + n % 4 + CASE WHEN n % 5 <> 0 THEN 1 ELSE 0 END AS tokens, 'Conflict: ' || CASE WHEN n % 3 = 0 THEN 'Yes' ELSE 'No' END || repeat(' so', (n % 4)::INT) || CASE WHEN n % 5 = 0 THEN '' WHEN n % 2 = 1 THEN ' Severity: High' ELSE ' Severity: Low' END AS answer FROM prompts),
+results AS (SELECT *, NOT failed AND n % 3 = 0 AS conflict, CASE WHEN failed THEN 'Error: no reply' ELSE answer END AS explanation, CASE WHEN failed THEN 'Error' WHEN n % 5 = 0 THEN 'Unknown' WHEN n % 2 = 1 THEN 'High' ELSE 'Low' END AS severity,
+  CASE WHEN failed THEN 0 ELSE tokens END AS total_tokens, CASE WHEN failed THEN 0 ELSE 0.25 END::DOUBLE AS time_to_first_token, CASE WHEN failed THEN 0 ELSE 0.5 END::DOUBLE AS total_time FROM answered)"""
+_AROUND = len("\n\n[Source clause]\n" + "\n\n[Target clause " + "]\n" + "\n\n" + V.ASK)  # what a prompt holds beside the texts
+_TARGETED = f"""WITH {_REQUESTS}, prompts AS (SELECT doc_id, (i - 1)::BIGINT AS index, len(targets) AS total, length(prompt) + length(source) + length(t) + length(i::VARCHAR) + {_AROUND} AS n
+  FROM (SELECT doc_id, prompt, source, targets, unnest([{{'t': t, 'i': i}} FOR t, i IN targets], recursive := true) FROM checked WHERE fault IS NULL) AS q(doc_id, prompt, source, targets, t, i)), {_ANSWERED}"""
+
+
+@query(f"{_TARGETED} SELECT doc_id::VARCHAR AS run_id, index, total, conflict, explanation, severity, total_tokens, time_to_first_token, total_time, CASE WHEN failed THEN 0 ELSE total_tokens / 0.5 END::DOUBLE AS tokens_per_second FROM results")
+def compared_one_to_many(spark, sf):
+    """Each document's first line against its others, through a provider that yields tokens, with what every call took."""
+    out = B.compare_one_to_many(_requests(I.table(spark, sf, "documents")), _told_by_length, clock=_tick)
+    return out.select("run_id", "index", "total", "conflict", "explanation", "severity", "performance.*")
+
+
+@query(f"{_TARGETED} SELECT doc_id::VARCHAR AS run_id, count(*) AS n, sum(total_tokens)::BIGINT AS tokens, sum(total_time) AS seconds, sum(total_tokens) / sum(total_time) AS tokens_per_second, max(time_to_first_token) AS longest_wait FROM results WHERE NOT failed GROUP BY 1")
+def performance_of_runs(spark, sf):
+    return B.performance(B.compare_one_to_many(_requests(I.table(spark, sf, "documents")), _told_by_length, clock=_tick), ["run_id"])
