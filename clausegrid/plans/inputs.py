@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out to all cores where its scan gives fewer tasks than there are cores, as one large row group does; else as it is.
+
+    What comes after a scan here is mostly work on texts. A table of many files is left alone: it needs no shuffle of its texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with all its lines numbered from 1 to 4 over and over: each fourth as a sub-clause, every other in small letters, some with a leader."""
     text = F.expr(
@@ -37,7 +46,7 @@ def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
              case when k % 2 = 0 then lower(l) else l end,
              case when (doc_id + k) % 7 = 0 then ' ........ 3' when (doc_id + k) % 11 = 0 then '\\n\\n===  ' else '' end)), '\\n')"""
     )
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("text"))
 
 
 TEXTS = """texts AS (SELECT doc_id, array_to_string([
