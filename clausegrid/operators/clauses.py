@@ -19,15 +19,38 @@ def split_clauses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stripping. subs is an array of (clause_number, content); the content of a clause with
     sub-clauses is what stands before the first.
     """
+    rows = _pieces(df, id_col, text_col)
+    rows = rows.select(id_col, "pos", _number(F.col("piece")).alias("clause_number"), _body(F.col("piece")).alias("body"))
+    rows = rows.withColumn("parts", _parts(F.col("body")))
+    subs = F.transform(F.slice("parts", F.lit(2), F.size("parts")), lambda p: F.struct(F.regexp_extract(p, r"^([a-z]\))", 1).alias("clause_number"), strip(p).alias("content")))
+    return rows.select(id_col, "pos", "clause_number", _own(F.col("body"), F.col("parts")).alias("content"), subs.alias("subs"))
+
+
+#: What is taken out of a clause's text: lines of equal signs and the white space behind them.
+RULES = r"=+(?U:\s)*"
+
+
+def _pieces(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, piece): the stretches of text that begin with a clause number; what stands before the first goes."""
     marked = F.regexp_replace(F.col(text_col), r"(^|\n)((?U:\d){1,2}[.)])((?U:\s))", f"$1{OPEN}$2$3")
     pieces = F.split(marked, OPEN, -1)
-    rows = df.select(id_col, F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("pos", "piece"))
-    body = F.regexp_replace(strip(F.col("piece")), r"=+(?U:\s)*", "")
-    rows = rows.select(id_col, "pos", F.regexp_extract("piece", r"^((?U:\d){1,2}[.)])", 1).alias("clause_number"), body.alias("body"))
-    parts = F.split(F.regexp_replace("body", r"(?<=\n)([a-z]\))((?U:\s))", f"{OPEN}$1$2"), OPEN, -1)
-    rows = rows.withColumn("parts", parts)
-    subs = F.transform(F.slice("parts", F.lit(2), F.size("parts")), lambda p: F.struct(F.regexp_extract(p, r"^([a-z]\))", 1).alias("clause_number"), strip(p).alias("content")))
-    return rows.select(id_col, "pos", "clause_number", F.when(F.size("parts") > 1, strip(F.element_at("parts", 1))).otherwise(F.col("body")).alias("content"), subs.alias("subs"))
+    return df.select(id_col, F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("pos", "piece"))
+
+
+def _number(piece: Column) -> Column:
+    return F.regexp_extract(piece, r"^((?U:\d){1,2}[.)])", 1)
+
+
+def _body(piece: Column) -> Column:
+    return F.regexp_replace(strip(piece), RULES, "")
+
+
+def _parts(body: Column) -> Column:
+    return F.split(F.regexp_replace(body, r"(?<=\n)([a-z]\))((?U:\s))", f"{OPEN}$1$2"), OPEN, -1)
+
+
+def _own(body: Column, parts: Column) -> Column:
+    return F.when(F.size(parts) > 1, strip(F.element_at(parts, 1))).otherwise(body)
 
 
 def is_toc(content: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
-from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, compare as B, contracts as K, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
+from clausegrid.functions.sql import register_functions
+from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, compare as B, contracts as K, coverage as D, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
@@ -992,3 +993,48 @@ def compared_one_to_many(spark, sf):
 @query(f"{_TARGETED} SELECT doc_id::VARCHAR AS run_id, count(*) AS n, sum(total_tokens)::BIGINT AS tokens, sum(total_time) AS seconds, sum(total_tokens) / sum(total_time) AS tokens_per_second, max(time_to_first_token) AS longest_wait FROM results WHERE NOT failed GROUP BY 1")
 def performance_of_runs(spark, sf):
     return B.performance(B.compare_one_to_many(_requests(I.table(spark, sf, "documents")), _told_by_length, clock=_tick), ["run_id"])
+
+
+# Where clauses stand in their texts
+
+_SPANS = r"""located AS (SELECT doc_id, pos::INT AS pos, p, before, regexp_replace(p, '^\s+|\s+$', '', 'g') AS bare, length(p) - length(regexp_replace(p, '^\s+', '')) AS lead FROM (
+    SELECT doc_id, unnest([{'pos': i - 2, 'p': x, 'before': coalesce(list_sum([length(y) FOR y IN ps[:i - 1]]), 0)} FOR x, i IN ps], recursive := true) FROM pieces) AS q(doc_id, pos, p, before) WHERE pos >= 0),
+  cut AS (SELECT doc_id, pos, before + lead AS spot, string_split_regex(bare, '=+\s*') AS kept, regexp_extract_all(bare, '=+\s*', 0) AS gone FROM located),
+  spans AS (SELECT doc_id, pos, s AS start, s + n AS "end" FROM (SELECT doc_id, pos, unnest([{'s': spot + coalesce(list_sum([length(y) FOR y IN kept[:i - 1]]), 0) + coalesce(list_sum([length(y) FOR y IN gone[:i - 1]]), 0), 'n': length(x)} FOR x, i IN kept], recursive := true) FROM cut) AS q(doc_id, pos, s, n) WHERE n > 0),
+  kept AS (SELECT s.* FROM spans s SEMI JOIN clauses c ON c.doc_id = s.doc_id AND c.pos = s.pos)"""
+
+
+def _processed(spark, sf) -> DataFrame:
+    return I.contract_texts(spark, sf).select("doc_id", X.capitalize_titles(X.normalize(F.col("text"))).alias("text"))
+
+
+@query(f'{I.WITH}, {_SPANS} SELECT doc_id, pos, start::BIGINT AS start, "end"::BIGINT AS "end", md5(substring(text, (start + 1)::BIGINT, ("end" - start)::BIGINT)) AS digest FROM spans JOIN capital USING (doc_id)')
+def clause_spans(spark, sf):
+    """Where each clause stands, and that this is what stands there."""
+    texts = _processed(spark, sf)
+    spans = D.clause_spans(texts).join(texts, "doc_id")
+    return spans.select("doc_id", "pos", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.expr("substring(text, cast(start + 1 AS INT), cast(end - start AS INT))")).alias("digest"))
+
+
+@query(f"""{I.WITH}, {_SPANS}, reach AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM kept),
+islands AS (SELECT *, sum(CASE WHEN start <= r THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM reach), merged AS (SELECT doc_id, k, min(start) AS s, max("end") AS e FROM islands GROUP BY 1, 2),
+sums AS (SELECT doc_id, sum(e - s) AS covered, count(*) AS n, min(s) AS f, max(e) AS t FROM merged GROUP BY 1)
+SELECT c.doc_id, length(text) AS n_chars, coalesce(covered, 0)::BIGINT AS covered, coalesce(n - 1 + CASE WHEN f > 0 THEN 1 ELSE 0 END + CASE WHEN t < length(text) THEN 1 ELSE 0 END, CASE WHEN length(text) > 0 THEN 1 ELSE 0 END)::BIGINT AS gaps,
+CASE WHEN length(text) > 0 THEN round(100.0 * coalesce(covered, 0)::DOUBLE / length(text), 4) ELSE 0 END::DOUBLE AS coverage FROM capital c LEFT JOIN sums USING (doc_id)""")
+def clause_coverage(spark, sf):
+    """How much of each text the clauses that stay cover, by the union of where they stand."""
+    texts = _processed(spark, sf)
+    return D.coverage(texts, D.clause_spans(texts).filter("NOT is_toc"))
+
+
+# For users of SQL
+
+
+@query(f"{I.WITH} SELECT doc_id, pos, clause_number, md5(content) AS digest, array_to_string([x.clause_number || x.content FOR x IN subs], '|') AS subs FROM split WHERE NOT regexp_matches(content, '\\.{{5,}}')")
+def clauses_by_sql(spark, sf):
+    """Clauses through the registered table function and a lateral join, in SQL alone."""
+    register_functions(spark)
+    I.contract_texts(spark, sf).createOrReplaceTempView("clausegrid_texts")
+    return spark.sql("""
+        SELECT d.doc_id, c.pos, c.clause_number, md5(c.content) AS digest, array_join(transform(c.subs, x -> concat(x.clause_number, x.content)), '|') AS subs
+        FROM (SELECT doc_id, capitalize_titles(normalize_text(text)) AS text FROM clausegrid_texts) d, LATERAL contract_clauses(d.text) c WHERE NOT has_leader(c.content)""")
