@@ -19,6 +19,7 @@ from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
 from clausegrid.sources.files import parser_of
 from clausegrid.sources.folder import read_records, register
+from clausegrid.sources.tables import linked, table_cells, tables
 from clausegrid.streaming import comparisons as M, folds as S, uploads as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1038,3 +1039,35 @@ def clauses_by_sql(spark, sf):
     return spark.sql("""
         SELECT d.doc_id, c.pos, c.clause_number, md5(c.content) AS digest, array_join(transform(c.subs, x -> concat(x.clause_number, x.content)), '|') AS subs
         FROM (SELECT doc_id, capitalize_titles(normalize_text(text)) AS text FROM clausegrid_texts) d, LATERAL contract_clauses(d.text) c WHERE NOT has_leader(c.content)""")
+
+
+# Tables: a conversation is a page with a table of its turns, with cells that span columns and rows
+
+_TURN_ROWS = """turn_rows AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS row, (CASE WHEN turn % 4 = 2 THEN turn - 1 ELSE turn END)::VARCHAR AS turn,
+  CASE WHEN turn % 3 = 0 THEN role || ' ' || length(text) ELSE role END AS said, CASE WHEN turn % 3 = 0 THEN role || ' ' || length(text) ELSE length(text)::VARCHAR END AS said_2 FROM conversations)"""
+
+
+def _turn_tables(spark, sf) -> DataFrame:
+    """Pages (conv_id, html) with a table of the turns."""
+    turn, size = F.col("turn").cast("string"), F.length("text").cast("string")
+    first = F.when(F.col("turn") % 4 == 2, "").when(F.col("turn") % 4 == 1, F.concat(F.lit("<td rowspan=2>"), turn, F.lit("</td>"))).otherwise(F.concat(F.lit("<td>"), turn, F.lit("</td>")))
+    rest = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<td colspan='2'>"), "role", F.lit(" <b>"), size, F.lit("</b></td>"))).otherwise(F.concat(F.lit("<td>"), "role", F.lit("<td>"), size))
+    rows = I.table(spark, sf, "conversations").select("conv_id", F.struct("turn", F.concat(F.lit("<tr>"), first, rest, F.lit("</tr>")).alias("line")).alias("r"))
+    lines = F.array_join(F.array_sort(F.collect_list("r"))["line"], "\n")
+    return rows.groupBy("conv_id").agg(F.concat(F.lit("<h1>Turns</h1><table><tr><th>Turn</th><th colspan=2>Said</th></tr>"), lines, F.lit("</table>")).alias("html"))
+
+
+@query(f"WITH {_TURN_ROWS} SELECT conv_id, row, turn, said, said_2, 'Turn: ' || turn || '; Said: ' || said || '; Said_2: ' || said_2 AS line FROM turn_rows")
+def table_rows(spark, sf):
+    found = tables(table_cells(_turn_tables(spark, sf), ["conv_id"], "html"), ["conv_id"])
+    rows = found.select("conv_id", F.split("formatted_text", "\n").alias("lines"), F.posexplode("rows").alias("row", "r"))
+    return rows.select("conv_id", "row", F.col("r")["Turn"].alias("turn"), F.col("r")["Said"].alias("said"), F.col("r")["Said_2"].alias("said_2"), F.get("lines", "row").alias("line"))
+
+
+@query("SELECT conv_id, 0 AS table_no, turn, n AS n_matched, n / 3.0::DOUBLE AS share FROM (SELECT conv_id, turn, (CASE WHEN contains(t, 'turn') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'said') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'said_2') THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT conv_id, turn, lower(CASE turn % 3 WHEN 0 THEN 'As SAID in ' WHEN 1 THEN 'Turn and said_2: ' ELSE '' END || text) AS t FROM conversations)) WHERE n >= 1")
+def table_links(spark, sf):
+    """Turns stand for the clauses of the page, some of which speak of its table's columns."""
+    found = tables(table_cells(_turn_tables(spark, sf), ["conv_id"], "html"), ["conv_id"])
+    front = F.when(F.col("turn") % 3 == 0, "As SAID in ").when(F.col("turn") % 3 == 1, "Turn and said_2: ").otherwise("")
+    clauses = I.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(front, "text").alias("content"))
+    return linked(found, clauses, ["conv_id"], "turn", least=0.3)
