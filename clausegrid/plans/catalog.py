@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import text as X
 from clausegrid.functions.sql import register_functions
-from clausegrid.operators import candidates as T, chat, claims as Q, clauses as C, compare as B, contracts as K, coverage as D, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
+from clausegrid.operators import answers as A, candidates as T, chat, claims as Q, clauses as C, compare as B, contracts as K, coverage as D, detection as E, ingest as G, outline as O, pairs as P, parties as N, review as R, values as W, verdicts as V
 from clausegrid.plans import inputs as I
 from clausegrid.sources import event_lines as L
 from clausegrid.sources.contract_store import ContractStore
@@ -1071,3 +1071,117 @@ def table_links(spark, sf):
     front = F.when(F.col("turn") % 3 == 0, "As SAID in ").when(F.col("turn") % 3 == 1, "Turn and said_2: ").otherwise("")
     clauses = I.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(front, "text").alias("content"))
     return linked(found, clauses, ["conv_id"], "turn", least=0.3)
+
+
+# What takes part in detection, and the pairs that pass
+
+_MORE = (
+    "The supplier shall make payment of all invoices under Section 2.1 and Appendix 3; see also Clause 4.", "The fee is confidential, as defined in Article 7.2, pursuant to clause 2.1.", "Notwithstanding clause 3, the lower fee shall prevail in any case.",
+    "The courts of Dubai have jurisdiction over any dispute of the parties.", "TABLE OF CONTENTS", "Any notice follows the mediation procedure that the issuer and the underwriter have agreed.", "12.", "Liability is limited; confidential terms bind the underwriter.",
+)
+_HEADING = ("Terms", "APPENDIX", "Fees")
+
+
+def _detected(spark, sf) -> DataFrame:
+    """Clauses (doc_id, pos, clause_number, heading, content) of all the kinds that the rules tell apart; a third repeats the text of a kind as it is."""
+    k = (F.col("doc_id") + F.col("pos")) % len(_MORE)
+    said = F.element_at(F.array(*[F.lit(x) for x in _MORE]), (k + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(x) for x in _HEADING]), (F.col("pos") % 3 + 1).cast("int"))
+    number = F.when(F.col("pos") % 5 == 4, F.concat(F.lit("0."), "clause_number")).otherwise(F.col("clause_number"))
+    text = F.when((F.col("pos") % 3 == 0) | (k == 6), said).otherwise(F.concat_ws(" ", said, "content"))
+    return I.extracted(spark, sf).select("doc_id", "pos", number.alias("clause_number"), head.alias("heading"), text.alias("content"))
+
+
+_DETECTED = f"""{I.WITH}, base AS (SELECT doc_id, pos, (doc_id + pos) % {len(_MORE)} AS k, CASE WHEN pos % 5 = 4 THEN '0.' || clause_number ELSE clause_number END AS clause_number, {list(_HEADING)!r}[(pos % 3 + 1)::INT] AS heading, content FROM clauses),
+detected AS (SELECT doc_id, pos, clause_number, heading, CASE WHEN pos % 3 = 0 OR k = 6 THEN {list(_MORE)!r}[(k + 1)::INT] ELSE {list(_MORE)!r}[(k + 1)::INT] || ' ' || content END AS content FROM base)"""
+_TOC_LINE = r"((regexp_matches(content, '^\d+(?:\.\d+)*\.?\s+\S.*\s\d{1,3}$') AND length(content) < 100) OR regexp_matches(content, '\.{5,}') OR regexp_matches(lower(content), '^\s*(table of )?contents\s*$'))"
+_BARE = r"length(regexp_replace(content, '^\s+|\s+$', '', 'g'))"
+_PART = f"NOT (starts_with(clause_number, '0.') OR (upper(heading) IN ('APPENDIX', 'SCHEDULE', 'ANNEX', 'EXHIBIT') AND length(content) < 50) OR contains(upper(content), 'TABLE OF CONTENTS')) AND {_BARE} >= 20 AND NOT regexp_matches(content, '{E.OVERRIDE_TAG}')"
+_ELIGIBLE = f"{_DETECTED}, clean AS (SELECT * FROM detected WHERE NOT {_TOC_LINE} AND {_BARE} >= 20 QUALIFY row_number() OVER (PARTITION BY doc_id, content ORDER BY pos) = 1), eligible AS (SELECT * FROM clean WHERE {_PART})"
+
+
+@query(f"{_DETECTED} SELECT doc_id, pos, array_to_string([x FOR x, i IN r IF list_position(r, x) = i], ',') AS refs, regexp_matches(content, '{E.OVERRIDE_TAG}') AS override FROM (SELECT *, list_concat(list_concat({', '.join(f"regexp_extract_all(content, '{p}', 1)" for p in E.REFERENCES[:2])}), list_concat({', '.join(f"regexp_extract_all(content, '{p}', 1)" for p in E.REFERENCES[2:])})) AS r FROM detected)")
+def all_references(spark, sf):
+    return _detected(spark, sf).select("doc_id", "pos", F.array_join(E.references(F.col("content")), ",").alias("refs"), E.is_override(F.col("content")).alias("override"))
+
+
+@query(f"{_ELIGIBLE} SELECT doc_id, pos, clause_number FROM eligible")
+def clauses_in_detection(spark, sf):
+    """Clauses without contents lines, lone numbers, repeats, metadata, bare headings and overrides."""
+    return E.taking_part(E.cleaned(_detected(spark, sf))).select("doc_id", "pos", "clause_number")
+
+
+_IN_CATEGORY = "tagged AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, '{name}' AS category FROM eligible WHERE {_sql_any('lower(content)', words)}" for name, words in E.CATEGORIES.items()) + "), labelled AS (SELECT * FROM tagged UNION ALL SELECT doc_id, pos, 'GENERAL' FROM eligible e WHERE NOT EXISTS (SELECT 1 FROM tagged t WHERE t.doc_id = e.doc_id AND t.pos = e.pos))"
+_PAIRED = f"{_ELIGIBLE}, {_IN_CATEGORY}, first AS (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY pos) <= 40), paired AS (SELECT doc_id, a.pos AS i, b.pos AS j, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories FROM first a JOIN first b USING (doc_id, category) WHERE a.pos < b.pos GROUP BY 1, 2, 3)"
+
+
+@query(f"{_PAIRED} SELECT * FROM paired")
+def pairs_of_categories(spark, sf):
+    pairs = E.category_pairs(E.taking_part(E.cleaned(_detected(spark, sf))))
+    return pairs.select("doc_id", "i", "j", F.array_join("categories", ",").alias("categories"))
+
+
+_ONLY = "(regexp_matches(lower(content), 'notice|procedure|mediation|escalation') AND NOT regexp_matches(lower(content), 'jurisdiction|governing law|courts of'))"
+
+
+@query(f"""{_PAIRED}, told AS (SELECT doc_id, pos, {_FUNCTION} AS f, {_ONLY} AS procedure, regexp_matches(content, '{R.OVERRIDE}') AS bypass FROM eligible)
+SELECT p.doc_id, i, j, a.f AS function_i, b.f AS function_j FROM paired p JOIN told a ON a.doc_id = p.doc_id AND a.pos = i JOIN told b ON b.doc_id = p.doc_id AND b.pos = j
+WHERE (a.f = b.f OR (a.f = 'INDEMNITY_LIABILITY' AND b.f = 'CONFIDENTIALITY') OR (a.f = 'CONFIDENTIALITY' AND b.f = 'INDEMNITY_LIABILITY') OR a.bypass OR b.bypass) AND NOT a.procedure AND NOT b.procedure""")
+def pairs_past_the_gate(spark, sf):
+    """Pairs of a category whose functions may be compared, without procedure beside jurisdiction: the rules on real pairs."""
+    eligible = E.taking_part(E.cleaned(_detected(spark, sf)))
+    return E.gated(E.category_pairs(eligible), eligible).select("doc_id", "i", "j", "function_i", "function_j")
+
+
+@query(f"""{I.WITH}, {I.SUBS} SELECT doc_id::VARCHAR AS contract_id, 'main' AS kind, count(*) AS n FROM clauses GROUP BY 1 UNION ALL SELECT doc_id::VARCHAR, 'sub', count(*) FROM subs GROUP BY 1
+UNION ALL SELECT doc_id::VARCHAR, 'all', count(*) FROM (SELECT doc_id FROM clauses UNION ALL SELECT doc_id FROM subs) GROUP BY 1""")
+def clauses_of_kinds(spark, sf):
+    flat = C.flat_clauses(I.extracted(spark, sf)).withColumn("contract_id", F.col("contract_id").cast("string"))
+    return reduce(DataFrame.unionByName, [E.of_kind(flat, k).groupBy("contract_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k in ("all", "main", "sub")]).select("contract_id", "kind", "n")
+
+
+# Answers and summaries
+
+
+@query(f"SELECT doc_id, md5('{A.PARTIES_ASKED.replace(chr(39), chr(39) * 2)}' || array_to_string([x FOR x IN string_split_regex(text, '\\s+') IF x <> ''][:4000], ' ') || chr(10)) AS digest FROM documents")
+def party_prompts(spark, sf):
+    return I.table(spark, sf, "documents").select("doc_id", F.md5(A.party_prompt(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '[\"A' || doc_id || '\"]' WHEN 1 THEN 'said ' || doc_id END AS content FROM documents")
+def reply_contents(spark, sf):
+    reply = F.expr("""case doc_id % 6 when 0 then concat('{"message":{"role":"assistant","content":"[\\\\"A', doc_id, '\\\\"]"}}') when 1 then concat('{"choices":[{"message":{"content":"said ', doc_id, '"}}]}') when 2 then '{"message":{"content":""}}'
+        when 3 then '{"choices":[]}' when 4 then 'no json' else '{"message":{"x":1},"choices":[{"message":{"content":"other"}}]}' end""")
+    return I.table(spark, sf, "documents").select("doc_id", A.content_of(reply).alias("content"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 IN (3, 4) OR (doc_id % 5 = 0 AND doc_id % 11 >= 5 AND doc_id % 7 <> 0)")
+def clauses_that_hold(spark, sf):
+    """Documents stand for clauses with a model's check: of varying quality, some of contents lines, invalid, or without a check."""
+    answer = F.expr("""case doc_id % 5 when 0 then concat('```json\n{"is_valid": true, "quality_score": ', (doc_id % 11) / 10.0, ', "is_toc_entry": ', doc_id % 7 = 0, ', "issues": []}\n```') when 1 then '{"is_valid": false, "quality_score": 0.9}' when 2 then '{"quality_score": 0.4}'
+        when 3 then 'no check' else '{"is_valid": true}' end""")
+    rows = I.table(spark, sf, "documents").select("doc_id", A.check_of(answer).alias("check"))
+    return A.good_clauses(rows).select("doc_id")
+
+
+@query(r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'عقد ' || doc_id || chr(10) || ' 12 ' ELSE '' END AS t FROM documents), l AS (SELECT doc_id, t, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '\p{L}')] AS ls FROM t),
+p AS (SELECT doc_id, t, array_to_string([x FOR x IN ls IF NOT regexp_matches(x, '\p{Arabic}')], chr(10)) AS e, array_to_string([x FOR x IN ls IF regexp_matches(x, '\p{Arabic}')], chr(10)) AS a FROM l)
+SELECT doc_id, e <> '' AND a <> '' AS is_bilingual, length(e) AS english_length, length(a) AS arabic_length, length(t) AS original_length FROM p""")
+def bilingual_lengths(spark, sf):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nعقد "), F.col("doc_id").cast("string"), F.lit("\n 12 "))).otherwise(F.col("text"))
+    return A.bilingual_lengths(I.table(spark, sf, "documents").select("doc_id", t.alias("content")), ["doc_id"])
+
+
+@query(f"{I.WITH}, parties AS (SELECT doc_id, doc_id % 3 AS n FROM documents) SELECT d.doc_id::VARCHAR AS id, coalesce(c.n, 0) AS clause_count, coalesce(s.n, 0) - coalesce(c.n, 0) AS removed_count, d.doc_id % 3 AS party_count FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM clauses GROUP BY 1) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM split GROUP BY 1) s USING (doc_id)")
+def upload_summaries(spark, sf):
+    """Clauses that stay, those that were taken out, and parties of each contract, of which some have none."""
+    docs = I.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id")
+    of = lambda rows: rows.select(F.col("doc_id").cast("string").alias("contract_id"))
+    found = C.split_clauses(_processed(spark, sf)).select("doc_id", "content")
+    parties = docs.filter("doc_id % 3 > 0").select(F.col("id").alias("contract_id"), F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))).alias("k"))
+    return A.upload_summary(docs, parties, of(C.remove_toc(found)), of(found))
+
+
+@query(f"WITH {I.CONTRACTS} SELECT status, count(*) AS n FROM contracts WHERE created_at > TIMESTAMP '2024-01-02 12:00:00' - INTERVAL 1 DAY GROUP BY 1")
+def recent_status_counts(spark, sf):
+    return A.recent_status_counts(I.contracts(spark, sf), F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"))
