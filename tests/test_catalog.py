@@ -38,3 +38,14 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert catalog.QUERIES["toc_filtered_clauses"](spark, SF).count() < catalog.QUERIES["split_into_clauses"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name, column, values", [
+    ("sliding_blocks_of_sources", "block > 0", {True, False}), ("routes_of_sources", "route", {"fast", "medium"}), ("evidence_inside_texts", "start > 3", {True, False}), ("run_counters_with_errors", "errors > 0", {True}),
+    ("upload_steps", "status", {"failed", "completed", "aborted", "running"}), ("upload_steps", "in_order", {True, False}), ("comparison_events", "type", {"status", "result", "complete", "error"}),
+    ("clause_outline", "depth >= 5", {True, False}), ("clause_outline", "category", {"PAYMENT", "TERMINATION", "CONFIDENTIALITY", "INDEMNITY_LIABILITY", "NOTICE"}), ("compared_one_to_many", "severity", {"High", "Low", "Unknown", "Error"}),
+    ("clause_values", "kind", {"DURATION", "AMOUNT", "PERCENT", "DATE", "JURISDICTION"}), ("clause_coverage", "coverage > 0", {True, False}), ("mixed_folder", "kind", {"txt", "csv", "json", "error"}), ("stored_tables", "name", {"contracts", "versions", "parties", "clauses"}),
+])
+def test_inputs_meet_each_case(spark, name, column, values):
+    found = {r[0] for r in catalog.QUERIES[name](spark, SF).selectExpr(f"{column} AS x").distinct().collect()}
+    assert values <= found
