@@ -1185,3 +1185,69 @@ def upload_summaries(spark, sf):
 @query(f"WITH {I.CONTRACTS} SELECT status, count(*) AS n FROM contracts WHERE created_at > TIMESTAMP '2024-01-02 12:00:00' - INTERVAL 1 DAY GROUP BY 1")
 def recent_status_counts(spark, sf):
     return A.recent_status_counts(I.contracts(spark, sf), F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"))
+
+
+# Earlier operators on rows that meet their rules: sources with hundreds of clauses, resolved conflicts, quotes inside texts, failed calls, and all tiers together
+
+
+def _of_sources(spark, sf) -> DataFrame:
+    """The clauses of all documents of a source as one sequence: (source, k)."""
+    docs = I.table(spark, sf, "documents").select("doc_id", "source")
+    rows = I.extracted(spark, sf).select("doc_id", "pos").join(docs, "doc_id")
+    return P.without_blank(rows.withColumns({"content": F.lit("x"), "pos": F.struct("doc_id", "pos")}), "source").select("source", F.col("pos").cast("long").alias("k"))
+
+
+_OF_SOURCES = f"{I.WITH}, numbered AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM clauses JOIN documents USING (doc_id))"
+
+
+@query(f"{_OF_SOURCES} SELECT source, k, b AS block FROM (SELECT source, k, n, unnest(range(0, greatest(0, ceil((n - 75) / 50.0))::BIGINT + 1)) AS b FROM numbered) WHERE k >= b * 50 AND k < b * 50 + 75")
+def sliding_blocks_of_sources(spark, sf):
+    return P.sliding_blocks(_of_sources(spark, sf), "source", "k").select("source", "k", F.col("block").cast("long").alias("block"))
+
+
+@query(f"{_OF_SOURCES} SELECT source, count(*) AS n, CASE WHEN count(*) <= 50 THEN 'fast' WHEN count(*) <= 150 THEN 'medium' ELSE 'smart' END AS route FROM numbered WHERE k < 40 * (1 + length(source) + k % 7) GROUP BY 1")
+def routes_of_sources(spark, sf):
+    kept = _of_sources(spark, sf).filter("k < 40 * (1 + length(source) + k % 7)")  # so that sizes differ
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("route", R.route(F.col("n")))
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE doc_id % 10 = 3 AND (doc_id // 10) % 3 <> 0")
+def open_conflicts(spark, sf):
+    """Labels stand for conflicts, a third of which are resolved."""
+    labels = I.table(spark, sf, "labels")
+    versions = labels.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("contract_id")).distinct()
+    conflicts = labels.select(F.col("doc_id").alias("version_id"), F.when(F.expr("(doc_id div 10) % 3") == 0, "RESOLVED").otherwise("OPEN").alias("status"), "doc_id", "toxic")
+    return T.unresolved(conflicts, versions, 3).select("doc_id", "toxic")
+
+
+@query(f"""{_REPORTED}, quoted AS (SELECT doc_id, i, j, text_i, text_j, substring(text_i, 4 + (doc_id % 5)::BIGINT, 30) AS q_i, CASE WHEN doc_id % 3 = 0 THEN 'not there' WHEN doc_id % 3 = 1 THEN '' ELSE right(text_j, 25) END AS q_j FROM reported)
+SELECT * FROM (SELECT doc_id, i, j, 'i' AS side, (strpos(text_i, q_i) - 1)::INT AS start, (strpos(text_i, q_i) - 1 + length(left(q_i, 20)))::INT AS "end", left(q_i, 20) AS snippet FROM quoted WHERE q_i <> '' AND contains(text_i, q_i)
+UNION ALL SELECT doc_id, i, j, 'j', (strpos(text_j, q_j) - 1)::INT, (strpos(text_j, q_j) - 1 + length(left(q_j, 20)))::INT, left(q_j, 20) FROM quoted WHERE q_j <> '' AND contains(text_j, q_j))""")
+def evidence_inside_texts(spark, sf):
+    """Quotes from the middle and the end of clauses, cut to 20 characters; some stand nowhere and some are empty."""
+    told = _reported(spark, sf).withColumns({"quote_i": F.expr("substring(text_i, cast(4 + doc_id % 5 as int), 30)"), "quote_j": F.when(F.col("doc_id") % 3 == 0, "not there").when(F.col("doc_id") % 3 == 1, "").otherwise(F.expr("right(text_j, 25)"))})
+    return T.evidence(told, ["doc_id", "i", "j"], 20)
+
+
+@query(f"WITH {I.ANSWERS}, {_JUDGED} SELECT quality, count(*) AS results_sent, count(*) FILTER (conflict AND doc_id % 6 <> 0) AS conflicts_found, count(*) FILTER (doc_id % 6 = 0) AS errors, count(*) FILTER (toxic = 1) AS self_checks, count(*) FILTER (toxic <> 1) AS pair_checks FROM judged GROUP BY 1")
+def run_counters_with_errors(spark, sf):
+    failed = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Error: "), "answer")).otherwise(F.col("answer"))
+    judged = V.judged(I.answers(spark, sf).withColumn("answer", failed)).withColumn("is_self_check", F.col("toxic") == 1)
+    return V.run_counters(judged, "quality")
+
+
+def _body(sql: str) -> str:
+    """A tier's own SELECT, without the inputs that all tiers share."""
+    return sql.removeprefix(_TOLD).lstrip(", ")
+
+
+_TOPIC_TIER = f"SELECT DISTINCT doc_id, a.pos AS i, b.pos AS j FROM first_of a JOIN first_of b USING (doc_id, topic) WHERE a.pos < b.pos"
+_CLUSTER_TIER = "SELECT DISTINCT doc_id, a.pos AS i, b.pos AS j FROM clustered a JOIN clustered b USING (doc_id, topic) WHERE a.pos < b.pos"
+
+
+@query(f"{_TOLD}, tagged AS ({_tagged(T.TOPICS)}), first_of AS (SELECT * FROM tagged QUALIFY row_number() OVER (PARTITION BY doc_id, topic ORDER BY pos) <= 3), clustered AS ({_tagged(T.CLUSTERS)})"
+       f" {_TOPIC_TIER} UNION {_CLUSTER_TIER} UNION {_body(ORACLES['contrary_pairs'])} UNION {_body(ORACLES['override_against_all'])}")
+def all_tiers_united(spark, sf):
+    """The pairs of four tiers, each once: topics, clusters, contrary terms, and clauses of override against all others."""
+    told = _told(spark, sf)
+    return P.united([T.topic_pairs(told, 3), T.cluster_pairs(told), T.contrary_pairs(told), T.override_against_all(told)], ["doc_id", "i", "j"])
