@@ -112,3 +112,12 @@ def test_support_falls_with_length(spark):
     texts += [own_words(rnd, 30) + "\nBy hand\n" + own_words(rnd, 30) for i in range(40)]
     got = dropped(spark, texts)
     assert all(got[i] == {passage} for i in range(3)) and all(not got[i] for i in range(3, 8)) and all(got[i] == {"Read more"} for i in range(8, 128)) and all(not got[i] for i in range(128, 168))
+
+
+@pytest.mark.parametrize("shared, own", [(14, 5), (20, 5), (10, 5), (6, 6)])
+def test_pages_that_are_mostly_alike_lose_what_they_share(spark, shared, own):
+    rnd = random.Random(shared)
+    site = [own_words(rnd, 10) for _ in range(shared)]
+    texts = ["\n".join([*site[: shared // 2], *(own_words(rnd, 10) for _ in range(own)), *site[shared // 2 :]]) for _ in range(120)]
+    got = dropped(spark, texts)
+    assert all(got[i] == set(site) for i in range(120))
