@@ -18,7 +18,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 # Fixed values of HTML: what has no content, what holds raw text, what is no reading text, what ends a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-HIDDEN = frozenset("script style textarea title noscript template iframe xmp noembed noframes head button select input label svg math canvas object video audio".split())
+HIDDEN = frozenset("script style textarea title noscript template iframe noembed noframes head select input svg canvas object video audio".split())
+#: Controls whose text is read where it stands in a paragraph, as a label in a sentence, and nowhere else.
+CONTROLS = frozenset("button label".split())
+#: What may stand in a head; anything else ends it, as its end tag and the start tag of the body may be left out.
+IN_HEAD = frozenset("head title base basefont bgsound link meta style script noscript template".split())
 AROUND = frozenset("nav header footer aside form dialog menu".split())
 BLOCK = frozenset("html body address article aside blockquote br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption dt".split())
@@ -61,6 +65,8 @@ def parse(source: str) -> Node:
         found = TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
         if text:
+            if here.tag == "head" and text.strip():
+                close(here)
             here.children.append(html.unescape(text))
         if not found:
             break
@@ -77,6 +83,11 @@ def parse(source: str) -> Node:
             elif name == "p":  # a lone </p> is an empty paragraph
                 here.children.append(Node("p", here))
             continue
+        if open_tags["head"] and name not in IN_HEAD:
+            node = here
+            while node.tag != "head":
+                node = node.parent
+            close(node)
         if name in BLOCK and name != "br" and open_tags["p"]:  # a block ends an open paragraph, with whatever inline elements are open in it
             node = here
             while node.parent and node.tag not in BLOCK:
@@ -95,8 +106,11 @@ def parse(source: str) -> Node:
             hint = " ".join([pairs.get("class", ""), pairs.get("id", ""), pairs.get("role", ""), "popup" if "hidden" in pairs else ""]).strip()
         node = Node(name, here, hint)
         here.children.append(node)
+        node.gone = name in CONTROLS and not any(open_tags[t] for t in PARAGRAPH)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            if name == "xmp":  # text as it stands, without character references
+                node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
         elif name not in VOID and not found[3].endswith("/"):
             here = node

@@ -80,3 +80,17 @@ def test_four_blocks_side_by_side_and_what_still_goes():
     assert main_text(f'<body><div>{PROSE}</div><div class="comments">{SECOND * 20}</div></body>') == one
     links = "".join('<a href="x">Other story to read</a> ' for _ in range(20))
     assert main_text(f'<article>{PROSE}<div class="related">{links}</div></article>') == one
+
+
+def test_a_head_that_is_not_closed_ends_where_the_body_begins():
+    article = "First words, of the article, that are long enough to be read as a paragraph of it. Second, and more."
+    want = "Heading " + article
+    for before in ("<html><head><title>T</title><body>", "<html><head><title>T</title>", "<head><meta charset=x><script>var a='<p>'</script><link rel=x>", "<html><head><title>T</title><style>p{}</style></head><body>", "<title>T</title>"):
+        for around in ("<article><h1>Heading</h1><p>{}</p></article>", "<h1>Heading</h1><p>{}</p>", "<div><h1>Heading</h1><p>{}</div>"):
+            assert main_text(before + around.format(article)) == want, (before, around)
+    assert main_text(f"<head><title>T</title>{article}") == article
+
+
+def test_labels_and_formulas_inside_the_article_stay():
+    page = "<body><article><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, and a <label>marked word</label> and <button>a key</button> in a sentence that goes on, and on.</p><xmp>if a < b & c</xmp><button>Share</button><p>The end, of it all, comes after that.</p></article><form><label>Mail</label><button>Send</button></form><div><label>Search</label></div></body>"
+    assert main_text(page) == "We have x=2 here, and a marked word and a key in a sentence that goes on, and on. if a < b & c The end, of it all, comes after that."
