@@ -92,14 +92,15 @@ class FolderReader(DataSourceReader):
         store, root = self._store()
         skipped = tuple(s for suffixes in RECORDS.values() for s in suffixes)
         names = [(f.path, f.size) for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and not f.base_name.startswith((".", "_")) and not f.base_name.lower().endswith(skipped)]
-        groups: list[tuple[int, list[tuple[str, int]]]] = []
+        groups: list[Files] = []
+        room = 0
         for path, size in sorted(names, key=lambda f: (-f[1], f[0])):
-            if groups and groups[-1][0] + size <= self.most:
-                groups[-1] = (groups[-1][0] + size, groups[-1][1])
-                groups[-1][1].append((path, size))
-            else:
-                groups.append((size, [(path, size)]))
-        return [Files(held) for _, held in groups] or [Files([])]
+            if not groups or size > room:
+                groups.append(Files([]))
+                room = self.most
+            groups[-1].paths.append((path, size))
+            room -= size
+        return groups or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         store, _ = self._store()
