@@ -107,10 +107,11 @@ def override_pairs(clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def split_long(clauses: DataFrame, most: int = 2500) -> DataFrame:
-    """Clauses over `most` characters become parts at (1) (2) marks, else at sentence ends; parts are numbered n.k."""
+    """Clauses over `most` characters become parts at (1) (2) marks, else at headings in capitals with a colon, else at sentence ends; parts are numbered n.k."""
     marks = F.split(F.regexp_replace("content", r"\s(?=\(\d+\)\s)", "\x01"), "\x01")
+    headed = F.split(F.regexp_replace("content", r"\s([A-Z][A-Z ]{2,}:)", "\x01$1"), "\x01")
     sentences = F.split(F.regexp_replace("content", r"(?<=[.!?])\s+(?=\p{Lu})", "\x01"), "\x01")
-    parts = F.when(F.length("content") <= most, F.array("content")).when(F.size(marks) > 1, marks).otherwise(sentences)
+    parts = F.when(F.length("content") <= most, F.array("content")).when(F.size(marks) > 1, marks).when(F.size(headed) > 1, headed).otherwise(sentences)
     rows = clauses.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("part", "part_text"))
     several = F.size("_parts") > 1
     number = F.regexp_replace("clause_number", r"[.)]$", "")

@@ -1251,3 +1251,38 @@ def all_tiers_united(spark, sf):
     """The pairs of four tiers, each once: topics, clusters, contrary terms, and clauses of override against all others."""
     told = _told(spark, sf)
     return P.united([T.topic_pairs(told, 3), T.cluster_pairs(told), T.contrary_pairs(told), T.override_against_all(told)], ["doc_id", "i", "j"])
+
+
+_PAIRS_AROUND = len("\n\n[Clause ]\n")
+
+
+@query(f"""{I.WITH}, prompts AS (SELECT doc_id, a.pos AS i, b.pos AS j, a.pos = b.pos AS is_self_check, CASE WHEN a.pos = b.pos THEN 6 ELSE 8 END + {_PAIRS_AROUND} + length((a.pos + 1)::VARCHAR) + length(a.content)
+  + CASE WHEN a.pos = b.pos THEN 0 ELSE {_PAIRS_AROUND} + length((b.pos + 1)::VARCHAR) + length(b.content) END + {len(V.ASK) + 2} AS n FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos <= b.pos), {_ANSWERED}
+SELECT doc_id, i, j, is_self_check, conflict, severity, md5(explanation) AS explanation, total_tokens FROM results""")
+def compared_all_against_all(spark, sf):
+    """Every clause against itself and all others of its document, with what is read out of each answer."""
+    out = B.compare_all(I.extracted(spark, sf), F.lit("Compare."), F.lit("Check."), _told_by_length, clock=_tick)
+    return out.select("doc_id", "i", "j", "is_self_check", "conflict", "severity", F.md5("explanation").alias("explanation"), "performance.total_tokens")
+
+
+@query("""WITH prompts AS (SELECT a.item_id, CASE WHEN a.item_id % 9 = 0 THEN ' ' ELSE 'Compare.' END AS prompt, a.text AS a, b.text AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+sized AS (SELECT *, length(prompt) + length(a) + length(b) + """ + str(len("\n\n[Clause A]\n" + "\n\n[Clause B]\n" + "\n\nCompare the two clauses as asked above.")) + """ AS n FROM prompts)
+SELECT item_id, CASE WHEN prompt = ' ' OR n % 7 = 0 THEN NULL ELSE 'Conflict: ' || CASE WHEN n % 3 = 0 THEN 'Yes' ELSE 'No' END || repeat(' so', (n % 4)::INT) || CASE WHEN n % 5 = 0 THEN '' WHEN n % 2 = 1 THEN ' Severity: High' ELSE ' Severity: Low' END END AS response,
+CASE WHEN prompt = ' ' THEN 'blank prompt' WHEN n % 7 = 0 THEN 'no reply' END AS error FROM sized""")
+def compared_one_to_one(spark, sf):
+    """Each passage against the next, some without a prompt: the answer as it came, or why there is none."""
+    b = I.table(spark, sf, "benchmark").select("item_id", "text")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("clause_b"))
+    pairs = b.join(other, "item_id").select("item_id", F.when(F.col("item_id") % 9 == 0, " ").otherwise("Compare.").alias("prompt"), F.col("text").alias("clause_a"), "clause_b")
+    return B.compare_one(pairs, _told_by_length, clock=_tick)
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), t AS (SELECT doc_id, array_to_string([CASE doc_id % 3 WHEN 0 THEN '(' || i || ') ' || x WHEN 1 THEN 'PART ' || ['ONE', 'TWO', 'THREE'][(i % 3 + 1)::INT] || ': ' || x ELSE x END FOR x, i IN ls], ' ') AS content FROM l),
+p AS (SELECT doc_id, content, string_split(regexp_replace(content, '\s(\(\d+\)\s)', chr(1) || '\1', 'g'), chr(1)) AS m, string_split(regexp_replace(content, '\s([A-Z][A-Z ]{2,}:)', chr(1) || '\1', 'g'), chr(1)) AS h, string_split(regexp_replace(content, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM t),
+c AS (SELECT doc_id, CASE WHEN length(content) <= 2500 THEN [content] WHEN len(m) > 1 THEN m WHEN len(h) > 1 THEN h ELSE s END AS parts FROM p)
+SELECT doc_id, CASE WHEN n > 1 THEN '7.' || i ELSE '7.' END AS clause_number, CASE WHEN n > 1 THEN '7.' END AS split_from, md5(x) AS digest FROM (SELECT doc_id, len(parts) AS n, unnest([{'x': x, 'i': i} FOR x, i IN parts], recursive := true) FROM c) AS q(doc_id, n, x, i)""")
+def long_texts_split(spark, sf):
+    """Whole documents as clauses, over 2500 characters for many: with numbered marks, headings in capitals, or sentences alone."""
+    docs = I.spread(I.table(spark, sf, "documents").select("doc_id", "text"))
+    part = F.expr("""array_join(transform(split(text, '\\n'), (x, i) -> case doc_id % 3 when 0 then concat('(', i + 1, ') ', x) when 1 then concat('PART ', element_at(array('ONE', 'TWO', 'THREE'), (i + 1) % 3 + 1), ': ', x) else x end), ' ')""")
+    return R.split_long(docs.select("doc_id", F.lit("7.").alias("clause_number"), part.alias("content"))).select("doc_id", "clause_number", "split_from", F.md5("content").alias("digest"))
