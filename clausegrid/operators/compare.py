@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.operators import verdicts as V
+from clausegrid.operators.clauses import blank_or_large
 from clausegrid.operators.pairs import upper_triangular
 from clausegrid.streaming.comparisons import request_fault, target_rows
 
@@ -98,9 +99,14 @@ def compare_one_to_many(requests: DataFrame, provider: Provider, **how) -> DataF
     return _judged(told, V.conflict_one_to_many).select("run_id", "index", "total", "conflict", "explanation", "severity", "performance")
 
 
-def compare_all(items: DataFrame, pair_prompt: Column, self_prompt: Column, provider: Provider, id_col: str = "doc_id", pos: str = "pos", text: str = "content", **how) -> DataFrame:
-    """Results of every clause against itself and all others of its document: id, i, j, is_self_check, pair_order, conflict, explanation, severity, performance."""
-    pairs = upper_triangular(items, id_col, pos, text)
+def compare_all(items: DataFrame, pair_prompt: Column, self_prompt: Column, provider: Provider, id_col: str = "doc_id", most: int = 50, **how) -> DataFrame:
+    """Results of every clause (id, pos, content) against itself and all others of its document: id, i, j, is_self_check, pair_order, conflict, explanation, severity, performance.
+
+    A document is compared if it has 2 to `most` clauses, none of them blank or over 50,000 characters; others are refused, see
+    blank_or_large. So no document has more than most * (most + 1) / 2 pairs.
+    """
+    fit = blank_or_large(items, id_col, most=most).filter("ok").select(id_col)
+    pairs = upper_triangular(items.join(fit, id_col, "left_semi"), id_col)
     prompt = F.when(F.col("is_self_check"), self_prompt).otherwise(pair_prompt)
     told = ask(pairs, V.pair_prompt(prompt, F.col("i"), F.col("j"), F.col("text_i"), F.col("text_j")), provider, **how)
     return _judged(told, V.conflict_all_pairs).select(id_col, "i", "j", "is_self_check", "pair_order", "conflict", "explanation", "severity", "performance")

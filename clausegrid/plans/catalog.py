@@ -1256,11 +1256,12 @@ def all_tiers_united(spark, sf):
 _PAIRS_AROUND = len("\n\n[Clause ]\n")
 
 
-@query(f"""{I.WITH}, prompts AS (SELECT doc_id, a.pos AS i, b.pos AS j, a.pos = b.pos AS is_self_check, CASE WHEN a.pos = b.pos THEN 6 ELSE 8 END + {_PAIRS_AROUND} + length((a.pos + 1)::VARCHAR) + length(a.content)
-  + CASE WHEN a.pos = b.pos THEN 0 ELSE {_PAIRS_AROUND} + length((b.pos + 1)::VARCHAR) + length(b.content) END + {len(V.ASK) + 2} AS n FROM clauses a JOIN clauses b USING (doc_id) WHERE a.pos <= b.pos), {_ANSWERED}
+@query(f"""{I.WITH}, fit AS (SELECT doc_id FROM clauses GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50 AND count(*) FILTER (regexp_replace(content, '\\s', '', 'g') = '') = 0 AND max(length(content)) <= 50000),
+prompts AS (SELECT doc_id, a.pos AS i, b.pos AS j, a.pos = b.pos AS is_self_check, CASE WHEN a.pos = b.pos THEN 6 ELSE 8 END + {_PAIRS_AROUND} + length((a.pos + 1)::VARCHAR) + length(a.content)
+  + CASE WHEN a.pos = b.pos THEN 0 ELSE {_PAIRS_AROUND} + length((b.pos + 1)::VARCHAR) + length(b.content) END + {len(V.ASK) + 2} AS n FROM clauses a JOIN clauses b USING (doc_id) JOIN fit USING (doc_id) WHERE a.pos <= b.pos), {_ANSWERED}
 SELECT doc_id, i, j, is_self_check, conflict, severity, md5(explanation) AS explanation, total_tokens FROM results""")
 def compared_all_against_all(spark, sf):
-    """Every clause against itself and all others of its document, with what is read out of each answer."""
+    """Every clause against itself and all others of its document, where there are 2 to 50 and none is blank, with what is read out of each answer."""
     out = B.compare_all(I.extracted(spark, sf), F.lit("Compare."), F.lit("Check."), _told_by_length, clock=_tick)
     return out.select("doc_id", "i", "j", "is_self_check", "conflict", "severity", F.md5("explanation").alias("explanation"), "performance.total_tokens")
 

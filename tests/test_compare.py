@@ -76,7 +76,7 @@ def test_one_to_one(spark):
 
 
 def test_all_against_all(spark):
-    items = spark.createDataFrame([(1, 0, "It shall not."), (1, 1, "It shall."), (1, 2, "fail")], "doc_id long, pos int, content string")
+    items = spark.createDataFrame([(1, 0, "It shall not."), (1, 1, "It shall."), (1, 2, "fail"), (2, 0, "alone"), (3, 0, "a"), (3, 1, " "), *[(4, k, "x") for k in range(51)]], "doc_id long, pos int, content string")
     def provider(prompt):
         if "fail" in prompt:
             raise ValueError("no")
