@@ -117,3 +117,10 @@ def progress(results: DataFrame, id_col: str, order: str, seconds: str) -> DataF
 def majority(votes: DataFrame, keys: list[str], vote: str) -> DataFrame:
     """Pairs that at least half of the checks, rounded up, voted for."""
     return votes.groupBy(*keys).agg(F.sum(F.col(vote).cast("int")).alias("votes"), F.count(F.lit(1)).alias("checks")).filter("votes >= (checks + 1) div 2")
+
+
+def conflict_split(results: DataFrame, by: list[str]) -> DataFrame:
+    """How many results are conflicts and how many are not, conflicts by severity, and calls that failed, which are neither."""
+    failed, conflict = F.col("severity") == "Error", F.coalesce("conflict", F.lit(False))
+    severe = [F.count_if(conflict & ~failed & (F.col("severity") == s)).alias(f"{s.lower()}_conflicts") for s in (*SEVERITIES, "Unknown")]
+    return results.groupBy(*by).agg(F.count_if(conflict & ~failed).alias("conflicts"), F.count_if(~conflict & ~failed).alias("non_conflicts"), F.count_if(failed).alias("failed"), *severe)

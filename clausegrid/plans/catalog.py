@@ -1287,3 +1287,48 @@ def long_texts_split(spark, sf):
     docs = I.spread(I.table(spark, sf, "documents").select("doc_id", "text"))
     part = F.expr("""array_join(transform(split(text, '\\n'), (x, i) -> case doc_id % 3 when 0 then concat('(', i + 1, ') ', x) when 1 then concat('PART ', element_at(array('ONE', 'TWO', 'THREE'), (i + 1) % 3 + 1), ': ', x) else x end), ' ')""")
     return R.split_long(docs.select("doc_id", F.lit("7.").alias("clause_number"), part.alias("content"))).select("doc_id", "clause_number", "split_from", F.md5("content").alias("digest"))
+
+
+# Streams of answers as events, results in two, and chunks
+
+
+@query("""WITH c AS (SELECT user_id, event_id, CASE WHEN event_type <> 'error' AND event_id % 11 <> 0 THEN event_type END AS token, epoch_us(ts) / 1000000.0 AS tick, CASE WHEN event_type = 'error' AND event_id % 6 = 0 THEN 'lost at ' || event_id END AS error FROM events WHERE event_id % 3 < 2),
+e AS (SELECT *, min(CASE WHEN error IS NOT NULL THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM c), k AS (SELECT * FROM e WHERE stop IS NULL OR event_id <= stop),
+m AS (SELECT user_id, coalesce(array_to_string(list(token ORDER BY event_id) FILTER (token IS NOT NULL), ''), '') AS response, count(token) AS n, min(tick) FILTER (token IS NOT NULL) AS f, max(tick) AS l, min(tick) AS s, max(error) AS error FROM k GROUP BY 1),
+r AS (SELECT *, round(coalesce(nullif(f - s, 0), l - s), 6) AS ttft, round(l - s, 6) AS total, round(CASE WHEN l - s > 0 THEN n / (l - s) ELSE 0 END, 6) AS rate FROM m)
+SELECT user_id, 0::BIGINT AS seq, 'metric' AS type, NULL::VARCHAR AS content, ttft AS time_to_first_token, NULL::BIGINT AS total_tokens, NULL::DOUBLE AS total_time, NULL::DOUBLE AS tokens_per_second FROM r WHERE n > 0
+UNION ALL SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id), 'token', token, NULL, NULL, NULL, NULL FROM k WHERE token IS NOT NULL
+UNION ALL SELECT user_id, CASE WHEN n > 0 THEN n + 1 ELSE 0 END, 'complete', response, ttft, n, total, rate FROM r WHERE error IS NULL
+UNION ALL SELECT user_id, CASE WHEN n > 0 THEN n + 1 ELSE 0 END, 'error', error, NULL, NULL, NULL, NULL FROM r WHERE error IS NOT NULL""")
+def chat_events(spark, sf):
+    """Events of answers of which some chunks are malformed and some streams break off."""
+    e = I.table(spark, sf, "events").filter("event_id % 3 < 2")
+    chunks = e.select(
+        "user_id", "event_id", F.when((F.col("event_type") != "error") & (F.col("event_id") % 11 != 0), F.col("event_type")).alias("token"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("at"),
+        F.when((F.col("event_type") == "error") & (F.col("event_id") % 6 == 0), F.concat(F.lit("lost at "), "event_id")).alias("error"),
+    )
+    return chat.events(chunks.withColumn("start", F.col("at")), "user_id", "event_id", "token", "at", "start", "error")
+
+
+@query(f"WITH {I.ANSWERS}, {_JUDGED}, r AS (SELECT quality, doc_id % 6 = 0 AS failed, conflict, severity FROM judged) SELECT quality, count(*) FILTER (NOT failed AND conflict) AS conflicts, count(*) FILTER (NOT failed AND NOT conflict) AS non_conflicts, count(*) FILTER (failed) AS failed, "
+       + ", ".join(f"count(*) FILTER (NOT failed AND conflict AND severity = '{s}') AS {s.lower()}_conflicts" for s in (*V.SEVERITIES, "Unknown")) + " FROM r GROUP BY 1")
+def conflict_split(spark, sf):
+    failed = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Error: "), "answer")).otherwise(F.col("answer"))
+    return V.conflict_split(V.judged(I.answers(spark, sf).withColumn("answer", failed)), ["quality"])
+
+
+@query(f"{_OF_SOURCES} SELECT source, k // 50 AS block, count(*) AS n, min(k) AS first, max(k) AS last FROM numbered GROUP BY 1, 2")
+def chunks_of_50(spark, sf):
+    rows = P.blocks(_of_sources(spark, sf), 50, "k")
+    return rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
+_TREE = ORACLES["clause_outline"].rpartition("SELECT p.user_id")[0]
+
+
+@query(_TREE.rstrip() + """, sections AS (SELECT user_id, root_pos, pos FROM tree QUALIFY row_number() OVER (PARTITION BY user_id, root_pos ORDER BY pos) <= 50)
+SELECT user_id, root_pos, a.pos AS i, b.pos AS j FROM sections a JOIN sections b USING (user_id, root_pos) WHERE a.pos < b.pos""")
+def pairs_of_sections(spark, sf):
+    """All pairs of clauses under one heading, of its first 50."""
+    rows = clause_outline(spark, sf).select("user_id", "root_pos", "pos")
+    return P.capped_pairs(rows, ["user_id", "root_pos"], 50)

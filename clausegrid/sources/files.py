@@ -48,6 +48,16 @@ def decode_text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+def decode_in_order(data: bytes, encodings: tuple[str, ...] = ("utf-8", "utf-16", "latin-1")) -> str:
+    """The first of the encodings that takes the bytes. With UTF-16 among them an 8-bit file of even length may be read as it: see decode_text for what does not."""
+    for encoding in encodings:
+        try:
+            return data.decode(encoding)
+        except UnicodeError:
+            continue
+    raise ValueError(f"none of {', '.join(encodings)} takes the file")
+
+
 def docx_text(data: bytes) -> str:
     """Paragraphs that aren't blank, then the rows of all tables, cells joined by ` | `."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{WORD}body")

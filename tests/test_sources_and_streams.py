@@ -75,3 +75,35 @@ def test_streamed_windows_are_the_batch_windows(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     run(S.windowed_counts(stream, late="2 days"), "windows", "complete")
     assert {tuple(r) for r in spark.table("windows").collect()} == {tuple(r) for r in S.windowed_counts(events).collect()}
+
+
+def test_streamed_chat_metrics_are_the_batch_metrics(spark, tmp_path):
+    rows = [("a", 1, "Hi", 1.0), ("a", 2, None, 2.0), ("a", 3, " you", 3.5), ("b", 1, None, 1.0), ("b", 2, "x", 1.0)]
+    schema = "k string, n int, token string, at double"
+    for k in (1, 0):  # later chunks come first
+        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    from clausegrid.operators import chat
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("start", F.lit(0.5))
+    run(chat.token_metrics(stream, "k", "n", "token", "at", "start"), "chats", "complete")
+    want = chat.token_metrics(spark.createDataFrame(rows, schema).withColumn("start", F.lit(0.5)), "k", "n", "token", "at", "start")
+    assert sorted(map(tuple, spark.table("chats").collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
+
+
+def test_chat_events(spark):
+    from clausegrid.operators import chat
+
+    rows = [("a", 1, "Hi", 1.0, None), ("a", 2, None, 2.0, None), ("a", 3, " you", 3.0, None), ("b", 1, "x", 1.0, None), ("b", 2, None, 2.0, "timed out"), ("b", 3, "late", 3.0, None), ("c", 1, None, 1.0, "no model"), ("d", 1, None, 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, n int, token string, at double, error string").withColumn("start", F.lit(0.0))
+    got = chat.events(df, "k", "n", "token", "at", "start", "error").collect()
+    assert sorted((r.k, r.seq, r.type, r.content, r.time_to_first_token, r.total_tokens, r.total_time) for r in got) == [
+        ("a", 0, "metric", None, 1.0, None, None), ("a", 1, "token", "Hi", None, None, None), ("a", 2, "token", " you", None, None, None), ("a", 3, "complete", "Hi you", 1.0, 2, 3.0),
+        ("b", 0, "metric", None, 1.0, None, None), ("b", 1, "token", "x", None, None, None), ("b", 2, "error", "timed out", None, None, None), ("c", 0, "error", "no model", None, None, None), ("d", 0, "complete", "", 2.0, 0, 2.0),
+    ]
+
+
+def test_encodings_in_order():
+    from clausegrid.sources.files import decode_in_order
+
+    assert [decode_in_order("é".encode(e)) for e in ("utf-8", "utf-16")] == ["é", "é"]
+    assert decode_in_order(b"caf\xe9") == "\u6163\ue966" and decode_in_order(b"\xe9") == "é"
