@@ -263,12 +263,16 @@ def drop_recurring_lines(
     general = general.filter(F.col("share") >= constant).select("line", F.md5(F.array_join("t.token", " ", "*")).alias("template"))
     general = written(general, "lines-templates")
     with_template = written(near.drop("masked").join(general, "line"), "lines-templated")
-    counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n")).filter(F.col("n") >= needed(F.col("leaf"))).select("leaf", "template")
-    often = written(with_template.join(counted, ["leaf", "template"]), "lines-often")
+    # A template may be in a third of all rows: such ones meet their rows by broadcast.
+    least = max(1, with_template.count() / 1024)
+    counted = with_template.groupBy("leaf", "template").agg(F.count_distinct("_key").alias("n"), F.count(F.lit(1)).alias("rows")).filter(F.col("n") >= needed(F.col("leaf")))
+    counted = written(counted.select("leaf", "template", "rows"), "lines-counted")
+    often = written(hot_join(with_template, counted, ["leaf", "template"], "rows", least).drop("rows"), "lines-often")
     labels = near_classes(docs, often.select("_key").distinct())
     holders = often.select("leaf", "template", "_key").distinct().join(labels, "_key")
     recurring = holders.groupBy("leaf", "template").agg(F.count_distinct("label").alias("n")).filter(F.col("n") >= needed(F.col("leaf"))).select("leaf", "template")
-    found = written(often.select("leaf", "template", "line", "_key", "pos").join(recurring, ["leaf", "template"]), "lines-found")
+    recurring = written(recurring.join(counted, ["leaf", "template"]), "lines-recurring")
+    found = written(hot_join(often.select("leaf", "template", "line", "_key", "pos"), recurring, ["leaf", "template"], "rows", least).drop("rows"), "lines-found")
     wording = found.select("leaf", "line").distinct()
     if wording.limit(most_handed + 1).count() <= most_handed:
         busy = bits_of(bitmap_of(wording.select(F.col("leaf").alias("key")), BITS), BITS)
