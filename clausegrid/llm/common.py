@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,14 @@ def smaller_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library hold in reserve to the machine: a Python worker is used again by later stages, and would keep it until its end."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def whole(text: Column) -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(text, F.lit(""))

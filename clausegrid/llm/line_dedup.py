@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, bits_of, hot_join, in_bits, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_of, give_back, hot_join, in_bits, may_repeat, table, whole, written
 from clausegrid.llm.near_dedup import components
 
 VARIABLE = b"<*>"
@@ -69,6 +69,7 @@ def _leaves(leading: int, min_tokens: int, long_tokens: int):
                 keys.append(key)
                 leaves.append(list({_leaf(n, head, min_tokens, long_tokens) for n, head in (_tokens(line, leading) for line in lines) if n}))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["_key", "leaves"])
+        give_back()
 
     return run
 
@@ -91,6 +92,7 @@ def _near_lines(busy: np.ndarray, leading: int, min_tokens: int, long_tokens: in
             kinds = [pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in LINE.split(", ")])
+        give_back()
 
     return run
 
@@ -137,6 +139,7 @@ def _sketches(held: np.ndarray):
                     bands.append(found[0])
                     prints.append(found[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())], ["_key", "bands", "prints"])
+        give_back()
 
     return run
 
@@ -205,6 +208,7 @@ def _cut(gone: set[bytes], busy: np.ndarray, leading: int, min_tokens: int, long
                 n_dropped.append(len(lines) - len(stay))
             more = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names, "n_lines", "n_dropped"])
+        give_back()
 
     return run
 

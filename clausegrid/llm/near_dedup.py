@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, bits_of, in_bits, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_of, give_back, in_bits, may_repeat, table, whole, written
 
 WORDS = 5
 SIZE = 128
@@ -107,7 +107,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.concatenate(bits).view(np.int64) if bits else np.zeros((0, 4), np.int64)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows, *(pa.array(bits[:, k]) for k in range(4))], [*batch.schema.names[:-1], "_bands", "_s0", "_s1", "_s2", "_s3"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.llm.common import table, whole, written
+from clausegrid.llm.common import give_back, table, whole, written
 
 END = 1  # the id that ends a document
-SLICE_BYTES = 4 << 20  # texts are taken apart in slices of about so many bytes
+SLICE_BYTES = 2 << 20  # texts are taken apart in slices of about so many bytes
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -39,7 +39,7 @@ class ChunkIds:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,6 +137,7 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _cut(path: str, window: int, quantum: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         if path not in _CHUNK_IDS:
             _CHUNK_IDS[path] = ChunkIds(path)
         chunks, part, ranks = _CHUNK_IDS[path], TaskContext.get().partitionId(), np.zeros(-(-window // quantum) + 1, np.int64)
@@ -159,7 +160,7 @@ def _cut(path: str, window: int, quantum: int):
                 kept = [c.slice(low, high - low).take(pa.array(of)) for c in batch.columns[:-1]]
                 columns = [pa.array(start), pa.array(length), pa.array(total[of]), binary, pa.array(level.astype(np.int32)), pa.array(np.full(len(of), part, np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[:-1], "start", "length", "doc_tokens", "ids", "_level", "_part", "_rank"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import table, whole, written
+from clausegrid.llm.common import give_back, table, whole, written
 
 LOW, HIGH = -16, 48  # saved bytes beyond these count as these
 
@@ -107,7 +107,7 @@ def with_score(df: DataFrame, model: Model, text_col: str = "text", score_col: s
         for batch in batches:
             scores = [scorer(distance, t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     schema = df.select("*", F.lit(0.0).alias(score_col)).schema
     return df.mapInArrow(run, schema)
