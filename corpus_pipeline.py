@@ -22,6 +22,8 @@ from clausegrid.llm.toxicity import fit, with_score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.7
+#: Rows of an Arrow batch: five stages leave their buffers behind in the same executors, so batches are small.
+BATCH_ROWS = 500
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score reaches REJECT."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_ROWS)
     docs = docs.select(*COLUMNS)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return with_score(docs, model, score_col="_score").filter(F.col("_score") < REJECT).select(*COLUMNS)
@@ -38,19 +40,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of recurring templates; every document stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_ROWS)
     return _documents(drop_recurring_lines(docs, carry=("doc_id", "lang", "source")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_ROWS)
     return keep_one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in angle brackets in the place of personal data and secrets; every document stays."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_ROWS)
     found = find_pii(docs, carry=("doc_id", "text", "lang", "source"))
     text = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.coalesce("text", F.lit("")))
     return _documents(found.withColumn("text", text))
@@ -58,7 +60,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; the columns are those of op10_packing."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_ROWS)
     return packed_rows(docs)
 
 
