@@ -87,7 +87,7 @@ def find_conflicts(claims: DataFrame, scope: list[str]) -> DataFrame:
     topic PAYMENT. lock_up: two durations in a topic of lock-up. A pair of which one claim overrides the other's clause is none.
     Null subjects count as the same subject; claims without a value break no rule on values, but for jurisdictions,
     where none differs from any. Each rule joins on all that it asks for, and claims that cannot
-    contradict never meet, so the work follows the number of conflicts.
+    contradict never meet, so the work follows the number of conflicts. Each rule reads the claims anew: hand in a stored table.
     """
     c = F.struct(F.col("claim_id").alias("id"), "clause", "is_override", "overrides").alias("c")
     rows = claims.select(*scope, "topic", F.coalesce("subject", F.lit("\u0000")).alias("subject"), "modality", "value_type", F.nullif("value", F.lit("")).alias("value"), c)
