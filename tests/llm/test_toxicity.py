@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from clausegrid.llm.toxicity import fit, score, with_score
+from clausegrid.llm.toxicity import _telling, fit, score, with_score
 
 
 def corpus(n=600):
@@ -45,3 +45,15 @@ def test_without_labels_or_rows(spark):
     one = fit(table, spark.createDataFrame([(i, 0) for i, _ in labels], "doc_id long, toxic int"))
     assert all(r.score <= 0.5 for r in score(table, one).collect())
     assert score(table.limit(0), none).count() == 0
+
+
+def test_near_copies_are_no_evidence_many_times_over(spark):
+    rnd = random.Random(4)
+    docs, _ = corpus(240)
+    rows = [(" ".join(w for w in text.split() if not w.startswith(("zwugg", "hexk", "vyrm", "qualm", "snotj"))), 0) for _, text in docs]
+    copied = " ".join("".join(rnd.choices("bdfghjklmnpqrstvwxyz", k=9)) for _ in range(60))
+    rows += [(f"{copied} {i}", 1) for i in range(40)]
+    rows += [(f"{text} zwugglig {text}", 1) for text, _ in rows[:40]]
+    found = _telling(spark.createDataFrame(rows, "_text string, _y int"), 10.0, 4000).decode()
+    assert "zwuggli" in found
+    assert not any(word[:8] in found for word in copied.split())
