@@ -44,6 +44,14 @@ def test_documents_are_read_once(spark, name):
     assert "documents.parquet" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_tables_works_files_out_once(spark, monkeypatch):
+    """What is inserted comes from stored files, not from the documents, in each run."""
+    seen = []
+    monkeypatch.setattr(catalog.ContractStore, "insert", lambda self, tables, run_id: seen.extend(df._jdf.queryExecution().executedPlan().toString() for df in tables.values()))
+    catalog.QUERIES["stored_tables"](spark, SF)
+    assert len(seen) == 12 and not any("documents.parquet" in plan for plan in seen)
+
+
 def test_texts_of_pairs_are_never_shuffled(spark):
     """Each distinct prompt is asked once, and what crosses the network for a pair is digests."""
     items = spark.createDataFrame([(d, p, t) for d in "ab" for p, t in enumerate(("must pay 5", "must not pay", None))], "doc_id string, pos int, content string")
