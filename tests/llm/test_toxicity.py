@@ -57,3 +57,12 @@ def test_near_copies_are_no_evidence_many_times_over(spark):
     found = _telling(spark.createDataFrame(rows, "_text string, _y int"), 10.0, 4000).decode()
     assert "zwuggli" in found
     assert not any(word[:8] in found for word in copied.split())
+
+
+def test_a_run_repeated_in_a_text_is_evidence_once(spark):
+    docs, labels = corpus()
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    run = "sun ble or est ion pra ka zwugglig "
+    rows = spark.createDataFrame([(0, run), (1, run * 200)], "doc_id long, text string")
+    once, often = (r.score for r in score(rows, model).orderBy("doc_id").collect())
+    assert once == often
