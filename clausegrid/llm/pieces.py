@@ -19,8 +19,8 @@ SPACE = "▁"
 PENALTY = 10.0  # what an unknown character costs below the lowest score
 BLOCK = 64  # longer words are taken apart in blocks of so many characters
 PRIME = 4_294_967_291
+LAST = ((1 << 22) - 1) << 34  # the rank of what is no merge
 SLICE_BYTES = 2 << 20  # texts are taken apart in slices of about so many bytes
-NONE = np.iinfo(np.int32).max
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,21 @@ class Vocabulary:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rows), "piece string, id int, score float")
 
+    def ranks(self) -> dict[int, int]:
+        """The rank of each piece's merge, by id; equal scores share one, and then the leftmost merges first."""
+        of_score = {score: k for k, score in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        return {i: of_score[s] for _, i, s in self.rows}
+
+    def merge_table(self, spark: SparkSession) -> DataFrame:
+        """piece, id and `code`: what of an edge in merges() does not depend on its place."""
+        rank, of = self.ranks(), {p: i for p, i, _ in self.rows}
+        if max(rank) >= 1 << 21:
+            raise ValueError("ids of more than 21 bits are not foreseen")
+        ends = {(i, of[part]) for p, i, _ in self.rows for k in range(1, len(p)) for part in (p[:k], p[k:]) if len(part) > 1 and part in of}
+        returns = {part for i, part in ends if rank[part] >= rank[i]}  # its merge may make one of an earlier rank possible
+        rows = [(p, i, (rank[i] << 34) + ((i in returns) << 22) + i) for p, i, _ in self.rows]
+        return spark.createDataFrame(rows, "piece string, id int, code long")
+
     def contents(self) -> list[tuple[int, bytes]]:
         """(id, content): the bytes that each id stands for."""
         return [(i, p.replace(SPACE, " ").encode()) for p, i, _ in self.rows] + list(self.special)
@@ -244,53 +259,36 @@ class Edges:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        best = sorted(vocabulary.rows, key=lambda r: -r[2])  # equal scores share a rank: then the leftmost merges first
-        top = max(i for _, i, _ in vocabulary.rows) + 1
-        scores = sorted({-r[2] for r in best})
-        rank = {score: k for k, score in enumerate(scores)}
-        self.rank = np.full(top, NONE, np.int32)
-        self.rank[[i for _, i, _ in best]] = [rank[-score] for _, _, score in best]
+        self.rank = vocabulary.ranks()
 
     def spelled(self, point: int) -> list[int]:
         if self.vocabulary.byte_base is None:
             return [self.vocabulary.unknown]
         return [self.vocabulary.byte_base + b for b in chr(point).encode("utf-8", "replace")]
 
-    def merged(self, lists: pa.ListArray) -> pa.Array:
-        """The ids of each word from its edges, all words of a batch merging side by side."""
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        edges = lists.values.to_numpy(zero_copy_only=False)
-        word = np.repeat(np.arange(len(lists)), np.diff(offsets))
-        edges = edges[offsets[0] : offsets[-1]]
-        s, k, i = edges >> 37, (edges >> 32) & 31, (edges & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
-        size = np.bincount(word[k == 1], minlength=len(lists))
-        out: list[list[int] | np.ndarray | None] = [None] * len(lists)
-        for w in np.flatnonzero(size > 2 * BLOCK).tolist():  # as many rounds as characters would be too many
-            mine = slice(offsets[w] - offsets[0], offsets[w + 1] - offsets[0])
-            out[w] = self._long(int(size[w]), s[mine], k[mine], i[mine])
-        short = np.flatnonzero(size <= 2 * BLOCK)
-        step = max(1, 300_000 // max(1, int(size[short].mean()) if len(short) else 1))
-        flat, count = [], np.zeros(len(lists), np.int64)
-        starts = offsets - offsets[0]
-        for at in range(0, len(lists), step):
-            low, high = starts[at], starts[min(at + step, len(lists))]
-            keep = size[word[low:high]] <= 2 * BLOCK
-            ids, n = self._short(word[low:high][keep] - at, np.where(size[at : at + step] <= 2 * BLOCK, size[at : at + step], 0), s[low:high][keep], k[low:high][keep], i[low:high][keep])
-            flat.append(ids)
-            count[at : at + step] = n
-        flat = np.concatenate(flat or [np.zeros(0, np.int64)])
-        if any(o is not None for o in out):
-            parts = np.split(flat, np.cumsum(count)[:-1])
-            for w, o in enumerate(out):
-                if o is not None:
-                    parts[w], count[w] = np.array(o, np.int64), len(o)
-            flat = np.concatenate(parts)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat.astype(np.int32)))
+    def spelled_out(self, lists: pa.ListArray) -> pa.ListArray:
+        """The ids of each word, where a character that no piece has is spelled by its ids."""
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        lost = np.flatnonzero(flat < 0)
+        spelled = [self.spelled(-1 - int(c)) for c in flat[lost]]
+        count = np.ones(len(flat), np.int64)
+        count[lost] = [len(one) for one in spelled]
+        after = np.concatenate([[0], np.cumsum(count)])
+        out = np.repeat(flat, count).astype(np.int32)
+        for at, one in zip(after[lost].tolist(), spelled, strict=True):
+            out[at : at + len(one)] = one
+        return pa.ListArray.from_arrays(pa.array(after[np.concatenate([[0], np.cumsum(sizes)])], pa.int32()), pa.array(out))
+
+    def merged(self, edges: list[int]) -> list[int]:
+        """The ids of one long word from its edges."""
+        packed = np.array(edges, np.int64)
+        s, k, i = packed >> 37, (packed >> 32) & 31, (packed & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
+        return self._long(int((k == 1).sum()), s, k, i)
 
     def _long(self, n: int, s: np.ndarray, k: np.ndarray, i: np.ndarray) -> list[int]:
         """The same merges for one long word, from a heap."""
         known = {(a, a + b): c for a, b, c in zip(s.tolist(), k.tolist(), i.tolist(), strict=True)}
-        rank = {pair: int(self.rank[c]) for pair, c in known.items() if c >= 0}
+        rank = {pair: self.rank[c] for pair, c in known.items() if c >= 0}
         after, before = {a: a + 1 for a in range(n)}, {a + 1: a for a in range(n)}
         agenda = [(rank[a, a + 2], a, a + 2) for a in range(n - 1) if (a, a + 2) in rank]
         heapq.heapify(agenda)
@@ -311,64 +309,59 @@ class Edges:
             a = after[a]
         return out
 
-    def _short(self, word: np.ndarray, size: np.ndarray, s: np.ndarray, k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids one after the other and their number for each of len(size) words. Each round merges the best pair of each word."""
-        longest = self.vocabulary.longest
-        base = np.cumsum(size) - size
-        n = int(size.sum())
-        table = np.full((n + longest + 1, longest + 1), -1, np.int64)  # (place, length): the piece's id
-        table[base[word] + s, k] = i
-        alone = table[:n, 1].copy()
-        ranks = np.full(table.shape, NONE, np.int32)
-        held = table >= 0
-        ranks[held] = self.rank[table[held]]
-        place, length, owner = np.arange(n), np.ones(n, np.int64), np.repeat(np.arange(len(size)), size)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(place):
-            both = length[:-1] + length[1:]
-            pair = np.where((owner[:-1] == owner[1:]) & (both <= longest), ranks[place[:-1], np.minimum(both, longest)], NONE)
-            pair = np.append(pair, NONE)
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat(pair, first)
-            spread = np.repeat(best, np.diff(np.append(first, len(place))))
-            stays = spread == NONE
-            if stays.any():
-                done.append((owner[stays], place[stays], length[stays]))
-            hits = np.flatnonzero((pair == spread) & ~stays)
-            hits = hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])] if len(hits) else hits  # the leftmost of equal ones
-            length[hits] += length[hits + 1]
-            keep = ~stays
-            keep[hits + 1] = False
-            place, length, owner = place[keep], length[keep], owner[keep]
-        if not done:
-            return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
-        owner, place, length = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(place, kind="stable")
-        owner, place, length = owner[order], place[order], length[order]
-        ids = table[place, length]
-        lost = np.flatnonzero((length == 1) & (alone[place] < 0))
-        if len(lost):
-            parts = np.split(ids, np.sort(np.concatenate([lost, lost + 1])))
-            spelled = {int(at): self.spelled(-1 - int(alone[place[at]])) for at in lost}
-            more = np.array([len(spelled.get(at, (0,))) for at in range(len(ids))]) if len(lost) < len(ids) else np.array([len(spelled[at]) for at in range(len(ids))])
-            flat, at = [], 0
-            for part in parts:
-                if len(part):
-                    flat += spelled[at] if at in spelled else part.tolist()
-                    at += len(part)
-            return np.array(flat, np.int64), np.bincount(owner, weights=more, minlength=len(size)).astype(np.int64)
-        return ids, np.bincount(owner, minlength=len(size))
-
 
 def _merged_units(vocabulary: Vocabulary):
+    """The ids of words as they are in the end: lost characters spelled, and the merges of words too long for the fold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = Edges(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], edges.merged(batch.column(batch.num_columns - 1))], [*batch.schema.names[:-1], "ids"])
+            ids, lists = edges.spelled_out(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1)
+            long = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            if len(long):
+                at = np.arange(len(ids))
+                at[long] = len(ids) + np.arange(len(long))
+                ids = pa.concat_arrays([ids, pa.array([edges.merged(lists[w].as_py()) for w in long.tolist()], ids.type)]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], ids], [*batch.schema.names[:-2], "ids"])
 
     return run
 
 
+def merges(edges: Column, length: Column) -> Column:
+    """BPE as a fold over the edges of a word of at most BLOCK characters: the ids of its path, or -1 - code point of a lost character.
+
+    An edge is a long: its merge's rank, start (6 bits), length (5), whether its merge may
+    make one of an earlier rank possible (1), id (22). Single characters, one a place, come last and are no merges. The state has a bit for each place
+    where a piece ends or starts; the place BLOCK shares the bit of 0, both always set. In
+    the order of ranks, then starts, an edge is merged when its ends are set and one place
+    between them is, which is cleared. The fold starts over after a merge that may make an
+    earlier one possible. The path is of the edges with set ends and nothing set between.
+    """
+    one = F.lit(1).cast("long")
+    start = lambda x: F.shiftright(x, 28).bitwiseAND(63).cast("int")
+    size = lambda x: F.shiftright(x, 23).bitwiseAND(31).cast("int")
+    shift = lambda a, b: F.call_function("shiftleft", a, b)
+    ends = lambda x: shift(one, start(x)).bitwiseOR(shift(one, start(x) + size(x)))
+    inside = lambda x: shift(shift(one, size(x) - 1) - one, start(x) + 1)
+    fits = lambda places, x: F.bitwise_not(places).bitwiseAND(ends(x)) == 0
+
+    def step(state: Column, x: Column) -> Column:
+        places = state["places"]
+        merged = F.struct(places.bitwiseAND(F.bitwise_not(inside(x))).alias("places"), (x.bitwiseAND(1 << 22) != 0).alias("again"))
+        return F.when(~state["again"] & (F.bit_count(places.bitwiseAND(inside(x))) == 1) & fits(places, x), merged).otherwise(state)
+
+    def path(ordered: Column) -> Column:
+        places = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - F.least(length, F.lit(63)))
+        begin = F.struct(places.alias("places"), F.lit(True).alias("again"))
+        over = lambda state, _: F.when(state["again"], F.aggregate(F.slice(ordered, F.lit(1), F.size(ordered) - length), F.struct(state["places"].alias("places"), F.lit(False).alias("again")), step)).otherwise(state)
+        end = F.aggregate(F.sequence(F.lit(1), length), begin, over, lambda state: state["places"])  # a merge takes a place away
+        stay = F.transform(F.array(end), lambda p: F.filter(ordered, lambda x: (p.bitwiseAND(inside(x)) == 0) & fits(p, x)))
+        by_start = F.sort_array(F.transform(F.element_at(stay, 1), lambda x: x.bitwiseAND((1 << 34) - 1)))
+        return F.transform(by_start, lambda x: F.shiftright(F.shiftleft(x, 42), 42).cast("int"))
+
+    return F.element_at(F.transform(F.array(F.sort_array(edges)), path), 1)
+
+
 def key_of(unit: Column) -> Column:
     """What stands for a word in joins: the word itself, or the hash of a long one, so that no row carries a long word many times."""
     return F.when(F.length(unit) <= BLOCK, unit).otherwise(F.concat(F.lit("\n"), F.sha2(unit, 256)))
@@ -377,8 +370,9 @@ def key_of(unit: Column) -> Column:
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """units (`key`, as key_of gives it, distinct; `unit` and `n`) with their edges, or their path.
 
-    Result: key, n and, where the vocabulary goes by BPE merges, `edges` as Edges packs them,
-    for Edges.merged; else `ids`, the path with the best sum of scores, folded here.
+    Result: key, n and `ids`, the path with the best sum of scores, folded here. Where the
+    vocabulary goes by BPE merges, their fold gives `ids`, with lost characters still to be
+    spelled; a word of more than BLOCK characters has none, but `edges` as Edges packs them.
 
     Substrings up to the longest piece are exploded and equi-joined to the piece table;
     characters that no piece has get an edge of their own. Long words are exploded block
@@ -398,10 +392,14 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     starts = blocks.select("key", "n", "b", "part", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     cuts = starts.select("key", "n", "b", "part", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("at")))).alias("k"))
     cuts = cuts.select("key", "n", (F.col("b") * BLOCK + F.col("at")).alias("s"), "k", F.expr("substring(part, at + 1, k)").alias("piece"))
-    edges = cuts.join(F.broadcast(vocabulary.table(spark)), "piece", "left").filter("id IS NOT NULL OR k = 1")
+    pieces = vocabulary.merge_table(spark) if vocabulary.by_merges else vocabulary.table(spark)
+    edges = cuts.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR k = 1")
     if vocabulary.by_merges:
-        edge = Edges.packed(F.col("s"), F.col("k"), F.coalesce("id", F.lit(-1) - F.ascii("piece")))
-        return edges.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+        short, lost = F.length("key") <= BLOCK, F.lit(-1) - F.ascii("piece")
+        place = F.shiftleft(F.col("s").cast("long"), 28).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 23))
+        edge = F.when(short, F.coalesce("code", lost.cast("long").bitwiseAND((1 << 22) - 1)).bitwiseOR(place).bitwiseOR(F.when(F.col("k") == 1, LAST).otherwise(0))).otherwise(Edges.packed(F.col("s"), F.col("k"), F.coalesce("id", lost)))
+        grouped = edges.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+        return grouped.select("key", "n", F.when(short, merges(F.col("edges"), F.length("key"))).otherwise(F.array().cast("array<int>")).alias("ids"), F.when(~short, F.col("edges")).alias("edges"))
     lost = float(np.float32(np.float32(vocabulary.lowest) - np.float32(PENALTY)))
     edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", F.coalesce("score", F.lit(lost).cast("float")).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNull(), F.col("piece")).alias("lost"))
     grouped = edges.groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))

@@ -91,3 +91,16 @@ def test_decoding_and_digests_are_those_of_the_unmodified_model(spark):
         assert (got[i].n_pieces, got[i].n_words, got[i].n_chars, got[i].digest, got[i].round_trip) == (len(ids), len(words.get(i, ())), len(text or ""), digest, True)
     broken = spark.createDataFrame([(1, [3 + 0xC3, 3 + 0x28]), (2, None), (2, [])], "row long, ids array<int>")
     assert sorted((r.row, r.decoded) for r in decode(broken, Vocabulary.load(PATH), ("row",)).collect()) == [(1, "\ufffd("), (2, ""), (2, "")]
+
+
+def test_the_fold_over_the_lattice_gives_the_ids_of_the_unmodified_model(spark):
+    from clausegrid.llm.pieces import BLOCK, lattice
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rnd = random.Random(5)
+    syllables = "the tion er ing an ré eux über ció ñ lo st and of qu ß aa aaa".split()
+    words = {"".join(rnd.choices(syllables, k=rnd.randrange(1, 20)))[: BLOCK - 1] for _ in range(400)} | {"a" * 61, "a" * 62, "b" * 63, "ing" * 21, "Enpaeux"}
+    units = spark.createDataFrame([("▁" + w, 1, "▁" + w) for w in words], "key string, n long, unit string")
+    got = {r.key[1:]: r.ids for r in lattice(units, Vocabulary.load(PATH).with_merges()).collect()}
+    assert got == {w: library.encode(w) for w in words}
+    assert {len(w) + 1 for w in words} >= {BLOCK - 2, BLOCK - 1, BLOCK}
