@@ -118,6 +118,17 @@ def bits_of(bitmap: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def bits_by_least(counted: DataFrame, least: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """For each of `least` the bitmap, as an array, of the 64-bit hashes in `key` that are counted so often in `n`; all in one job."""
+    key = F.col("key")
+    marks = [F.bit_or(F.when(F.col("n") >= k, _bit(key, bits)).otherwise(F.lit(0).cast("long"))).alias(f"_{i}") for i, k in enumerate(least)]
+    held = counted.groupBy(_word(key, bits).alias("word")).agg(*marks).toPandas()
+    out = [np.zeros(1 << (bits - 6), np.uint64) for _ in least]
+    for i, marked in enumerate(out):
+        marked[held["word"].to_numpy(np.int64)] = held[f"_{i}"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def in_bits(held: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether the bits of 64-bit hashes are set, as 0 or 1."""
     at = keys.view(np.uint64) >> np.uint64(64 - bits)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import bitmap_of, bits_of, give_back, in_bits, may_repeat, table, whole, written
+from clausegrid.llm.common import bitmap_of, bits_by_least, give_back, in_bits, may_repeat, table, whole, written
 
 WORDS = 5
 SIZE = 128
@@ -178,16 +178,17 @@ def _similar(a: str, b: str) -> Column:
 def linked(edges: DataFrame) -> DataFrame:
     """(id, label) of every id in `edges` (a, b): the smallest id that it is connected to. Labels spread along the edges and jump to their label's label."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "near-labels")
+    # The first spread is from labels that are the ids themselves.
+    spread = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.col("id").alias("old"), F.least("id", "near").alias("label"))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         spread = written(spread, "near-labels")
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("next"))
         moved = written(spread.join(jump, "label", "left").select("id", "old", F.coalesce("next", "label").alias("label")), "near-labels")
         labels = moved.select("id", "label")
         if moved.filter("label <> old").isEmpty():
             return labels
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        spread = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -197,6 +198,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` (id, label), which leaves out ids that are alone, after some more links: only the labels that these join are worked on."""
+    if links.isEmpty():
+        return labels
     ends = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
     ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
     joined = written(linked(ends).select(F.col("id").alias("old"), F.col("label").alias("new")), "near-joined")
@@ -254,6 +257,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """The links among pairs that were not tested before."""
         nonlocal tested
         fresh = written(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if fresh.isEmpty():
+            return fresh
         tested = tested.unionByName(fresh)
         full = fresh.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
@@ -285,7 +290,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # What two texts share is as frequent in one as in the other: by class of frequency, that bounds their overlap.
     loose = written(items.join(apart.select("id"), "id", "left_semi"), "near-loose")
     often = written(loose.select(F.explode("items").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-frequencies")
-    marks = [bits_of(bitmap_of(often.filter(F.col("n") >= least).select("key"), BITS), BITS) for least in CLASSES]
+    marks = bits_by_least(often, CLASSES, BITS)
     classes = [f"c{k}" for k in range(len(CLASSES))]
     profile = loose.mapInArrow(_profiles(marks, threshold), ", ".join(["id long", "size long", *(f"{c} long" for c in classes), "index array<long>, probe array<long>"]))
     profile = written(apart.join(profile, "id"), "near-profiles")

@@ -144,7 +144,8 @@ def contexts(rows: DataFrame) -> DataFrame:
     word = r"(\S+(?:\s+[=:])?)\s*$"  # a sign alone takes the word in front of it along
     left = F.when(begin == 0, F.regexp_extract(ahead, word, 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(ahead, r"(?<=\s)" + word, 1), F.lit("")), F.lit("~")))
     right = F.when(F.length(behind) < NEAR, F.regexp_extract(behind, r"^\s*(\S+)", 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(behind, r"^\s*(\S+)\s", 1), F.lit("")), F.lit("~")))
-    each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.col("t.is_whole").alias("is_whole"), F.lower(F.when(left == "", "^").otherwise(left)).alias("left"), F.lower(F.when(right == "", "$").otherwise(right)).alias("right"))
+    # lower() of a constant is worked out by the driver, which first builds ICU tables for it: three GB of garbage.
+    each = found.select("_row", "_base", F.col("t.start").alias("start"), F.col("t.value").alias("raw"), F.col("t.is_whole").alias("is_whole"), F.when(left == "", "^").otherwise(F.lower(left)).alias("left"), F.when(right == "", "$").otherwise(F.lower(right)).alias("right"))
     before = F.when(F.col("is_whole"), "").otherwise(F.regexp_extract("core", r"""^(?:[^=:"'(\[{<]*[=:"'(\[{<]+)*""", 0))
     # What closes a token is taken off first, else a closing quote would count as the last one in front of a value.
     each = each.withColumn("core", F.regexp_replace("raw", r"""[.,;:!?"')\]}>]+$""", ""))

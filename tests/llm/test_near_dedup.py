@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from clausegrid.llm.near_dedup import near_duplicates, signatures
+from clausegrid.llm.common import bitmap_of, bits_by_least, bits_of
+from clausegrid.llm.near_dedup import linked, merged, near_duplicates, signatures
 
 
 def bag(text):
@@ -92,3 +93,23 @@ def test_one_of_each_stays_where_ids_are_null_or_repeat(spark):
     rows = [(None, base[0]), (None, base[0] + " a"), (None, base[0] + " b"), (None, base[0]), (7, base[1]), (7, base[1] + " c"), (None, base[2]), (8, None), (8, "")]
     kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.text or "").split("x")[0] for r in kept) == ["", "w0", "w1", "w2"]
+
+
+def test_no_links_leave_the_labels_as_they_are(spark):
+    labels = spark.createDataFrame([(2, 1), (1, 1)], "id long, label long")
+    assert merged(labels, spark.createDataFrame([], "a long, b long")) is labels
+    after = merged(labels, spark.createDataFrame([(2, 7), (8, 7)], "a long, b long"))
+    assert {tuple(r) for r in after.collect()} == {(1, 1), (2, 1), (7, 1), (8, 1)}
+
+
+def test_labels_spread_along_a_chain(spark):
+    chain = [(k + 1, k) for k in range(10, 40)] + [(90, 80)]
+    assert {tuple(r) for r in linked(spark.createDataFrame(chain, "a long, b long")).collect()} == {*((k, 10) for k in range(10, 41)), (80, 80), (90, 80)}
+    assert linked(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmaps_of_several_frequencies_are_those_of_each(spark):
+    counted = spark.range(500).selectExpr("xxhash64(id) AS key", "id % 40 AS n")
+    found = bits_by_least(counted, (2, 9, 33, 257), 12)
+    for least, marked in zip((2, 9, 33, 257), found, strict=True):
+        assert (marked == bits_of(bitmap_of(counted.filter(f"n >= {least}").select("key"), 12), 12)).all()

@@ -2,7 +2,9 @@
 
 import re
 
-from clausegrid.llm.pii import find_pii
+from pyspark.sql import functions as F
+
+from clausegrid.llm.pii import base_spans, contexts, find_pii
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -116,3 +118,10 @@ def test_scores_are_those_of_a_plain_version(spark):
             best[v] = max(best.get(v, (0, "")), (b, k))
     df = spark.createDataFrame(found, "value string, seed string, left string, right string, before string")
     assert {r.value: r.kind for r in bootstrap(df, 3, 0.4, 5).collect()} == {v: k for v, (_, k) in best.items()}
+
+
+def test_no_constant_is_lowered_on_the_driver(spark):
+    rows = spark.createDataFrame([(1, "Mail A1B2C3D4 NOW"), (2, "X9Y8Z7W6")], "_row long, _text string").withColumn("_base", base_spans(F.col("_text")))
+    found = contexts(rows)
+    assert "lower(CASE WHEN (CASE" not in found._jdf.queryExecution().analyzed().toString()  # a constant in a branch is folded
+    assert {(r["value"], r["left"], r["right"]) for r in found.collect()} == {("A1B2C3D4", "mail", "now"), ("X9Y8Z7W6", "^", "$")}
